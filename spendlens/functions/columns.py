@@ -115,8 +115,8 @@ def filled(columns: Sequence[str]) -> list[Column]:
     return [F.coalesce(F.col(f"`{c}`"), F.lit(0.0)).alias(c) for c in columns]
 
 
-def present(df: DataFrame, digits: int | None = 6) -> DataFrame:
-    """Report form: DECIMAL becomes DOUBLE, doubles are rounded."""
+def present(df: DataFrame, digits: int | None = None) -> DataFrame:
+    """Report form: DECIMAL becomes DOUBLE, and doubles are rounded where a number of decimals is given."""
     out = []
     for field in df.schema.fields:
         c = F.col(f"`{field.name}`")

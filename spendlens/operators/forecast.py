@@ -204,7 +204,7 @@ def growth_monthly_band(projection: DataFrame, *, variance: float = 0.10, group_
     totals = projection.groupBy(*group_cols, "month").agg(
         F.sum(F.col("projected_cost_usd").cast(EXACT)).alias("projected_cost_usd")
     )
-    running = windowed(group_cols, F.col("month")).rowsBetween(-(1 << 31), 0)
+    running = windowed(group_cols, F.col("month")).rowsBetween(Window.unboundedPreceding, 0)
     cost = dbl("projected_cost_usd")
     return totals.select(
         *group_cols, "month", cost.alias("projected_cost_usd"),

@@ -201,8 +201,8 @@ def cost_export(daily: DataFrame) -> DataFrame:
         F.col("daily_unique_users").alias("weekly_active_users"),
         F.col("daily_unique_users").alias("monthly_active_users"),
         "total_operations", "total_credits", "credits_per_user", "credits_per_operation",
-        F.round("credits_per_user", 4).alias("avg_daily_cost_per_user"),
-        F.round(F.col("credits_per_user") * 30, 2).alias("projected_monthly_cost_per_user"),
+        round_cents("credits_per_user", 4).alias("avg_daily_cost_per_user"),
+        round_cents(F.col("credits_per_user") * 30).alias("projected_monthly_cost_per_user"),
         round_cents(F.col("total_credits") * 30).alias("projected_monthly_total_credits"),
     )
 

@@ -185,8 +185,8 @@ def usage_history(snapshots: DataFrame, *, calendar: bool = False) -> DataFrame:
             F.col("usage_date").alias("date"), "service_type", "daily_unique_users",
             users.alias("weekly_active_users"), users.alias("monthly_active_users"), "total_operations",
             "total_credits", "credits_per_user", "credits_per_operation",
-            F.round("credits_per_user", 4).alias("avg_daily_cost_per_user"),
-            F.round(F.col("credits_per_user") * 30, 2).alias("projected_monthly_cost_per_user"),
+            round_cents("credits_per_user", 4).alias("avg_daily_cost_per_user"),
+            round_cents(F.col("credits_per_user") * 30).alias("projected_monthly_cost_per_user"),
             round_cents(F.col("total_credits") * 30).alias("projected_monthly_total_credits"),
             "snapshot_date", "inserted_at", "total_pages_processed", "total_documents_processed",
             ratio0("total_credits", "total_pages_processed").alias("credits_per_page"),
