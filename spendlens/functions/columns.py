@@ -11,7 +11,7 @@ from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql.types import DecimalType, DoubleType
+from pyspark.sql.types import DecimalType
 
 ColumnLike = Column | str
 
@@ -115,14 +115,9 @@ def filled(columns: Sequence[str]) -> list[Column]:
     return [F.coalesce(F.col(f"`{c}`"), F.lit(0.0)).alias(c) for c in columns]
 
 
-def present(df: DataFrame, digits: int | None = None) -> DataFrame:
-    """Report form: DECIMAL becomes DOUBLE, and doubles are rounded where a number of decimals is given."""
-    out = []
-    for field in df.schema.fields:
-        c = F.col(f"`{field.name}`")
-        if isinstance(field.dataType, DecimalType):
-            c = c.cast("double")
-        if digits is not None and isinstance(field.dataType, (DecimalType, DoubleType)):
-            c = F.round(c, digits)
-        out.append(c.alias(field.name))
-    return df.select(*out)
+def present(df: DataFrame) -> DataFrame:
+    """Report form: DECIMAL becomes DOUBLE."""
+    return df.select(*[
+        F.col(f"`{f.name}`").cast("double").alias(f.name) if isinstance(f.dataType, DecimalType) else F.col(f"`{f.name}`")
+        for f in df.schema.fields
+    ])

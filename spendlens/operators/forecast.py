@@ -16,11 +16,15 @@ from ..functions import services as S
 from ..functions.columns import day_before, dbl, filled, mean, ratio0, structs, windowed
 from ..sources.schemas import FORECAST_SCHEMA, struct
 
-EXACT = "decimal(28,9)"  # residuals are summed in this type, so the sum does not depend on the order
+# computed values are summed in these types, so sums do not depend on the order of the rows
+RESIDUAL = "decimal(28,9)"
+STORED = "decimal(28,6)"
 
 
-def _months(n: int) -> Column:
-    return F.explode(F.sequence(F.lit(1), F.lit(n)))
+def _growth_months(n: int, *rates: float) -> Column:
+    """One row per month 1..n with the compound factor of each rate (g0, g1, ...), from a small array literal."""
+    rows = [(m, *[(1.0 + r) ** m for r in rates]) for m in range(1, n + 1)]
+    return F.inline(structs(["month", *[f"g{i}" for i in range(len(rates))]], rows, ["int"] + ["double"] * len(rates)))
 
 
 def forecast_input(snapshots: DataFrame, *, as_of: datetime, days: int = 365, group_cols: Sequence[str] = ()) -> DataFrame:
@@ -73,7 +77,7 @@ def forecast_12m(series_days: DataFrame, *, horizon_days: int = 365, min_points:
         .withColumn("residual", dbl("y") - (F.col("intercept") + F.col("slope") * F.col("x")))
         .withColumn(
             "effect",
-            F.sum(F.col("residual").cast(EXACT)).over(same_weekday).cast("double")
+            F.sum(F.col("residual").cast(RESIDUAL)).over(same_weekday).cast("double")
             / F.count(F.lit(1)).over(same_weekday),
         )
         .withColumn("e", F.col("residual") - F.col("effect"))
@@ -84,7 +88,7 @@ def forecast_12m(series_days: DataFrame, *, horizon_days: int = 365, min_points:
         F.max("day").alias("last_day"),
         F.max("x").alias("last_x"),
         F.map_from_entries(F.collect_set(F.struct("weekday", "effect"))).alias("effects"),
-        F.sqrt(F.sum((F.col("e") * F.col("e")).cast(EXACT)).cast("double") / (F.max("n") - 1)).alias("sigma"),
+        F.sqrt(F.sum((F.col("e") * F.col("e")).cast(RESIDUAL)).cast("double") / (F.max("n") - 1)).alias("sigma"),
     )
     ahead = model.withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(horizon_days)))).withColumn(
         "forecast_date", F.date_add("last_day", F.col("h"))
@@ -125,7 +129,7 @@ def linear_forecast_monthly(
 ) -> DataFrame:
     return (
         forecast.groupBy(*group_cols, F.trunc("date", "month").alias("month"))
-        .agg(F.sum(F.col("forecast_credits").cast(EXACT)).cast("double").alias("forecast_credits"))
+        .agg(F.sum(F.col("forecast_credits").cast(STORED)).cast("double").alias("forecast_credits"))
         .withColumn("forecast_cost_usd", F.col("forecast_credits") * price)
     )
 
@@ -141,7 +145,7 @@ def forecast_by_month(forecast: DataFrame, *, horizon_days: int, group_cols: Seq
         forecast.withColumn("_start", first)
         .where(F.col("forecast_date") < F.date_add("_start", horizon_days))
         .groupBy(*group_cols, F.trunc("forecast_date", "month").alias("month"), "service_type")
-        .agg(*[F.sum(F.col(c).cast(EXACT)).alias(c) for c in _BOUNDS])
+        .agg(*[F.sum(F.col(c).cast(STORED)).alias(c) for c in _BOUNDS])
     )
 
 
@@ -184,14 +188,13 @@ def growth_projection(
     group_cols: Sequence[str] = (), baseline: str = "window",
 ) -> DataFrame:
     """Compound monthly growth of credits and users per service."""
-    factor = F.pow(F.lit(1.0 + growth_rate), F.col("month"))
     return (
         usage_baseline(usage, group_cols=group_cols, baseline=baseline)
-        .withColumn("month", _months(months))
+        .select("*", _growth_months(months, growth_rate))
         .select(
             *group_cols, "month", "service_type",
-            (F.col("base_credits") * factor).alias("projected_credits"),
-            (F.col("base_users") * factor).alias("projected_users"),
+            (F.col("base_credits") * F.col("g0")).alias("projected_credits"),
+            (F.col("base_users") * F.col("g0")).alias("projected_users"),
         )
         .withColumn("projected_cost_usd", F.col("projected_credits") * price)
         .withColumn("cost_per_user_usd", ratio0("projected_cost_usd", "projected_users"))
@@ -202,7 +205,7 @@ def growth_projection(
 def growth_monthly_band(projection: DataFrame, *, variance: float = 0.10, group_cols: Sequence[str] = ()) -> DataFrame:
     """Cost per month over all services with a +/- band and the running total."""
     totals = projection.groupBy(*group_cols, "month").agg(
-        F.sum(F.col("projected_cost_usd").cast(EXACT)).alias("projected_cost_usd")
+        F.sum(F.col("projected_cost_usd").cast(STORED)).alias("projected_cost_usd")
     )
     running = windowed(group_cols, F.col("month")).rowsBetween(Window.unboundedPreceding, 0)
     cost = dbl("projected_cost_usd")
@@ -233,15 +236,15 @@ def growth_scenarios(
     scenarios: Sequence[tuple[str, float]] = tuple(S.GROWTH_SCENARIOS),
 ) -> DataFrame:
     """Cost per month under several growth rates."""
-    table = structs(["scenario", "growth_rate"], scenarios, ["string", "double"])
+    rows = [(name, rate, m, (1.0 + rate) ** m) for name, rate in scenarios for m in range(1, months + 1)]
+    table = structs(["scenario", "growth_rate", "month", "factor"], rows, ["string", "double", "int", "double"])
     return (
         usage.groupBy(*group_cols)
         .agg(F.sum("total_credits").cast("double").alias("_credits"))
-        .withColumn("_s", F.explode(table))
-        .withColumn("month", _months(months))
+        .select("*", F.inline(table))
         .select(
-            *group_cols, F.col("_s.scenario").alias("scenario"), F.col("_s.growth_rate").alias("growth_rate"), "month",
-            (F.col("_credits") * F.pow(1 + F.col("_s.growth_rate"), F.col("month")) * price).alias("projected_cost_usd"),
+            *group_cols, "scenario", "growth_rate", "month",
+            (F.col("_credits") * F.col("factor") * price).alias("projected_cost_usd"),
         )
     )
 
@@ -251,15 +254,13 @@ def growth_two_driver(
     price: float = S.CREDIT_PRICE_USD, group_cols: Sequence[str] = (),
 ) -> DataFrame:
     """Users grow with adoption, credits with adoption times usage per user."""
-    users = F.pow(F.lit(1.0 + user_growth), F.col("month"))
-    intensity = F.pow(F.lit(1.0 + intensity_growth), F.col("month"))
     return (
         usage_baseline(usage, group_cols=group_cols)
-        .withColumn("month", _months(months))
+        .select("*", _growth_months(months, user_growth, intensity_growth))
         .select(
             *group_cols, "month", "service_type",
-            (F.col("base_users") * users).alias("projected_users"),
-            (F.col("base_credits") * users * intensity).alias("projected_credits"),
+            (F.col("base_users") * F.col("g0")).alias("projected_users"),
+            (F.col("base_credits") * F.col("g0") * F.col("g1")).alias("projected_credits"),
         )
         .withColumn("projected_cost_usd", F.col("projected_credits") * price)
     )

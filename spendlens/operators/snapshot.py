@@ -60,8 +60,8 @@ def usage_by_feature(
         .agg(
             F.sum("page_count").alias("pages"), F.sum("document_count").alias("documents"),
             F.sum("credits_used").alias("credits"), F.count(F.lit(1)).alias("records"),
-            F.sum(F.col("credits_per_page").cast("decimal(28,12)")).alias("page_rates"),
-            F.sum(F.col("credits_per_document").cast("decimal(28,12)")).alias("document_rates"),
+            F.sum(F.col("credits_per_page").cast("decimal(28,9)")).alias("page_rates"),
+            F.sum(F.col("credits_per_document").cast("decimal(28,9)")).alias("document_rates"),
         )
     )
     documents = (
@@ -87,7 +87,7 @@ def usage_by_feature(
             F.sum("token_credits").alias("total_credits"),
             mean("token_credits").alias("credits_per_operation"),
             F.sum("tokens").alias("total_tokens"),
-            mean(F.col("cost_per_million_tokens").cast("decimal(28,12)")).alias("cost_per_million_tokens"),
+            mean(F.col("cost_per_million_tokens").cast("decimal(28,6)")).alias("cost_per_million_tokens"),
         )
         .withColumn("daily_unique_users", long_lit(0))
         .withColumn("credits_per_user", F.lit(0.0))

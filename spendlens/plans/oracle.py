@@ -1,13 +1,10 @@
 """SQL of the registered queries for the independent engine, written from the definitions, not from the Spark plans.
 
 Only the base tables are known there, so every statement carries the usage tables it needs as CTEs. Sums are exact
-(DECIMAL) in both engines; results that go through pow() are rounded alike in the outermost SELECT.
+(DECIMAL) in both engines, so results are compared unrounded.
 """
 
 from __future__ import annotations
-
-from .testbed import DIGITS
-
 FOLD = "(DATE '2023-11-02' + CAST(date_diff('day', DATE '1995-01-01', CAST({} AS DATE)) % 90 AS INTEGER))"
 START = "TIMESTAMP '2023-11-02 00:00:00'"  # fixed clock less 90 days
 AS_OF = "DATE '2024-01-31'"
@@ -263,9 +260,9 @@ _NO_RATE = "CAST(NULL AS DOUBLE)"
 
 
 def _features(excluded: str) -> str:
-    page_rate = "CAST(CASE WHEN page_count > 0 THEN CAST(credits_used AS DOUBLE) / page_count ELSE 0 END AS DECIMAL(28,12))"
-    doc_rate = "CAST(CASE WHEN document_count > 0 THEN CAST(credits_used AS DOUBLE) / document_count ELSE 0 END AS DECIMAL(28,12))"
-    token_rate = f"CAST({per_million('token_credits', 'tokens')} AS DECIMAL(28,12))"
+    page_rate = "CAST(CASE WHEN page_count > 0 THEN CAST(credits_used AS DOUBLE) / page_count ELSE 0 END AS DECIMAL(28,9))"
+    doc_rate = "CAST(CASE WHEN document_count > 0 THEN CAST(credits_used AS DOUBLE) / document_count ELSE 0 END AS DECIMAL(28,9))"
+    token_rate = f"CAST({per_million('token_credits', 'tokens')} AS DECIMAL(28,6))"
     return f"""
 SELECT service_type, usage_date, daily_unique_users, total_operations, total_credits, credits_per_user,
        credits_per_operation, {_NO_FEATURE} AS function_name, {_NO_FEATURE} AS model_name, {_NO_COUNT} AS total_tokens,
@@ -423,9 +420,9 @@ FROM (SELECT f.service_type, last_day + CAST(h AS INTEGER) AS forecast_date, sig
 
 CTES["forecast_months"] = ("forecast", """
 SELECT CAST(date_trunc('month', forecast_date) AS DATE) AS month, service_type,
-       SUM(CAST(forecast_credits AS DECIMAL(28,9))) AS forecast_credits,
-       SUM(CAST(lower_bound_credits AS DECIMAL(28,9))) AS lower_bound_credits,
-       SUM(CAST(upper_bound_credits AS DECIMAL(28,9))) AS upper_bound_credits
+       SUM(CAST(forecast_credits AS DECIMAL(28,6))) AS forecast_credits,
+       SUM(CAST(lower_bound_credits AS DECIMAL(28,6))) AS lower_bound_credits,
+       SUM(CAST(upper_bound_credits AS DECIMAL(28,6))) AS upper_bound_credits
 FROM forecast WHERE forecast_date < (SELECT MIN(forecast_date) FROM forecast) + 180 GROUP BY 1, 2""")
 
 
@@ -458,7 +455,7 @@ CTES["band"] = ("projection", """
 SELECT account, month, CAST(c AS DOUBLE) AS projected_cost_usd, CAST(c AS DOUBLE) * 0.9::DOUBLE AS lower_bound,
        CAST(c AS DOUBLE) * 1.1::DOUBLE AS upper_bound,
        CAST(SUM(c) OVER (PARTITION BY account ORDER BY month) AS DOUBLE) AS cumulative_cost_usd
-FROM (SELECT account, month, SUM(CAST(projected_cost_usd AS DECIMAL(28,9))) AS c FROM projection GROUP BY 1, 2)""")
+FROM (SELECT account, month, SUM(CAST(projected_cost_usd AS DECIMAL(28,6))) AS c FROM projection GROUP BY 1, 2)""")
 
 
 def _maturity(source: str, group: str) -> str:
@@ -831,7 +828,7 @@ _q("linear_forecast", "account_line_3m", "SELECT * FROM account_line_3m", "forec
 _q("linear_forecast_monthly", "account_line", """
 SELECT *, forecast_credits * 3.0::DOUBLE AS forecast_cost_usd FROM (
   SELECT account, CAST(date_trunc('month', date) AS DATE) AS month,
-         CAST(SUM(CAST(forecast_credits AS DECIMAL(28,9))) AS DOUBLE) AS forecast_credits FROM account_line GROUP BY 1, 2)""",
+         CAST(SUM(CAST(forecast_credits AS DECIMAL(28,6))) AS DOUBLE) AS forecast_credits FROM account_line GROUP BY 1, 2)""",
    "forecast_credits forecast_cost_usd")
 _q("forecast_by_month", "forecast_months", "SELECT * FROM forecast_months", _BOUNDS)
 _q("forecast_monthly", "forecast_months", """
@@ -1161,15 +1158,14 @@ SELECT CAST(ts AS DATE) AS usage_date, event_type AS service_type, COUNT(*) AS e
        SUM(CAST(value / 100 AS {MONEY})) AS total_credits FROM events GROUP BY 1, 2""", "total_credits")
 
 
-def _presented(key: str, sql: str, doubles: str) -> str:
-    """DECIMAL results as DOUBLE, rounded as the Spark result is."""
+def _presented(sql: str, doubles: str) -> str:
+    """DECIMAL results as DOUBLE."""
     if not doubles:
         return f"SELECT * FROM ({sql})"
     names = doubles.split("|") if "|" in doubles else doubles.split()
-    form = f'ROUND(CAST("{{0}}" AS DOUBLE), {DIGITS[key]})' if key in DIGITS else 'CAST("{0}" AS DOUBLE)'
-    replaced = ", ".join(f'{form.format(c)} AS "{c}"' for c in names)
+    replaced = ", ".join(f'CAST("{c}" AS DOUBLE) AS "{c}"' for c in names)
     return f"SELECT * REPLACE ({replaced}) FROM ({sql})"
 
 
 def statements() -> dict[str, str]:
-    return {key: _with(deps, _presented(key, sql, doubles)) for key, (deps, sql, doubles) in _QUERIES.items()}
+    return {key: _with(deps, _presented(sql, doubles)) for key, (deps, sql, doubles) in _QUERIES.items()}

@@ -17,7 +17,7 @@ from ..sources import usage_files
 from ..sources.schemas import SNAPSHOT_SCHEMA, names
 from ..streaming import daily_usage as stream
 from . import testbed
-from .testbed import AS_OF, DIGITS, LOOKBACK_DAYS
+from .testbed import AS_OF, LOOKBACK_DAYS
 
 SCOPE = {"as_of": AS_OF, "lookback_days": LOOKBACK_DAYS}
 RUN_TS = datetime(2024, 1, 31, 3, 0)
@@ -385,4 +385,4 @@ QUERIES: dict[str, Query] = {
 
 
 def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return present(QUERIES[name](Bed(spark, sf_dir)), DIGITS.get(name))
+    return present(QUERIES[name](Bed(spark, sf_dir)))

@@ -15,13 +15,6 @@ AS_OF = datetime(2024, 1, 31)
 LOOKBACK_DAYS = 90
 MONEY = "DECIMAL(18,6)"
 
-# Decimals to which results are rounded before they are compared: the engines' pow() and their conversion of ratios to
-# DECIMAL differ in the last bits. All other results are compared unrounded.
-DIGITS = {
-    **dict.fromkeys(["growth_projection", "growth_monthly_band", "growth_cards", "growth_scenarios", "growth_two_driver"], 6),
-    **dict.fromkeys(["snapshot_source", "snapshot_source_repeated", "snapshot_backfill", "snapshot_upsert"], 11),
-}
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
