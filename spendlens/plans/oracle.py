@@ -1,7 +1,8 @@
 """SQL of the registered queries for the independent engine, written from the definitions, not from the Spark plans.
 
 Only the base tables are known there, so every statement carries the usage tables it needs as CTEs. Sums are exact
-(DECIMAL) in both engines, so results are compared unrounded.
+(DECIMAL) in both engines, so results are compared unrounded; computed doubles become DECIMAL by way of their text, which
+rounds their shortest form half up in both engines.
 """
 
 from __future__ import annotations
@@ -403,7 +404,7 @@ SELECT f.service_type, n, dayofweek(CAST(ts AS DATE)) AS weekday,
 FROM series s JOIN fit f ON s.service_type = f.service_type""")
 
 CTES["weekdays"] = ("residuals", """
-SELECT service_type, weekday, CAST(SUM(CAST(residual AS DECIMAL(28,9))) AS DOUBLE) / COUNT(*) AS effect
+SELECT service_type, weekday, CAST(SUM(CAST(CAST(residual AS VARCHAR) AS DECIMAL(28,9))) AS DOUBLE) / COUNT(*) AS effect
 FROM residuals GROUP BY 1, 2""")
 
 CTES["spread"] = ("weekdays", """
@@ -420,9 +421,9 @@ FROM (SELECT f.service_type, last_day + CAST(h AS INTEGER) AS forecast_date, sig
 
 CTES["forecast_months"] = ("forecast", """
 SELECT CAST(date_trunc('month', forecast_date) AS DATE) AS month, service_type,
-       SUM(CAST(forecast_credits AS DECIMAL(28,6))) AS forecast_credits,
-       SUM(CAST(lower_bound_credits AS DECIMAL(28,6))) AS lower_bound_credits,
-       SUM(CAST(upper_bound_credits AS DECIMAL(28,6))) AS upper_bound_credits
+       SUM(CAST(CAST(forecast_credits AS VARCHAR) AS DECIMAL(28,6))) AS forecast_credits,
+       SUM(CAST(CAST(lower_bound_credits AS VARCHAR) AS DECIMAL(28,6))) AS lower_bound_credits,
+       SUM(CAST(CAST(upper_bound_credits AS VARCHAR) AS DECIMAL(28,6))) AS upper_bound_credits
 FROM forecast WHERE forecast_date < (SELECT MIN(forecast_date) FROM forecast) + 180 GROUP BY 1, 2""")
 
 
@@ -455,7 +456,7 @@ CTES["band"] = ("projection", """
 SELECT account, month, CAST(c AS DOUBLE) AS projected_cost_usd, CAST(c AS DOUBLE) * 0.9::DOUBLE AS lower_bound,
        CAST(c AS DOUBLE) * 1.1::DOUBLE AS upper_bound,
        CAST(SUM(c) OVER (PARTITION BY account ORDER BY month) AS DOUBLE) AS cumulative_cost_usd
-FROM (SELECT account, month, SUM(CAST(projected_cost_usd AS DECIMAL(28,6))) AS c FROM projection GROUP BY 1, 2)""")
+FROM (SELECT account, month, SUM(CAST(CAST(projected_cost_usd AS VARCHAR) AS DECIMAL(28,6))) AS c FROM projection GROUP BY 1, 2)""")
 
 
 def _maturity(source: str, group: str) -> str:
@@ -828,7 +829,7 @@ _q("linear_forecast", "account_line_3m", "SELECT * FROM account_line_3m", "forec
 _q("linear_forecast_monthly", "account_line", """
 SELECT *, forecast_credits * 3.0::DOUBLE AS forecast_cost_usd FROM (
   SELECT account, CAST(date_trunc('month', date) AS DATE) AS month,
-         CAST(SUM(CAST(forecast_credits AS DECIMAL(28,6))) AS DOUBLE) AS forecast_credits FROM account_line GROUP BY 1, 2)""",
+         CAST(SUM(CAST(CAST(forecast_credits AS VARCHAR) AS DECIMAL(28,6))) AS DOUBLE) AS forecast_credits FROM account_line GROUP BY 1, 2)""",
    "forecast_credits forecast_cost_usd")
 _q("forecast_by_month", "forecast_months", "SELECT * FROM forecast_months", _BOUNDS)
 _q("forecast_monthly", "forecast_months", """
