@@ -64,8 +64,16 @@ def pct_change(current: ColumnLike, previous: ColumnLike) -> Column:
 
 
 def text_to_long(c: ColumnLike) -> Column:
-    """Number held as text -> BIGINT, NULL where it does not parse; fractions are rounded."""
-    return col(c).try_cast("decimal(38,0)").cast("long")
+    """Number held as text -> BIGINT, NULL where it does not parse; fractions are rounded.
+
+    A failed cast costs an exception per row inside the engine, so text is only cast after a look at its form; plain
+    integers avoid DECIMAL.
+    """
+    c = col(c)
+    number = c.rlike(r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$")
+    return F.when(c.rlike(r"^[+-]?[0-9]{1,18}$"), c.try_cast("long")).when(
+        number, c.try_cast("decimal(38,0)").try_cast("long")
+    )
 
 
 def round_cents(c: ColumnLike, digits: int = 2) -> Column:

@@ -62,21 +62,29 @@ def user_spend_window(attribution: DataFrame, *, as_of: datetime, lookback_days:
 
 
 def user_spend_summary(attribution: DataFrame) -> DataFrame:
-    """One row per user: total, one column per service, activity. Services are few, so their distinct count is a small
-    set per user and only the days need a distinct aggregate."""
+    """One row per user: total, one column per service, activity.
 
-    def only(service: str) -> Column:
-        return F.sum(F.when(F.col("service_type") == service, F.col("credits_used")).otherwise(0))
+    Rows first shrink to one per user and day, so active days are a plain count; a flag per service replaces the second
+    distinct count.
+    """
+    services = {S.ANALYST: "analyst", S.FUNCTIONS: "functions", S.DOCUMENTS: "document_processing"}
 
-    return attribution.groupBy("user_name").agg(
+    def only(service: str, value: Column) -> Column:
+        return F.when(F.col("service_type") == service, value)
+
+    per_day = attribution.groupBy("user_name", "usage_date").agg(
+        F.sum("credits_used").alias("credits_used"),
+        *[F.sum(F.coalesce(only(s, F.col("credits_used")), F.lit(0))).alias(n) for s, n in services.items()],
+        *[F.max(F.coalesce(only(s, F.lit(1)), F.lit(0))).alias(f"has_{n}") for s, n in services.items()],
+    )
+    uses = [F.max(f"has_{n}") for n in services.values()]
+    return per_day.groupBy("user_name").agg(
         F.sum("credits_used").alias("total_credits_used"),
-        only(S.ANALYST).alias("analyst_credits_used"),
-        only(S.FUNCTIONS).alias("functions_credits_used"),
-        only(S.DOCUMENTS).alias("document_processing_credits_used"),
+        *[F.sum(n).alias(f"{n}_credits_used") for n in services.values()],
         F.min("usage_date").alias("first_usage_date"),
         F.max("usage_date").alias("last_usage_date"),
-        F.count_distinct("usage_date").alias("active_days"),
-        F.size(F.collect_set("service_type")).cast("long").alias("services_used"),
+        F.count("usage_date").alias("active_days"),
+        (uses[0] + uses[1] + uses[2]).cast("long").alias("services_used"),
     )
 
 

@@ -16,18 +16,21 @@ from ..sources.telemetry import Telemetry
 from . import details
 
 
+def _function_calls(t: Telemetry, as_of: datetime, lookback_days: int) -> DataFrame:
+    return t.recent("functions", as_of, lookback_days).withColumn("_warehouse", text_to_long("warehouse_id"))
+
+
 def _serverless_calls() -> Column:
-    warehouse = text_to_long("warehouse_id")
-    return F.count_if(warehouse.isNull() | (warehouse == 0)).alias("serverless_calls")
+    return F.count_if(F.col("_warehouse").isNull() | (F.col("_warehouse") == 0)).alias("serverless_calls")
 
 
 def _compute_calls() -> Column:
-    return F.count_if(text_to_long("warehouse_id") > 0).alias("compute_calls")
+    return F.count_if(F.col("_warehouse") > 0).alias("compute_calls")
 
 
 def function_summary(t: Telemetry, *, as_of: datetime, lookback_days: int = 90) -> DataFrame:
     return (
-        t.recent("functions", as_of, lookback_days)
+        _function_calls(t, as_of, lookback_days)
         .groupBy("function_name", "model_name")
         .agg(
             F.count_distinct("query_id").alias("call_count"),
@@ -66,7 +69,7 @@ def model_comparison(t: Telemetry, *, as_of: datetime, lookback_days: int = 90)
 def function_daily_trends(t: Telemetry, *, as_of: datetime, lookback_days: int = 90) -> DataFrame:
     """``hourly_records`` is the number of distinct queries; the name is kept for existing readers."""
     return (
-        t.recent("functions", as_of, lookback_days)
+        _function_calls(t, as_of, lookback_days)
         .groupBy(F.col("usage_time").cast("date").alias("usage_date"), "function_name", "model_name")
         .agg(
             F.count_distinct("query_id").alias("hourly_records"),

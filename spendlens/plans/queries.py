@@ -14,7 +14,6 @@ from ..functions.columns import day_before, present
 from ..operators import analytics, anomalies, attribution, details, extras, forecast, quality, rollups, settings, snapshot
 from ..session import scratch_path
 from ..sources import usage_files
-from ..sources.schemas import SNAPSHOT_SCHEMA, names
 from ..streaming import daily_usage as stream
 from . import testbed
 from .testbed import AS_OF, LOOKBACK_DAYS
@@ -180,15 +179,16 @@ def _csv_round_trip(b: Bed, compression: str) -> DataFrame:
 
 
 def _snapshot_upsert(b: Bed) -> DataFrame:
-    """Second run of a day's job: the first one had not yet seen the newest day and had stale values."""
-    source = snapshot.snapshot_source(b.telemetry, as_of=AS_OF)
-    first = (
-        source.where(F.col("usage_date") < F.lit(day_before(AS_OF, 1)))
-        .withColumn("total_operations", F.lit(0).cast("long"))
-        .withColumn("inserted_at", F.lit("2024-01-31 02:00:00").cast("timestamp_ntz"))
+    """Second run of a day's job: the table holds the day before, and stale rows of a first run that had not yet seen
+    the newest day."""
+    today, yesterday = F.lit(AS_OF.date()), F.lit(day_before(AS_OF, 1))
+    stale = F.col("snapshot_date") == today
+    stored = (
+        b.snapshots.where((F.col("snapshot_date") == yesterday) | (stale & (F.col("usage_date") < yesterday)))
+        .withColumn("total_operations", F.when(stale, F.lit(0)).otherwise(F.col("total_operations")))
+        .withColumn("inserted_at", F.when(stale, F.lit("2024-01-31 02:00:00").cast("timestamp_ntz")).otherwise(F.col("inserted_at")))
     )
-    older = b.snapshots.where(F.col("snapshot_date") == F.lit(day_before(AS_OF, 1)))
-    return snapshot.snapshot_upsert(first.select(*names(SNAPSHOT_SCHEMA)).unionByName(older), source, run_ts=RUN_TS)
+    return snapshot.snapshot_upsert(stored, snapshot.snapshot_source(b.telemetry, as_of=AS_OF), run_ts=RUN_TS)
 
 
 def _lookback_scan(b: Bed) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions import services as S
 from ..functions.columns import day_before
@@ -108,7 +109,7 @@ def snapshot_or_live(history: DataFrame, live: DataFrame, *, group_cols: Sequenc
 
 
 def export_realtime(export: DataFrame, *, as_of, days: int = 90) -> DataFrame:
-    """Columns of the usage file, rounded so that no value is written in scientific notation."""
+    """Columns of the usage file, rounded."""
     return export.where(F.col("date") >= F.lit(day_before(as_of, days))).select(
         "date", "service_type", "daily_unique_users", "total_operations",
         F.round("total_credits", 8).alias("total_credits"),
@@ -141,8 +142,13 @@ def export_function_detail(function_summary: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, *, compression: str = "none", upper_names: bool = True) -> None:
-    """Write as CSV with header, one file per task; names in upper case as the usage files have them."""
-    out = df.toDF(*[c.upper() for c in df.columns]) if upper_names else df
+    """Write as CSV with header, one file per task; names in upper case as the usage files have them. Doubles are written
+    as plain decimals, not in scientific notation."""
+    out = df.select(*[
+        (F.col(f"`{f.name}`").cast("decimal(38,12)") if isinstance(f.dataType, DoubleType) else F.col(f"`{f.name}`"))
+        .alias(f.name.upper() if upper_names else f.name)
+        for f in df.schema.fields
+    ])
     out.write.mode("errorifexists").option("header", True).option("compression", compression).csv(path)
 
 

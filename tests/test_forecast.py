@@ -1,0 +1,133 @@
+from datetime import date, timedelta
+
+import numpy as np
+import pytest
+from conftest import AS_OF, one, rows
+from pyspark.sql import functions as F
+
+from spendlens.operators import analytics, forecast
+
+
+def test_compound_growth_constants(usage):
+    base = usage([(0, "A", 10, 100, 1000.0)])
+    at = {r["scenario"] + str(r["month"]): r["projected_cost_usd"] for r in rows(forecast.growth_scenarios(base, price=1.0))}
+    assert round(at["Conservative12"], 2) == 3138.43
+    assert round(at["Moderate12"], 2) == 14551.92
+    assert round(at["Aggressive12"], 2) == 129746.34
+    six = forecast.growth_projection(base, growth_rate=0.15, months=6, price=1.0)
+    assert round(max(r["projected_cost_usd"] for r in rows(six)), 2) == 2313.06
+
+
+def test_projection_of_first_and_last_month(usage):
+    base = usage([(0, "A", 10, 100, 600.0), (1, "A", 30, 100, 400.0)])
+    got = {r["month"]: r for r in rows(forecast.growth_projection(base, growth_rate=0.10))}
+    assert round(got[1]["projected_cost_usd"], 2) == 3300.0
+    assert round(got[12]["projected_cost_usd"], 1) == 9415.3
+    assert got[1]["projected_users"] == pytest.approx(22.0)
+    monthly = forecast.growth_projection(base, growth_rate=0.10, baseline="monthly")
+    assert round({r["month"]: r for r in rows(monthly)}[1]["projected_credits"], 2) == 16500.0
+
+
+def test_projection_without_users_costs_nothing_per_user(usage):
+    got = rows(forecast.growth_projection(usage([(0, "A", 0, 1, 10.0)]), growth_rate=0.5, months=2))
+    assert [r["cost_per_user_usd"] for r in got] == [0.0, 0.0]
+
+
+def test_band_and_cards(usage):
+    projection = forecast.growth_projection(usage([(0, "A", 1, 1, 100.0), (0, "B", 1, 1, 50.0)]), growth_rate=0.0, months=3)
+    band = forecast.growth_monthly_band(projection, variance=0.2)
+    got = sorted(rows(band), key=lambda r: r["month"])
+    assert [r["cumulative_cost_usd"] for r in got] == [450.0, 900.0, 1350.0]
+    assert got[0]["lower_bound"] == pytest.approx(360.0) and got[0]["upper_bound"] == pytest.approx(540.0)
+    cards = one(forecast.growth_cards(band))
+    assert cards["month_1_cost"] == 450.0 and cards["month_12_cost"] == 0.0 and cards["total_cost"] == 1350.0
+
+
+def test_linear_forecast_equals_polyfit(usage):
+    y = [10, 12, 15, 18, 20, 22, 25, 28, 30, 32]
+    data = usage([(i, "Service A", 1, 1, float(v)) for i, v in enumerate(y)])
+    got = sorted(rows(forecast.linear_forecast(data, months=1)), key=lambda r: r["date"])
+    slope, intercept = np.polyfit(np.arange(10), y, 1)
+    assert len(got) == 30 and got[0]["date"] == date(2025, 1, 11)
+    for h, r in enumerate(got):
+        assert r["forecast_credits"] == pytest.approx(intercept + slope * (10 + h))
+
+
+def test_linear_forecast_needs_seven_days_and_stays_positive(usage):
+    short = usage([(i, "A", 1, 1, 5.0) for i in range(6)])
+    assert rows(forecast.linear_forecast(short)) == []
+    falling = usage([(i, "A", 1, 1, 100.0 - 10 * i) for i in range(10)])
+    assert min(r["forecast_credits"] for r in rows(forecast.linear_forecast(falling, months=2))) == 0.0
+
+
+def test_linear_forecast_is_per_group(usage, spark):
+    rising = usage([(i, "A", 1, 1, float(i)) for i in range(8)]).withColumn("account", F.lit("up"))
+    flat = usage([(i, "A", 1, 1, 3.0) for i in range(8)]).withColumn("account", F.lit("flat"))
+    got = rows(forecast.linear_forecast(rising.unionByName(flat), months=1, group_cols=("account",)))
+    flat_values = {round(r["forecast_credits"], 9) for r in got if r["account"] == "flat"}
+    assert flat_values == {3.0}
+    assert max(r["forecast_credits"] for r in got if r["account"] == "up") == pytest.approx(7 + 30)
+
+
+def series(spark, values, service="A"):
+    data = [(service, date(2025, 1, 1) + timedelta(days=i), v) for i, v in enumerate(values)]
+    return spark.createDataFrame(data, "service_type STRING, d DATE, y DOUBLE").select(
+        "service_type", F.col("d").cast("timestamp_ntz").alias("ts"), F.col("y").cast("decimal(38,6)").alias("y")
+    )
+
+
+def test_forecast_12m_reproduces_trend_and_weekday(spark):
+    values = [100.0 + 2 * i + (50 if i % 7 == 3 else 0) for i in range(28)]
+    got = sorted(rows(forecast.forecast_12m(series(spark, values), horizon_days=14)), key=lambda r: r["forecast_date"])
+    assert [r["forecast_date"] for r in got][:1] == [date(2025, 1, 29)]
+    bumped = [r["forecast_credits"] for i, r in enumerate(got) if (28 + i) % 7 == 3]
+    plain = [r["forecast_credits"] for i, r in enumerate(got) if (28 + i) % 7 == 2]
+    assert all(b - p > 40 for b, p in zip(bumped, plain))
+    assert all(r["lower_bound_credits"] <= r["forecast_credits"] <= r["upper_bound_credits"] for r in got)
+
+
+def test_forecast_12m_drops_short_series_and_handles_constant(spark):
+    both = series(spark, [5.0] * 14).unionByName(series(spark, [1.0] * 13, "B"))
+    got = rows(forecast.forecast_12m(both, horizon_days=3))
+    assert {r["service_type"] for r in got} == {"A"}
+    assert all(r["forecast_credits"] == pytest.approx(5.0) for r in got)
+
+
+def test_empty_forecast_has_the_schema(spark):
+    empty = forecast.forecast_empty(spark)
+    assert empty.count() == 0
+    assert empty.columns == ["service_type", "forecast_date", "forecast_credits", "lower_bound_credits", "upper_bound_credits"]
+
+
+def test_scenarios_budget_and_capacity(usage):
+    run_rate = analytics.run_rate(usage([(i, "A", 10, 10, 10.0) for i in range(30)]))
+    base = one(run_rate)
+    assert base["monthly_cost"] == 900.0 and base["avg_users"] == 10.0 and base["confidence_score"] == 100
+    got = {r["scenario"]: r for r in rows(forecast.scale_scenarios(run_rate, custom=(2.0, 3.0)))}
+    assert got["Light POC"]["projected_monthly_cost"] == 900.0 * 20 * 1.5
+    assert got["Custom"]["projected_annual_cost"] == 900.0 * 6 * 12
+    assert got["Heavy POC"]["cost_per_user"] == 90.0
+    budget = {r["scenario"]: r for r in rows(forecast.budget_recommendation(forecast.scale_scenarios(run_rate)))}
+    assert budget["Heavy POC"]["recommended_annual_budget"] == pytest.approx(900 * 4 * 12 * 1.05 * 1.15)
+    capacity = one(forecast.budget_capacity(run_rate, monthly_budget=1000.0, safety_buffer=0.10))
+    assert capacity["users_supported"] == 10 and capacity["utilisation_pct"] == 90.0 and capacity["remaining_budget"] == 100.0
+
+
+def test_confidence_interval_widths(spark):
+    df = spark.createDataFrame([(100.0, 0), (100.0, 100), (100.0, 50)], "v DOUBLE, confidence_score BIGINT")
+    got = {r["confidence_score"]: r for r in rows(forecast.confidence_interval(df, "v"))}
+    assert got[0]["variance_pct"] == pytest.approx(0.30) and got[100]["variance_pct"] == pytest.approx(0.05)
+    assert got[50]["lower_bound"] == pytest.approx(82.5) and got[50]["upper_bound"] == pytest.approx(117.5)
+    assert {r["variance_pct"] for r in rows(forecast.confidence_interval(df, "v", variance=0.4))} == {0.4}
+
+
+def test_two_driver_growth(usage):
+    got = {r["month"]: r for r in rows(forecast.growth_two_driver(usage([(0, "A", 10, 1, 100.0)]), user_growth=0.1, intensity_growth=0.2, months=2))}
+    assert got[2]["projected_users"] == pytest.approx(12.1)
+    assert got[2]["projected_credits"] == pytest.approx(100 * 1.21 * 1.44)
+
+
+def test_forecast_input_window(spark):
+    data = [(date(2024, 1, 1), "A", 5.0), (date(2025, 1, 30), "A", 1.0), (date(2025, 1, 30), "A", 2.0)]
+    df = spark.createDataFrame(data, "usage_date DATE, service_type STRING, total_credits DOUBLE")
+    assert float(one(forecast.forecast_input(df, as_of=AS_OF))["y"]) == 3.0
