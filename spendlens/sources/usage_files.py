@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DecimalType, DoubleType, StructField
 
 from ..functions import services as S
 from ..functions.columns import day_before
@@ -141,14 +141,17 @@ def export_function_detail(function_summary: DataFrame) -> DataFrame:
     )
 
 
+def _plain(field: StructField) -> Column:
+    """Numbers as digits: neither doubles nor small decimals are written in scientific notation."""
+    c = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, DoubleType):
+        c = c.cast("decimal(38,12)")
+    return c.cast("string") if isinstance(field.dataType, (DoubleType, DecimalType)) else c
+
+
 def write_csv(df: DataFrame, path: str, *, compression: str = "none", upper_names: bool = True) -> None:
-    """Write as CSV with header, one file per task; names in upper case as the usage files have them. Doubles are written
-    as plain decimals, not in scientific notation."""
-    out = df.select(*[
-        (F.col(f"`{f.name}`").cast("decimal(38,12)") if isinstance(f.dataType, DoubleType) else F.col(f"`{f.name}`"))
-        .alias(f.name.upper() if upper_names else f.name)
-        for f in df.schema.fields
-    ])
+    """Write as CSV with header, one file per task; names in upper case as the usage files have them."""
+    out = df.select(*[_plain(f).alias(f.name.upper() if upper_names else f.name) for f in df.schema.fields])
     out.write.mode("errorifexists").option("header", True).option("compression", compression).csv(path)
 
 
