@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 from datetime import date, datetime, timedelta
+from string import Formatter
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -90,6 +91,15 @@ def ts(value: datetime) -> Column:
     return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
+def filled_text(template: str, **values: Column) -> Column:
+    """Text with {name} places filled from columns."""
+    parts = []
+    for literal, name, _, _ in Formatter().parse(template):
+        parts += [F.lit(literal)] if literal else []
+        parts += [values[name].cast("string")] if name else []
+    return F.concat(*parts)
+
+
 def day_before(as_of: datetime | date, days: int) -> date:
     start = as_of - timedelta(days=days)
     return start.date() if isinstance(start, datetime) else start

@@ -18,13 +18,17 @@ _BAND_ZERO = 400_000  # above |ln(smallest double)| * BANDS_PER_EFOLD, keeps ban
 
 
 def band(value: Column | str) -> Column:
-    """Band number, non-decreasing in the value; negative values mirror positive ones."""
+    """Band number, non-decreasing in the value; negative values mirror positive ones.
+
+    Never NULL: otherwise joins on the band would add a filter to one of two equal subplans, which then run twice.
+    """
     v = dbl(value)
 
     def level(x: Column) -> Column:
         return F.floor(F.ln(x) * BANDS_PER_EFOLD) + _BAND_ZERO
 
-    return F.when(v > 0, level(v)).when(v < 0, -level(-v)).otherwise(F.lit(0).cast("long"))
+    zero = F.lit(0).cast("long")
+    return F.coalesce(F.when(v > 0, level(v)).when(v < 0, -level(-v)), zero)
 
 
 def rank_rows(

@@ -108,3 +108,32 @@ DEFAULT_SETTINGS = [
     ("DECIMAL_PLACES", "2", "Decimal places of displayed money", "INTEGER"),
     ("CONFIG_VERSION", "1.0", "Settings schema version", "STRING"),
 ]
+
+# alert level: message, action; {service} and {pct} are filled in
+ALERT_TEXTS = {
+    "HIGH": (
+        "HIGH ALERT: {service} credits increased {pct}% vs last week",
+        "INVESTIGATE: Review query patterns and user activity for {service}",
+    ),
+    "MEDIUM": (
+        "MEDIUM ALERT: {service} credits increased {pct}% vs last week",
+        "MONITOR: Track {service} usage closely over next few days",
+    ),
+    "DECLINING": (
+        "DECLINING: {service} credits decreased {pct}% vs last week",
+        "REVIEW: Check if decrease in {service} is expected",
+    ),
+    "NORMAL": ("NORMAL: No significant change detected", "Continue normal monitoring"),
+}
+ALERT_PRIORITY = {"HIGH": 3, "MEDIUM": 2, "DECLINING": 1}
+ALERTS_NONE = "No active anomalies detected"
+ALERTS_SOME = "{n} active anomalies detected"
+
+# data-quality texts
+ADVICE_MISSING_DATES = "Investigate missing dates - possible data pipeline issue"
+ADVICE_CALCULATION = "Fix calculation errors in views"
+ADVICE_NEGATIVE = "Investigate negative credit values"
+ADVICE_NONE = "No critical issues detected"
+SUMS_DIFFER = "FAIL - Views out of sync"
+CHECKS_PASSED = "ALL TESTS PASSED - Deployment validated successfully"
+CHECKS_FAILED = "{n} TEST(S) FAILED - Review failures above"

@@ -8,7 +8,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import day_before, dbl, mean_over, pct_change, whole_percent_text, windowed
+from ..functions import services as S
+from ..functions.columns import day_before, dbl, filled_text, mean_over, pct_change, whole_percent_text, windowed
 
 
 def cost_anomalies(
@@ -53,8 +54,18 @@ def cost_anomalies(
         .withColumn("_pct", pct_change("total_credits", "credits_7d_ago"))
         .withColumn("_growth", (dbl("total_credits") - dbl("credits_7d_ago")) / F.nullif(dbl("credits_7d_ago"), F.lit(0.0)))
     )
-    growth, service, pct = F.col("_growth"), F.col("service_type"), whole_percent_text("_pct")
-    drop = whole_percent_text(F.abs("_pct"))
+    growth = F.col("_growth")
+
+    def text(place: int) -> Column:
+        def of(level: str) -> Column:
+            pct = whole_percent_text(F.abs("_pct"))
+            return filled_text(S.ALERT_TEXTS[level][place], service=F.col("service_type"), pct=pct)
+
+        return F.when(growth > high, of("HIGH")).when(growth > medium, of("MEDIUM")).when(
+            growth < -medium, of("DECLINING")
+        ).otherwise(of("NORMAL"))
+
+    level = F.when(growth > high, "HIGH").when(growth > medium, "MEDIUM").when(growth < 0, "DECLINING")
     return compared.select(
         "date", *series, "total_credits", "credits_7d_ago", "credits_14d_ago", "credits_7d_avg",
         "daily_unique_users", "total_operations",
@@ -62,16 +73,9 @@ def cost_anomalies(
         F.round(F.col("total_credits") - F.col("credits_7d_ago"), 4).alias("wow_credits_change"),
         F.round(pct_change("total_credits", "credits_14d_ago"), 2).alias("two_week_growth_pct"),
         F.round(pct_change("total_credits", "credits_7d_avg"), 2).alias("deviation_from_avg_pct"),
-        F.when(growth > high, "HIGH").when(growth > medium, "MEDIUM").when(growth < 0, "DECLINING")
-        .otherwise("NORMAL").alias("alert_level"),
-        F.when(growth > high, F.concat(F.lit("HIGH ALERT: "), service, F.lit(" credits increased "), pct, F.lit("% vs last week")))
-        .when(growth > medium, F.concat(F.lit("MEDIUM ALERT: "), service, F.lit(" credits increased "), pct, F.lit("% vs last week")))
-        .when(growth < -medium, F.concat(F.lit("DECLINING: "), service, F.lit(" credits decreased "), drop, F.lit("% vs last week")))
-        .otherwise("NORMAL: No significant change detected").alias("alert_message"),
-        F.when(growth > high, F.concat(F.lit("INVESTIGATE: Review query patterns and user activity for "), service))
-        .when(growth > medium, F.concat(F.lit("MONITOR: Track "), service, F.lit(" usage closely over next few days")))
-        .when(growth < -medium, F.concat(F.lit("REVIEW: Check if decrease in "), service, F.lit(" is expected")))
-        .otherwise("Continue normal monitoring").alias("recommended_action"),
+        level.otherwise("NORMAL").alias("alert_level"),
+        text(0).alias("alert_message"),
+        text(1).alias("recommended_action"),
     )
 
 
@@ -80,7 +84,7 @@ def cost_anomalies_current(anomalies: DataFrame, *, as_of: datetime, days: int =
     return anomalies.where((F.col("date") >= F.lit(day_before(as_of, days))) & level.isin("HIGH", "MEDIUM")).select(
         "date", *group_cols, "service_type", "total_credits", "credits_7d_ago", "wow_growth_pct", "wow_credits_change",
         "alert_level", "alert_message", "recommended_action", "daily_unique_users",
-        F.when(level == "HIGH", 3).when(level == "MEDIUM", 2).when(level == "DECLINING", 1).otherwise(0)
+        F.coalesce(F.create_map(*[F.lit(x) for kv in S.ALERT_PRIORITY.items() for x in kv])[level], F.lit(0))
         .cast("long").alias("priority_score"),
     )
 
@@ -107,8 +111,7 @@ def anomaly_status(current: DataFrame) -> DataFrame:
     n = F.count(F.lit(1))
     return current.agg(
         n.alias("active_anomalies"),
-        F.when(n == 0, "No active anomalies detected")
-        .otherwise(F.concat(n.cast("string"), F.lit(" active anomalies detected"))).alias("current_status"),
+        F.when(n == 0, S.ALERTS_NONE).otherwise(filled_text(S.ALERTS_SOME, n=n)).alias("current_status"),
     )
 
 

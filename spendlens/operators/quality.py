@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import services as S
-from ..functions.columns import as_date, day_before, dbl, mean, ts
+from ..functions.columns import as_date, day_before, dbl, filled_text, mean, ts
 from ..sources.schemas import TIME_COLUMN
 from ..sources.telemetry import Telemetry
 
@@ -86,7 +86,7 @@ def sum_consistency(daily: DataFrame, export: DataFrame, *, as_of: datetime, day
         side("summary").cast("double").alias("summary_credits"),
         side("export").cast("double").alias("export_credits"),
         difference.cast("double").alias("difference"),
-        F.when(difference < 0.01, "PASS").otherwise("FAIL - Views out of sync").alias("status"),
+        F.when(difference < 0.01, "PASS").otherwise(S.SUMS_DIFFER).alias("status"),
     )
 
 
@@ -176,10 +176,10 @@ def recommendation(daily: DataFrame, *, as_of: datetime, days: int = 30, group_c
     """The most urgent finding."""
     return _facts(daily, as_of, days, group_cols).select(
         *group_cols,
-        F.when(days + 1 - F.col("covered_days") > 5, "Investigate missing dates - possible data pipeline issue")
-        .when(F.col("ratio_errors") > 0, "Fix calculation errors in views")
-        .when(F.col("negative_credits") > 0, "Investigate negative credit values")
-        .otherwise("No critical issues detected").alias("recommendation"),
+        F.when(days + 1 - F.col("covered_days") > 5, S.ADVICE_MISSING_DATES)
+        .when(F.col("ratio_errors") > 0, S.ADVICE_CALCULATION)
+        .when(F.col("negative_credits") > 0, S.ADVICE_NEGATIVE)
+        .otherwise(S.ADVICE_NONE).alias("recommendation"),
     )
 
 
@@ -242,8 +242,7 @@ def check_overall(results: DataFrame, *, group_cols: Sequence[str] = ()) -> Data
     status = F.col("test_status")
     failed = F.count_if(status == "FAIL")
     return results.groupBy(*group_cols).agg(
-        F.when(failed == 0, "ALL TESTS PASSED - Deployment validated successfully")
-        .otherwise(F.concat(failed.cast("string"), F.lit(" TEST(S) FAILED - Review failures above"))).alias("overall_status"),
+        F.when(failed == 0, S.CHECKS_PASSED).otherwise(filled_text(S.CHECKS_FAILED, n=failed)).alias("overall_status"),
         F.count(F.lit(1)).alias("total_tests"),
         F.count_if(status == "PASS").alias("passed"),
         failed.alias("failed"),

@@ -523,13 +523,18 @@ JOIN (SELECT {keys}SUM(total_credits) AS all_credits, COUNT(DISTINCT date) AS al
 
 CTES["breakdown"] = ("fx_accounts", _breakdown("fx_accounts", "account"))
 
-_W30 = "PARTITION BY account, service_type ORDER BY date ROWS BETWEEN 29 PRECEDING AND CURRENT ROW"
-CTES["rolling"] = ("fx_accounts", f"""
+
+def _rolling(frame: str) -> str:
+    w = f"PARTITION BY account, service_type ORDER BY date {frame}"
+    return f"""
 SELECT *, CASE WHEN users_30d_avg > 0 THEN credits_30d_total / users_30d_avg ELSE 0.0 END AS cost_per_user_30d FROM (
-  SELECT *, {dbl(f'SUM(total_credits) OVER ({_W30})')} AS credits_30d_total,
-         {big(f'SUM(total_operations) OVER ({_W30})')} AS operations_30d_total,
-         {dbl(f'SUM(daily_unique_users) OVER ({_W30})')} / COUNT(daily_unique_users) OVER ({_W30}) AS users_30d_avg
-  FROM fx_accounts)""")
+  SELECT *, {dbl(f'SUM(total_credits) OVER ({w})')} AS credits_30d_total,
+         {big(f'SUM(total_operations) OVER ({w})')} AS operations_30d_total,
+         {dbl(f'SUM(daily_unique_users) OVER ({w})')} / COUNT(daily_unique_users) OVER ({w}) AS users_30d_avg
+  FROM fx_accounts)"""
+
+
+CTES["rolling"] = ("fx_accounts", _rolling("ROWS BETWEEN 29 PRECEDING AND CURRENT ROW"))
 
 CTES["latest"] = ("rolling", """
 SELECT account, service_type, date, credits_30d_total, operations_30d_total, users_30d_avg, cost_per_user_30d,
@@ -799,6 +804,11 @@ for _key, _cte in (("snapshot_source", "features"), ("snapshot_source_repeated",
 _q("snapshot_backfill", "snapshots", "SELECT * FROM snapshots", _SNAPSHOT_DOUBLES)
 _q("usage_history", "history", "SELECT * EXCLUDE (credits_wow_growth_raw), ROUND(credits_wow_growth_raw, 2) AS credits_wow_growth_pct FROM history",
    _EXPORT_DOUBLES + " credits_per_page credits_per_document credits_7d_ago credits_wow_growth_pct")
+_q("usage_history_calendar", "history", f"""
+SELECT a.date, a.service_type, a.total_credits, b.total_credits AS credits_7d_ago,
+       ROUND({growth('a.total_credits', 'b.total_credits')}, 2) AS credits_wow_growth_pct
+FROM history a LEFT JOIN history b ON a.service_type = b.service_type AND b.date = a.date - 7""",
+   "total_credits credits_7d_ago credits_wow_growth_pct")
 _ALERT_DOUBLES = "total_credits credits_7d_ago credits_14d_ago credits_7d_avg wow_growth_pct wow_credits_change two_week_growth_pct deviation_from_avg_pct"
 _q("cost_anomalies", "anomalies", "SELECT * FROM anomalies", _ALERT_DOUBLES)
 _q("cost_anomalies_calendar", "calendar_anomalies", "SELECT * FROM calendar_anomalies", _ALERT_DOUBLES)
@@ -890,6 +900,8 @@ SELECT account, driver_rank, service_type, total_credits, monthly_cost_usd, pct_
 FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY account ORDER BY total_credits DESC, service_type) AS driver_rank FROM breakdown)
 WHERE driver_rank <= 3""", "total_credits monthly_cost_usd pct_of_total")
 _q("rolling_30d", "rolling", "SELECT * FROM rolling", "total_credits credits_30d_total users_30d_avg cost_per_user_30d")
+_q("rolling_30d_calendar", "fx_accounts", _rolling("RANGE BETWEEN INTERVAL 29 DAY PRECEDING AND CURRENT ROW"),
+   "total_credits credits_30d_total users_30d_avg cost_per_user_30d")
 _q("latest_rolling_30d", "latest", "SELECT * FROM latest", "credits_30d_total users_30d_avg cost_per_user_30d cost_30d_usd cost_per_user_30d_usd")
 _q("latest_rolling_totals", "latest", f"""
 SELECT *, total_30d_credits * 3.0::DOUBLE AS total_30d_cost_usd,

@@ -271,6 +271,9 @@ QUERIES: dict[str, Query] = {
     "snapshot_source_repeated": lambda b: snapshot.snapshot_source(b.telemetry, as_of=AS_OF, repeat_functions=True),
     "snapshot_backfill": lambda b: b.snapshots,
     "usage_history": lambda b: b.history,
+    "usage_history_calendar": lambda b: snapshot.usage_history(b.snapshots, calendar=True).select(
+        "date", "service_type", "total_credits", "credits_7d_ago", "credits_wow_growth_pct"
+    ),
     "cost_anomalies": lambda b: b.anomalies,
     "cost_anomalies_calendar": lambda b: anomalies.cost_anomalies(
         b.account_days, **SCOPE, group_cols=ACCOUNT, high=0.60, medium=0.30, calendar=True
@@ -308,6 +311,7 @@ QUERIES: dict[str, Query] = {
     "service_breakdown": lambda b: b.breakdown,
     "service_breakdown_overall": lambda b: analytics.service_breakdown(b.export),
     "rolling_30d": lambda b: b.rolling,
+    "rolling_30d_calendar": lambda b: analytics.rolling_30d(b.accounts, group_cols=ACCOUNT, calendar=True),
     "latest_rolling_30d": lambda b: b.latest,
     "latest_rolling_totals": lambda b: analytics.latest_rolling_totals(b.latest, group_cols=ACCOUNT),
     "history_header": lambda b: analytics.history_header(b.accounts, group_cols=ACCOUNT),
