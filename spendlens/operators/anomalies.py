@@ -47,12 +47,16 @@ def cost_anomalies(
         last_week = by_day.rowsBetween(-6, 0)
 
     compared = (
-        recent.withColumn("credits_7d_ago", earlier(7))
-        .withColumn("credits_14d_ago", earlier(14))
-        .withColumn("credits_7d_avg", mean_over("total_credits", last_week))
+        recent.withColumns({
+            "credits_7d_ago": earlier(7),
+            "credits_14d_ago": earlier(14),
+            "credits_7d_avg": mean_over("total_credits", last_week),
+        })
         .where(F.col("credits_7d_ago").isNotNull())
-        .withColumn("_pct", pct_change("total_credits", "credits_7d_ago"))
-        .withColumn("_growth", (dbl("total_credits") - dbl("credits_7d_ago")) / F.nullif(dbl("credits_7d_ago"), F.lit(0.0)))
+        .withColumns({
+            "_pct": pct_change("total_credits", "credits_7d_ago"),
+            "_growth": (dbl("total_credits") - dbl("credits_7d_ago")) / F.nullif(dbl("credits_7d_ago"), F.lit(0.0)),
+        })
     )
     growth = F.col("_growth")
 

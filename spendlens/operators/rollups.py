@@ -43,8 +43,10 @@ def function_summary(t: Telemetry, *, as_of: datetime, lookback_days: int = 90)
             _serverless_calls(),
             _compute_calls(),
         )
-        .withColumn("cost_per_million_tokens", per_million0("total_credits", "total_tokens"))
-        .withColumn("days_in_use", (F.datediff("last_usage", "first_usage") + 1).cast("long"))
+        .withColumns({
+            "cost_per_million_tokens": per_million0("total_credits", "total_tokens"),
+            "days_in_use": (F.datediff("last_usage", "first_usage") + 1).cast("long"),
+        })
     )
 
 
@@ -94,9 +96,10 @@ def _query_costs(t: Telemetry, as_of: datetime, lookback_days: int) -> DataFrame
 
 
 def _with_query_efficiency(costs: DataFrame) -> DataFrame:
-    return costs.withColumn("cost_per_million_units", per_million_null("credits_used", "units_processed")).withColumn(
-        "cost_per_page", ratio_null("credits_used", "page_count")
-    )
+    return costs.withColumns({
+        "cost_per_million_units": per_million_null("credits_used", "units_processed"),
+        "cost_per_page": ratio_null("credits_used", "page_count"),
+    })
 
 
 def query_cost_analysis(t: Telemetry, *, as_of: datetime, lookback_days: int = 90) -> DataFrame:
@@ -192,9 +195,10 @@ def daily_summary(t: Telemetry, *, as_of: datetime, lookback_days: int = 90) ->
 
 
 def with_ratios(daily: DataFrame) -> DataFrame:
-    return daily.withColumn("credits_per_user", ratio0("total_credits", "daily_unique_users")).withColumn(
-        "credits_per_operation", ratio0("total_credits", "total_operations")
-    )
+    return daily.withColumns({
+        "credits_per_user": ratio0("total_credits", "daily_unique_users"),
+        "credits_per_operation": ratio0("total_credits", "total_operations"),
+    })
 
 
 def cost_export(daily: DataFrame) -> DataFrame:

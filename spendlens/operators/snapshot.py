@@ -75,9 +75,11 @@ def usage_by_feature(
             (F.sum("page_rates").cast("double") / F.sum("records")).alias("credits_per_page"),
             (F.sum("document_rates").cast("double") / F.sum("records")).alias("credits_per_document"),
         )
-        .withColumn("credits_per_user", F.lit(0.0))
-        .withColumn("credits_per_operation", F.col("credits_per_page"))
-        .withColumn("total_pages_processed", F.col("total_operations"))
+        .withColumns({
+            "credits_per_user": F.lit(0.0),
+            "credits_per_operation": F.col("credits_per_page"),
+            "total_pages_processed": F.col("total_operations"),
+        })
     )
     fine_tuning = (
         details.fine_tuning_detail(t, **scope)
@@ -89,8 +91,7 @@ def usage_by_feature(
             F.sum("tokens").alias("total_tokens"),
             mean(F.col("cost_per_million_tokens").cast("decimal(28,6)")).alias("cost_per_million_tokens"),
         )
-        .withColumn("daily_unique_users", long_lit(0))
-        .withColumn("credits_per_user", F.lit(0.0))
+        .withColumns({"daily_unique_users": long_lit(0), "credits_per_user": F.lit(0.0)})
     )
     every = _stored_form(general)
     for part in (functions, documents, fine_tuning):

@@ -209,9 +209,7 @@ def _rate_card_join(b: Bed) -> DataFrame:
 
 
 def _stream(b: Bed) -> DataFrame:
-    events = b.spark.readStream.schema(
-        "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
-    ).option("pathGlobFilter", "events.parquet").parquet(b.sf_dir)
+    events = b.spark.readStream.schema(testbed.BASE_SCHEMAS["events"]).option("pathGlobFilter", "events.parquet").parquet(b.sf_dir)
     usage = events.selectExpr(
         "CAST(ts AS TIMESTAMP) AS event_time", "event_type AS service_type", "user_id AS user",
         "CAST(get_json_object(props, '$.k') AS BIGINT) AS operations", "CAST(value / 100 AS DECIMAL(18,6)) AS credits",

@@ -6,6 +6,7 @@ All rows of the base tables are used. Dates of orders and line items are folded
 from __future__ import annotations
 
 from datetime import datetime
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,8 +17,26 @@ LOOKBACK_DAYS = 90
 MONEY = "DECIMAL(18,6)"
 
 
+# Declared, so that no job reads file footers to find the columns out.
+BASE_SCHEMAS = {
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING",
+    "documents": "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
+    "lineitem": (
+        "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE, l_extendedprice DOUBLE, "
+        "l_discount DOUBLE, l_tax DOUBLE, l_returnflag STRING, l_linestatus STRING, l_shipdate TIMESTAMP_NTZ"
+    ),
+    "orders": (
+        "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, o_orderdate TIMESTAMP_NTZ, "
+        "o_orderpriority STRING"
+    ),
+    "pages": "page_id BIGINT, url STRING, html STRING",
+    "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, p_retailprice DOUBLE",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(BASE_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def fold(column: str) -> str:
@@ -182,7 +201,7 @@ def telemetry(spark: SparkSession, sf_dir: str) -> Telemetry:
         analyst, search_daily, search_serving, functions, documents, documents_legacy, fine_tuning, metering, users,
         query_history,
     )
-    return Telemetry(**{make.__name__: make(spark, sf_dir) for make in makers})
+    return Telemetry(**{make.__name__: partial(make, spark, sf_dir) for make in makers})
 
 
 def account_usage(spark: SparkSession, sf_dir: str) -> DataFrame:

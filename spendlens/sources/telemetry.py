@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from collections.abc import Callable
 from datetime import datetime
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,30 +12,40 @@ from ..functions.columns import since
 from .schemas import SCHEMAS, TIME_COLUMN, struct
 
 
-@dataclass(frozen=True)
 class Telemetry:
-    """``user_id`` is the key of ``users`` and ``query_id`` the key of ``query_history``."""
-
-    analyst: DataFrame
-    search_daily: DataFrame
-    search_serving: DataFrame
-    functions: DataFrame
-    documents: DataFrame
-    documents_legacy: DataFrame
-    fine_tuning: DataFrame
-    metering: DataFrame
-    users: DataFrame
-    query_history: DataFrame
+    """Usage tables by name: analyst, search_daily, search_serving, functions, documents, documents_legacy, fine_tuning,
+    metering, users and query_history (columns in ``schemas.SCHEMAS``).
+
+    A table is given as a DataFrame or as a function that makes it, which is called when the table is first used.
+    ``user_id`` is the key of ``users`` and ``query_id`` the key of ``query_history``.
+    """
+
+    def __init__(self, **tables: DataFrame | Callable[[], DataFrame]):
+        unknown = set(tables) - set(SCHEMAS)
+        if unknown:
+            raise ValueError(f"unknown usage tables: {', '.join(sorted(unknown))}")
+        self._tables = tables
 
     @classmethod
     def read(cls, spark: SparkSession, root: str) -> Telemetry:
         """One parquet folder per table below ``root``."""
-        return cls(**{f.name: spark.read.schema(struct(SCHEMAS[f.name])).parquet(f"{root}/{f.name}") for f in fields(cls)})
+        return cls(**{n: spark.read.schema(struct(ddl)).parquet(f"{root}/{n}") for n, ddl in SCHEMAS.items()})
 
     @classmethod
     def from_tables(cls, spark: SparkSession, **table_names: str) -> Telemetry:
-        """Catalog tables, by default named like the fields."""
-        return cls(**{f.name: spark.table(table_names.get(f.name, f.name)) for f in fields(cls)})
+        """Catalog tables, by default named like the usage tables."""
+        return cls(**{n: partial(spark.table, table_names.get(n, n)) for n in SCHEMAS})
+
+    def replace(self, **tables: DataFrame | Callable[[], DataFrame]) -> Telemetry:
+        return Telemetry(**{**self._tables, **tables})
+
+    def __getattr__(self, name: str) -> DataFrame:
+        tables = self.__dict__.get("_tables", {})
+        if name not in tables:
+            raise AttributeError(name)
+        if not isinstance(tables[name], DataFrame):
+            tables[name] = tables[name]()
+        return tables[name]
 
     def recent(self, name: str, as_of: datetime, lookback_days: int = 90) -> DataFrame:
         """Lookback scan of one usage table."""

@@ -1,6 +1,5 @@
 """Attribution, rollup, anomalies and quality on small tables with the awkward cases."""
 
-from dataclasses import replace
 from datetime import date, datetime
 
 import pytest
@@ -42,9 +41,7 @@ def test_empty_telemetry_gives_empty_views(empty):
 
 
 def test_unknown_and_missing_users_stay_in_function_spend(empty, table):
-    t = replace(
-        empty,
-        functions=table("functions", function_call(user_id=1), function_call(user_id=2, token_credits=2.0), function_call(user_id=None, token_credits=4.0)),
+    t = empty.replace(functions=table("functions", function_call(user_id=1), function_call(user_id=2, token_credits=2.0), function_call(user_id=None, token_credits=4.0)),
         users=table("users", {"user_id": 1, "name": "ann"}),
     )
     got = {r["user_name"]: float(r["credits_used"]) for r in rows(attribution.user_spend_attribution(t, as_of=AS_OF))}
@@ -54,8 +51,7 @@ def test_unknown_and_missing_users_stay_in_function_spend(empty, table):
 
 
 def test_two_ids_with_one_name_are_one_user(empty, table):
-    t = replace(
-        empty, functions=table("functions", function_call(user_id=1), function_call(user_id=2)),
+    t = empty.replace(functions=table("functions", function_call(user_id=1), function_call(user_id=2)),
         users=table("users", {"user_id": 1, "name": "ann"}, {"user_id": 2, "name": "ann"}),
     )
     assert one(rollups.daily_summary(t, as_of=AS_OF))["daily_unique_users"] == 1
@@ -64,8 +60,7 @@ def test_two_ids_with_one_name_are_one_user(empty, table):
 
 def test_documents_are_attributed_on_the_day_of_their_query(empty, table):
     document = {"query_id": "q1", "start_time": DAY, "function_name": "PARSE", "model_name": None, "page_count": 0, "document_count": 1, "credits_used": 3.0}
-    t = replace(
-        empty, documents=table("documents", document, {**document, "query_id": "unseen"}),
+    t = empty.replace(documents=table("documents", document, {**document, "query_id": "unseen"}),
         query_history=table("query_history", {"query_id": "q1", "user_name": "bob", "start_time": datetime(2025, 1, 19, 23)}),
     )
     spend = one(attribution.user_spend_attribution(t, as_of=AS_OF))
@@ -77,20 +72,20 @@ def test_documents_are_attributed_on_the_day_of_their_query(empty, table):
 
 def test_search_counts_only_embedding_tokens(empty, table):
     search = {"usage_date": DAY.date(), "service_name": "s", "credits": 1.0, "consumption_type": "EMBED_TEXT_TOKENS"}
-    t = replace(empty, search_daily=table(
+    t = empty.replace(search_daily=table(
         "search_daily", {**search, "tokens": "100"}, {**search, "tokens": "n/a"}, {**search, "tokens": "50", "consumption_type": "SERVING"}))
     got = one(rollups.daily_summary(t, as_of=AS_OF))
     assert (got["total_operations"], float(got["total_credits"]), got["daily_unique_users"]) == (100, 3.0, 0)
 
 
 def test_lookback_is_inclusive(empty, table):
-    t = replace(empty, functions=table("functions", function_call(usage_time=datetime(2024, 11, 2)), function_call(usage_time=datetime(2024, 11, 1, 23, 59))))
+    t = empty.replace(functions=table("functions", function_call(usage_time=datetime(2024, 11, 2)), function_call(usage_time=datetime(2024, 11, 1, 23, 59))))
     assert details.functions_detail(t, as_of=AS_OF).count() == 1
     assert details.functions_detail(t, as_of=AS_OF, lookback_days=365).count() == 2
 
 
 def test_function_summary_counts_calls_and_warehouses(empty, table):
-    t = replace(empty, functions=table(
+    t = empty.replace(functions=table(
         "functions", function_call(query_id="a", warehouse_id="0"), function_call(query_id="a", warehouse_id="n/a"),
         function_call(query_id="b", warehouse_id="12", tokens=0), function_call(query_id=None, warehouse_id=None, usage_time=datetime(2025, 1, 22))))
     got = one(rollups.function_summary(t, as_of=AS_OF))
@@ -100,7 +95,7 @@ def test_function_summary_counts_calls_and_warehouses(empty, table):
 
 def test_query_ranks_and_top_k_agree(empty, table):
     calls = [function_call(query_id=f"q{i % 40}", token_credits=float(i % 7), tokens=i % 5) for i in range(300)]
-    t = replace(empty, functions=table("functions", *calls))
+    t = empty.replace(functions=table("functions", *calls))
     every = rows(rollups.query_cost_analysis(t, as_of=AS_OF))
     top = rows(rollups.top_queries(t, as_of=AS_OF, k=25))
     assert len(every) == sum(c["token_credits"] > 0 for c in calls)

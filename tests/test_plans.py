@@ -4,6 +4,7 @@ import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
+from spendlens.functions.columns import present
 from spendlens.plans import queries
 
 # these write files while they are built
@@ -20,7 +21,8 @@ def plans(spark):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        yield {n: plan(queries.run(n, spark, SF)) for n in queries.QUERIES if n not in BUILT_BY_JOBS}
+        bed = queries.Bed(spark, SF)
+        yield {n: plan(present(make(bed))) for n, make in queries.QUERIES.items() if n not in BUILT_BY_JOBS}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
