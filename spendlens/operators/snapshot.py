@@ -120,9 +120,13 @@ def snapshot_upsert(target: DataFrame, source: DataFrame, *, run_ts: datetime) -
 
 
 def run_daily_snapshot(t: Telemetry, path: str, *, as_of: datetime, run_ts: datetime) -> None:
-    """The daily job: merge the snapshot of ``as_of`` into the table at ``path``. Running it again changes nothing."""
+    """The daily job: merge the snapshot of ``as_of`` into the table at ``path``. Running it again changes nothing.
+
+    Rows match only within one snapshot date, so the table is partitioned by it: a job rewrites its own partition and
+    never the stored history. A partition holds three usage days, which file statistics separate.
+    """
     merge_into(
-        path, snapshot_source(t, as_of=as_of), partition_col="usage_date", schema=struct(SNAPSHOT_SCHEMA),
+        path, snapshot_source(t, as_of=as_of), partition_col="snapshot_date", schema=struct(SNAPSHOT_SCHEMA),
         keys=KEYS, update_cols=MEASURES, insert_cols=STORED, null_is_empty=NULLABLE_KEYS,
         on_update={"inserted_at": ts(run_ts)}, on_insert={"inserted_at": ts(run_ts)},
     )

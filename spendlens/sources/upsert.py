@@ -78,7 +78,8 @@ def merge_into(path: str, source: DataFrame, *, partition_col: str, schema: Stru
 
     The source is computed once into the shared folder. The first and last partition it touches (one row on the driver)
     bound the part of the target that is read; merged partitions are written to the shared folder and then replace the
-    old ones, so nothing is read from a place being written. A rerun after a lost job gives the same table.
+    old ones, so nothing is read from a place being written. A rerun after a lost job gives the same table. Keys are
+    unique in the source. The two folders (merge-source-*, merge-result-*) are left to the shared folder's clean-up.
     """
     spark = source.sparkSession
     staged_source = scratch_path(spark, "merge-source")
