@@ -149,13 +149,9 @@ def exact_quantiles(
             for side in ("lo", "hi")
         ],
     )
-    return values.select(
-        *group_cols,
-        *[
-            (
-                col(f"_{name}_lo")
-                + (col(f"_{name}_hi") - col(f"_{name}_lo")) * (position(p) - F.floor(position(p)))
-            ).alias(name)
-            for name, p in quantiles.items()
-        ],
-    )
+
+    def between(name: str, p: float) -> Column:
+        share = position(p) - F.floor(position(p))
+        return col(f"_{name}_lo") + (col(f"_{name}_hi") - col(f"_{name}_lo")) * share
+
+    return values.select(*group_cols, *[between(name, p).alias(name) for name, p in quantiles.items()])

@@ -62,7 +62,10 @@ def model_comparison(t: Telemetry, *, as_of: datetime, lookback_days: int = 90)
         F.min("usage_time").alias("first_usage"),
         F.max("usage_time").alias("last_usage"),
     )
-    quantiles = exact_quantiles(calls, ["model_name"], "token_credits", {"median_credits": 0.50, "p90_credits": 0.90})
+    # nine decimals drop the binary noise of the interpolation; credits have six
+    quantiles = exact_quantiles(
+        calls, ["model_name"], "token_credits", {"median_credits": 0.50, "p90_credits": 0.90}
+    ).select("model_name", *[F.round(c, 9).alias(c) for c in ("median_credits", "p90_credits")])
     return totals.join(quantiles, "model_name", "left").withColumn(
         "cost_per_million_tokens", per_million0("total_credits", "total_tokens")
     )

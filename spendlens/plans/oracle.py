@@ -226,7 +226,8 @@ CTES["models"] = ("fx_functions", f"""
 SELECT model_name, COUNT(DISTINCT function_name) AS functions_used, COUNT(DISTINCT query_id) AS total_calls,
        SUM(token_credits) AS total_credits, {big('SUM(tokens)')} AS total_tokens, {avg('token_credits')} AS avg_credits_per_call,
        {avg('tokens')} AS avg_tokens_per_call, MIN(usage_time) AS first_usage, MAX(usage_time) AS last_usage,
-       QUANTILE_CONT({dbl('token_credits')}, 0.50) AS median_credits, QUANTILE_CONT({dbl('token_credits')}, 0.90) AS p90_credits,
+       ROUND(QUANTILE_CONT({dbl('token_credits')}, 0.50), 9) AS median_credits,
+       ROUND(QUANTILE_CONT({dbl('token_credits')}, 0.90), 9) AS p90_credits,
        {per_million('SUM(token_credits)', 'SUM(tokens)')} AS cost_per_million_tokens
 FROM fx_functions WHERE usage_time >= {START} AND model_name IS NOT NULL GROUP BY 1""")
 
