@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spendlens.session import scratch_path
+
+from . import decontamination, packing, token_files, warc
 from . import line_dedup as lines
 from . import token_counts as counts
 from .encoding import public_path
@@ -17,6 +20,34 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepared(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), public_path(TOKENIZER))
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "token-files")
+    documents = _table(spark, sf_dir, "documents")
+    manifest = token_files.write_tokens(documents, folder, public_path(TOKENIZER))
+    return token_files.read_documents(manifest, folder, documents.schema["doc_id"].dataType.simpleString())
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "archives")
+    manifest = warc.write_archives(_table(spark, sf_dir, "pages"), folder)
+    return warc.read_archives(manifest, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.decontaminate(documents, _table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "contamination.n_words", "contamination.n_hit",
+        F.size("contamination.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("contamination.items", ","), 256).alias("items_sha256"),
+        (F.col("contamination.n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -28,6 +59,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
+    "op3_token_files": op3_token_files,
+    "op5_warc": op5_warc,
+    "op6_decontamination": op6_decontamination,
     "op8_line_dedup": op8_line_dedup,
     "op10_token_counts": op10_token_counts,
 }
@@ -52,4 +87,43 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
-ORACLE_SQL = {"op8_line_dedup": _OP8}
+_OP5 = """
+WITH page AS (
+  SELECT page_id, coalesce(html, '') AS payload, strlen(coalesce(html, '')) AS payload_bytes FROM pages
+), response AS (
+  SELECT payload, max(page_id) AS response FROM page WHERE payload_bytes >= 1000 GROUP BY payload
+)
+SELECT p.page_id, p.payload_bytes, sha1(p.payload) AS payload_digest,
+  CASE WHEN r.response IS NULL OR r.response = p.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN r.response <> p.page_id THEN r.response END AS refers_to
+FROM page p LEFT JOIN response r ON r.payload = p.payload
+"""
+
+_OP6 = r"""
+WITH word AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), item AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), item_window AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[p : p + least(len(w), 10) - 1], ' ') AS words
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS p FROM item WHERE len(w) > 0)
+), place AS (
+  SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM word, (SELECT DISTINCT n FROM item_window) WHERE len(w) >= n
+), hit AS (
+  SELECT l.doc_id, l.p, l.n, i.item_id
+  FROM (SELECT doc_id, p, n, array_to_string(w[p : p + n - 1], ' ') AS words FROM place) l
+  JOIN item_window i ON i.words = l.words AND i.n = l.n
+), hit_word AS (
+  SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM hit) GROUP BY doc_id
+), hit_item AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM hit) GROUP BY doc_id
+)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(i.n_items, 0) AS n_items,
+  sha256(coalesce(i.ids, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
+FROM word d LEFT JOIN hit_word h USING (doc_id) LEFT JOIN hit_item i USING (doc_id)
+"""
+
+ORACLE_SQL = {"op5_warc": _OP5, "op6_decontamination": _OP6, "op8_line_dedup": _OP8}
