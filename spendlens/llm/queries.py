@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spendlens.session import scratch_path
 
-from . import decontamination, packing, token_files, warc
+from . import decontamination, language_id, packing, token_files, warc
 from . import line_dedup as lines
 from . import token_counts as counts
 from .encoding import public_path
@@ -31,6 +31,15 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(manifest, folder, documents.schema["doc_id"].dataType.simpleString())
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(3)) == 1
+    profiles = language_id.learn(documents.where(~held_out))
+    return language_id.identify(documents.select("doc_id", "text"), profiles).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score"
+    )
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "archives")
     manifest = warc.write_archives(_table(spark, sf_dir, "pages"), folder)
@@ -61,6 +70,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_token_files": op3_token_files,
+    "op4_language_id": op4_language_id,
     "op5_warc": op5_warc,
     "op6_decontamination": op6_decontamination,
     "op8_line_dedup": op8_line_dedup,
