@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spendlens.session import scratch_path
 
-from . import decontamination, language_id, packing, token_files, warc
+from . import decontamination, language_id, near_dedup, packing, token_files, warc
 from . import line_dedup as lines
 from . import token_counts as counts
 from .encoding import public_path
@@ -24,6 +24,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_path(TOKENIZER))
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), threshold=0.85, words=3)
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "token-files")
     documents = _table(spark, sf_dir, "documents")
@@ -69,6 +73,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_token_files": op3_token_files,
     "op4_language_id": op4_language_id,
     "op5_warc": op5_warc,
