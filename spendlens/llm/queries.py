@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spendlens.session import scratch_path
 
-from . import decontamination, language_id, near_dedup, packing, token_files, warc
+from . import decontamination, language_id, near_dedup, packing, personal_data, token_files, warc
 from . import line_dedup as lines
 from . import token_counts as counts
 from .encoding import public_path
@@ -61,6 +61,15 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data.personal_data(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        *(F.size(personal_data.of_kind(F.col("base"), k)).cast("long").alias(f"n_{k}") for k in personal_data.KINDS),
+        F.sha2(personal_data.joined_spans("base"), 256).alias("base_sha256"), personal_data.joined_spans("spans").alias("spans"),
+    )
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -78,6 +87,7 @@ QUERIES = {
     "op4_language_id": op4_language_id,
     "op5_warc": op5_warc,
     "op6_decontamination": op6_decontamination,
+    "op7_personal_data": op7_personal_data,
     "op8_line_dedup": op8_line_dedup,
     "op10_token_counts": op10_token_counts,
 }
