@@ -126,9 +126,21 @@ def _similar(common: Column, a: Column, b: Column, threshold: float) -> Column:
     return common * 10_000 >= (a + b - common) * parts
 
 
-def _possible(a: str, b: str, threshold: float) -> Column:
-    """Whether two sets can be similar enough, by their sizes and the counts of what they share with any other class."""
-    most = F.least(F.col(f"{a}_held"), F.col(f"{b}_held"))
+def _rare(sets: DataFrame) -> DataFrame:
+    """Counts of the shingles that the same `n` classes, three at most, have and no other class: low, classes, n, shingles."""
+    third = F.col("all").bitwiseXOR(F.col("low")).bitwiseXOR(F.col("high"))
+    classes = F.when(F.col("n") == 1, F.array("low")).when(F.col("n") == 2, F.array("low", "high")).otherwise(F.array("low", third, "high"))
+    return (
+        sets.select("c", F.explode("shingles").alias("s")).groupBy("s")
+        .agg(F.min("c").alias("low"), F.max("c").alias("high"), F.bit_xor("c").alias("all"), F.count("*").alias("n"))
+        .where("n <= 3").groupBy("low", "high", "all", "n").agg(F.count("*").alias("shingles"))
+        .select("low", classes.alias("classes"), "n", "shingles")
+    )
+
+
+def _possible(a: str, b: str, threshold: float, shared: str = "held") -> Column:
+    """Whether two sets can be similar enough, by their sizes and the counts of those shingles that they can share."""
+    most = F.least(F.col(f"{a}_{shared}"), F.col(f"{b}_{shared}"))
     return _similar(most, F.col(f"{a}_n"), F.col(f"{b}_n"), threshold)
 
 
@@ -179,12 +191,14 @@ def near_duplicates(
         _sets(prefixes.join(classes, "c").select("c", "doc_id", "same"), documents, doc_id, text, words)
         .join(classes.select("c", "n", "signature"), "c"), "contested-sets",
     )
-    lone = found.select("c", F.explode("shingles").alias("s")).groupBy("s").agg(F.min("c").alias("c"), F.count("*").alias("n"))
-    lone = lone.where("n = 1").groupBy("c").agg(F.count("*").alias("own"))
-    sizes = found.select("c", "n").join(lone, "c", "left").select("c", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("held"))
+    rare = written(_rare(found), "rare-shingles")
+    own = rare.where("n = 1").select(F.col("low").alias("c"), F.col("shingles").alias("own"))
+    few = rare.select(F.explode("classes").alias("c"), "shingles").groupBy("c").agg(F.sum("shingles").alias("few"))
+    sizes = found.select("c", "n").join(own, "c", "left").join(few, "c", "left").select(
+        "c", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("held"), (F.col("n") - F.coalesce("few", F.lit(0))).alias("common"))
     posted = written(
         prefixes.join(sizes, "c").where(_similar(F.col("held"), F.col("n"), F.col("held"), threshold))
-        .select("c", "n", "held", F.explode("prefix").alias("p")).select("c", "n", "held", "p.k", "p.value"), "postings",
+        .select("c", "n", "held", "common", F.explode("prefix").alias("p")).select("c", "n", "held", "common", "p.k", "p.value"), "postings",
     )
 
     # first each list's classes with the one that has the fewest shingles of its own
@@ -209,17 +223,29 @@ def near_duplicates(
             F.min(F.struct((F.col("n") - F.col("held")).alias("own"), "c", "g")).alias("m"),
         ).where("low < high").select("k", "value", F.col("m.g").alias("main")), "open-lists",
     )
-    side = labelled.join(open_lists, ["k", "value"])
-    side = written(side, "open-postings")
+    keys = prefixes.select("c", F.transform("prefix", lambda p: F.xxhash64(p.k, p.value)).alias("keys"))
+    side = written(labelled.join(open_lists, ["k", "value"]).join(keys, "c"), "open-postings")
 
     def named(table: DataFrame, name: str) -> DataFrame:
-        return table.select("k", "value", "main", *(F.col(c).alias(f"{name}_{c}") for c in ("c", "n", "held", "g")))
+        return table.select("k", "value", "main", *(F.col(c).alias(f"{name}_{c}") for c in ("c", "n", "common", "g", "keys")))
 
-    pairs = (
+    # Pairs that share no shingle of only two or three classes are bounded by the counts of all other shingles. A pair comes
+    # from the first of the lists that it shares.
+    here = F.array_min(F.array_intersect("a_keys", "b_keys")) == F.xxhash64("k", "value")
+    listed = (
         named(side.where("g <> main"), "a").join(named(side, "b").drop("main"), ["k", "value"])
         .where((F.col("a_g") != F.col("b_g")) & ((F.col("b_g") == F.col("main")) | (F.col("a_c") < F.col("b_c"))))
-        .where(_possible("a", "b", threshold)).select(F.col("a_c").alias("a"), F.col("b_c").alias("b")).distinct()
+        .where(_possible("a", "b", threshold, "common")).where(here).select(F.col("a_c").alias("a"), F.col("b_c").alias("b"))
+    )
+    # those that share one are taken from its classes
+    label = side.select("c", "g").distinct()
+    some = rare.where("n > 1").select(F.explode(F.expr(
+        "filter(flatten(transform(classes, x -> transform(classes, y -> struct(x as a, y as b)))), p -> p.a < p.b)")).alias("p"))
+    sharing = (
+        some.select("p.a", "p.b").distinct().join(label.select(F.col("c").alias("a"), F.col("g").alias("ga")), "a")
+        .join(label.select(F.col("c").alias("b"), F.col("g").alias("gb")), "b").where("ga <> gb").select("a", "b")
     )
+    pairs = listed.union(sharing).distinct()
     second = written(_confirmed(pairs, found, threshold, matches), "more-links")
     if second.limit(1).count():
         links = second.union(grouped.select(F.col("node").alias("a"), F.col("component").alias("b")))
