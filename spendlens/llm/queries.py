@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spendlens.session import scratch_path
 
-from . import decontamination, language_id, near_dedup, packing, personal_data, token_files, warc
+from . import decontamination, language_id, near_dedup, neighbours, packing, personal_data, token_files, warc
 from . import line_dedup as lines
 from . import token_counts as counts
 from .encoding import public_path
@@ -75,6 +75,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op9_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest_neighbours(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return counts.token_counts(documents, public_path(TOKENIZER)).select("doc_id", "n_bytes", "n_tokens", "over_limit")
@@ -89,6 +93,7 @@ QUERIES = {
     "op6_decontamination": op6_decontamination,
     "op7_personal_data": op7_personal_data,
     "op8_line_dedup": op8_line_dedup,
+    "op9_learned_partitions": op9_learned_partitions,
     "op10_token_counts": op10_token_counts,
 }
 
