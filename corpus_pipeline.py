@@ -3,17 +3,59 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from spendlens.llm.decontamination import decontaminate
+from spendlens.llm.encoding import public_path
+from spendlens.llm.language_id import UNKNOWN, identify, learn
 from spendlens.llm.line_dedup import line_dedup
+from spendlens.llm.near_dedup import near_duplicates
+from spendlens.llm.packing import pack
 from spendlens.llm.storage import prepared, written
 
+TOKENIZER = "byte_bpe_50k.json"
 
-def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that many documents share go from all but one of them."""
-    return line_dedup(docs).select(docs.columns)
 
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the profiles know stay; their lang is the predicted one. Null texts and texts without a
+    letter have none and go."""
+    prepared(spark)
+    found = identify(docs, learn(docs), lang_pred="_lang", score="_score")
+    return found.where(F.col("_lang") != UNKNOWN).withColumn("lang", F.col("_lang")).select(docs.columns)
 
-STAGES = [("line_dedup", drop_shared_lines)]
+
+def unshared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines of at least 40 characters that five documents share stay in one of them; documents left without text go."""
+    kept = line_dedup(docs).select(docs.columns).where(F.btrim("text") != "")
+    return kept.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays: 5-word shingles, similarity of at least 0.8, smallest doc_id."""
+    prepared(spark)
+    kept = written(near_duplicates(docs, threshold=0.8, words=5).where("kept").select("doc_id").distinct(), "kept-ids")
+    rows = docs.join(kept.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    return rows.dropDuplicates(["doc_id", "text"]).select(docs.columns)
+
+
+def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark go: ten consecutive words of an item, or all of a shorter one."""
+    benchmark = prepared(spark).read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontaminate(docs, benchmark)
+    return found.where("contamination.n_hit = 0").select(docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of at most 2,048 tokens."""
+    prepared(spark)
+    return pack(docs, public_path(TOKENIZER))
+
+
+STAGES = [
+    ("language_id", known_language), ("line_dedup", unshared_lines), ("near_dedup", distinct_documents),
+    ("decontamination", uncontaminated), ("best_fit_packing", packed),
+]
+#: the last stage needs a tokenizer, which SQL lacks; the tests hold the rows against a brute-force version
 ORACLE_SQL = None
 
 
