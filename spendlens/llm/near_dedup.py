@@ -160,12 +160,12 @@ def near_duplicates(
     documents: DataFrame, threshold: float = 0.8, words: int = 5, doc_id: str = "doc_id", text: str = "text",
     coordinates: int = COORDINATES,
 ) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row: components of documents linked by similar shingle sets.
+    """(doc_id, n_shingles, component_id, kept, same) of every row: components of documents linked by similar shingle sets.
 
     Words are what stands between white space, A-Z in lower case. A set holds the distinct shingles of `words` words, or all
     words as one if there are fewer; a text without words, or null, has an empty set and is linked with nothing. Documents
     are linked if the Jaccard similarity of their sets is at least `threshold`. component_id is the smallest doc_id reachable,
-    kept says whether it is the document's own. Rows with equal ids are kept or dropped alike; null ids are above all others, and a
+    kept says whether it is the document's own, same is the MD5 of the text. Rows with equal ids and texts are kept or dropped alike; null ids are above all others, and a
     component of null ids has a null component_id and keeps its rows. Other columns aren't read. An empty table gives an
     empty result.
     """
@@ -255,8 +255,8 @@ def near_duplicates(
         "digest", "doc_id", F.coalesce("component", "c").alias("g"))
     smallest = labels.groupBy("g").agg(F.min("doc_id").alias("component_id"))
     members = written(labels.join(written(smallest, "smallest"), "g").select("digest", "component_id"), "class-components")
-    out = sketches.drop("signature", "same").join(members, "digest", "left")
+    out = sketches.drop("signature").join(members, "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select(
-        "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")
+        "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "same"
     )

@@ -25,7 +25,8 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), threshold=0.85, words=3)
+    found = near_dedup.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"), threshold=0.85, words=3)
+    return found.drop("same")
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
