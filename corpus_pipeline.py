@@ -17,25 +17,27 @@ TOKENIZER = "byte_bpe_50k.json"
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the profiles know stay; their lang is the predicted one. Null texts and texts without a
-    letter have none and go."""
+    """Documents in a language that the profiles know stay. Null texts and texts without a letter have none and go."""
     prepared(spark)
     found = identify(docs, learn(docs), lang_pred="_lang", score="_score")
-    return found.where(F.col("_lang") != UNKNOWN).withColumn("lang", F.col("_lang")).select(docs.columns)
+    return found.where(F.col("_lang") != UNKNOWN).select(docs.columns)
 
 
 def unshared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of at least 40 characters that five documents share stay in one of them; documents left without text go."""
-    kept = line_dedup(docs).select(docs.columns).where(F.btrim("text") != "")
-    return kept.withColumn("n_chars", F.length("text").cast("long"))
+    """Lines of at least 40 characters that five documents share stay in one of them; n_chars is that of the text left."""
+    return line_dedup(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: 5-word shingles, similarity of at least 0.8, smallest doc_id."""
     prepared(spark)
-    kept = written(near_duplicates(docs, threshold=0.8, words=5).where("kept").select("doc_id").distinct(), "kept-ids")
-    rows = docs.join(kept.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "text"]).select(docs.columns)
+    found = near_duplicates(docs, threshold=0.8, words=5).where("kept")
+    kept = written(found.groupBy("doc_id", "same").agg(F.count("*").alias("rows")).withColumnsRenamed({"doc_id": "_id", "same": "_same"}), "kept")
+    text = F.md5(F.coalesce("text", F.lit("")))
+    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (text == F.col("_same")))
+    # rows that repeat another, as a rule none, are one document
+    repeated = rows.where("rows > 1").dropDuplicates(["_id", "_same"])
+    return rows.where("rows = 1").select(docs.columns).union(repeated.select(docs.columns))
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
