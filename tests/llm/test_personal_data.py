@@ -1,0 +1,66 @@
+import random
+import re
+
+from fixtures import edge_documents, edge_rows, empty_documents, pairs
+
+from spendlens.llm.personal_data import personal_data
+from spendlens.llm.queries import op7_personal_data
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def luhn(digits):
+    return sum(sum(divmod(int(d) * (1 + n % 2), 10)) for n, d in enumerate(reversed(digits))) % 10 == 0
+
+
+def plain(text):
+    def digits(m):
+        return re.sub(r"\D", "", m[0])
+
+    out = [("email", m) for m in EMAIL.finditer(text)]
+    out += [("ip", m) for m in IP.finditer(text) if all(int(p) <= 255 for p in m[0].split("."))]
+    out += [("card", m) for m in CARD.finditer(text) if 16 <= len(digits(m)) <= 19 and luhn(digits(m))]
+    out += [("phone", m) for m in PHONE.finditer(text) if 8 <= len(digits(m)) <= 15]
+    return [(kind, m.start(), m.end(), m[0]) for kind, m in out]
+
+
+def base(table):
+    return {r.doc_id: [tuple(s) for s in r.base] for r in table.collect()}
+
+
+def test_base_spans_of_edge_cases(spark):
+    found = personal_data(edge_documents(spark))
+    assert pairs(found.selectExpr("doc_id", "size(base) as n"), "doc_id", "n") == sorted(
+        ((r[0], len(plain(r[1] or ""))) for r in edge_rows()), key=repr)
+    assert [s[3] for s in base(found)[15]] == ["Bob.Smith@example.com", "10.0.0.1", "+1 (555) 123-4567"]
+    assert [s[0] for s in base(found)[16]] == ["card"]
+
+
+def test_base_spans_equal_the_plain_expressions(spark):
+    rnd = random.Random(4)
+    alphabet = "0123456789" * 2 + "+@@...  --()aZé😀_%\n"
+    texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 60))) for _ in range(3000)]
+    texts += ["4" * 16 + " 4111 1111 1111 1111", "1.2.3.4 " * 700, "9" * 20_000, "a@b.c" * 900, "a.b@" + "c." * 5000 + "d", "1 2" * 500]
+    found = base(personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)))
+    assert found == {n: plain(t) for n, t in enumerate(texts)}
+
+
+def test_patterns_discover_what_looks_like_their_kind(spark):
+    rows = [(n, f"zz write her email {'abcdefgh'[n % 8]}{n}@mail.example.org now") for n in range(30)]
+    rows += [(100 + n, f"ää write  HER\nemail bob{n}@intranet and go") for n in range(4)]
+    rows += [(200, "write her email 12345678"), (201, "nothing here bob@intranet"), (202, "see room 12345678 and x@y")]
+    found = personal_data(spark.createDataFrame(rows, "doc_id long, text string")).where("size(spans) > size(base)").collect()
+    assert sorted((r.doc_id, r.spans[0].kind, r.spans[0].found) for r in found) == [
+        (100 + n, "email", f"bob{n}@intranet") for n in range(4)]
+
+
+def test_no_documents(spark):
+    assert personal_data(empty_documents(spark)).count() == 0
+
+
+def test_plan_has_no_python(spark):
+    plan = op7_personal_data(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert not any(word in plan for word in ("Python", "Pandas", "ArrowEval", "MapIn"))
