@@ -7,7 +7,6 @@ bytes of the latter are above 127, so a table of 256 bytes normalises a text, an
 from __future__ import annotations
 
 from collections.abc import Iterator
-from hashlib import sha256
 from math import ceil
 
 import numpy as np
@@ -15,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import fresh
+
 _WORD_BYTES = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256)
 )
@@ -108,13 +109,13 @@ def _marked(text, items: list[tuple[str, str]], window: int):
 
 def decontaminate(
     documents: DataFrame, benchmark: DataFrame, window: int = 10, text: str = "text", item_id: str = "item_id",
-    item_text: str = "text", block_bytes: int = BLOCK_BYTES,
+    item_text: str = "text", block_bytes: int = BLOCK_BYTES, out: str = "contamination",
 ) -> DataFrame:
-    """Adds a struct `contamination`: n_words, n_hit, items (ids as strings, sorted) and spans (code points of the original).
+    """Adds a struct `out`: n_words, n_hit, items (ids as strings, sorted) and spans (code points of the original).
 
     A window is `window` consecutive words of an item, or a shorter item's words; a word inside any occurrence of a window is
     hit. Null and empty texts have no words and no hits; items without words have no window; rows of the benchmark with equal
-    ids are one item. An empty table or benchmark gives no hits. Other columns pass through; one named `contamination` is
+    ids are one item. An empty table or benchmark gives no hits. Other columns pass through; one named as `out` is
     replaced. Null item ids are named `null`.
 
     Items are broadcast in blocks of about `block_bytes` (each holds one item at least); a benchmark of one block is scanned
@@ -131,31 +132,27 @@ def decontaminate(
         items = [(r.item, r.text) for r in whole.where(part == n).collect()]
         columns.append(_marked(F.col(text), items, window))
     if blocks == 1:
-        return documents.withColumn("contamination", columns[0])
-    return _merged(documents.withColumn("contamination", F.array(*columns)), text)
+        return documents.withColumn(out, columns[0])
+    return _merged(documents.withColumn(out, F.array(*columns)), text, out)
 
 
-def _merged(documents: DataFrame, text: str) -> DataFrame:
+def _merged(documents: DataFrame, text: str, out: str) -> DataFrame:
     """One struct from those of several blocks. Words are counted again inside the merged spans."""
-    spans = F.array_sort(F.flatten("contamination.spans"))
+    (name,) = fresh(documents, "spans")
+    spans = F.array_sort(F.flatten(F.col(out).spans))
     empty = F.lit([]).cast("array<struct<start: long, end: long>>")
     merged = F.aggregate(spans, empty, lambda acc, s: F.when(
         (F.size(acc) > 0) & (s.start <= F.element_at(acc, -1).end),
         F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(
             F.element_at(acc, -1).start.alias("start"), F.greatest(F.element_at(acc, -1).end, s.end).alias("end")))),
     ).otherwise(F.concat(acc, F.array(s))))
-    inside = F.transform("_spans", lambda s: F.size(F.regexp_extract_all(
+    inside = F.transform(name, lambda s: F.size(F.regexp_extract_all(
         F.substring(F.col(text), (s.start + 1).cast("int"), (s.end - s.start).cast("int")),
         F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0))).cast("long"))
-    return documents.withColumn("_spans", F.when(F.size(F.flatten("contamination.spans")) > 0, merged).otherwise(empty)).withColumn(
-        "contamination", F.struct(
-            F.element_at("contamination", 1).n_words.alias("n_words"),
+    return documents.withColumn(name, F.when(F.size(F.flatten(F.col(out).spans)) > 0, merged).otherwise(empty)).withColumn(
+        out, F.struct(
+            F.element_at(out, 1).n_words.alias("n_words"),
             F.aggregate(inside, F.lit(0).cast("long"), lambda a, b: a + b).alias("n_hit"),
-            F.array_sort(F.array_distinct(F.flatten("contamination.items"))).alias("items"),
-            F.col("_spans").alias("spans"),
-        )).drop("_spans")
-
-
-def items_digest(items) -> str:
-    """SHA-256 of comma-joined item ids."""
-    return sha256(",".join(items).encode()).hexdigest()
+            F.array_sort(F.array_distinct(F.flatten(F.col(out).items))).alias("items"),
+            F.col(name).alias("spans"),
+        )).drop(name)

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import fresh
+
 DIMENSIONS = 1024
 N = 3
 UNKNOWN = "und"
@@ -196,5 +198,6 @@ def identify(
     repeat another get the same prediction; other columns pass through, and ones named as the new ones are replaced. An
     empty table gives an empty result. Very long texts are held one at a time.
     """
-    found = documents.withColumn("_found", predicted(profiles, F.col(text)))
-    return found.withColumns({lang_pred: F.col("_found.lang"), score: F.col("_found.score")}).drop("_found")
+    (name,) = fresh(documents, "found")
+    found = documents.withColumn(name, predicted(profiles, F.col(text)))
+    return found.withColumns({lang_pred: F.col(name).lang, score: F.col(name).score}).drop(name)

@@ -20,3 +20,14 @@ def written(table: DataFrame, name: str) -> DataFrame:
     path = scratch_path(table.sparkSession, name)
     table.write.parquet(path)
     return table.sparkSession.read.schema(table.schema).parquet(path)
+
+
+def fresh(table: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of the table has."""
+    taken, out = {c.lower() for c in table.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
