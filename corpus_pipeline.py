@@ -11,7 +11,7 @@ from spendlens.llm.language_id import UNKNOWN, identify, learn
 from spendlens.llm.line_dedup import line_dedup
 from spendlens.llm.near_dedup import near_duplicates
 from spendlens.llm.packing import pack
-from spendlens.llm.storage import prepared, written
+from spendlens.llm.storage import fresh, prepared, written
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -19,8 +19,9 @@ TOKENIZER = "byte_bpe_50k.json"
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the profiles know stay. Null texts and texts without a letter have none and go."""
     prepared(spark)
-    found = identify(docs, learn(docs), lang_pred="_lang", score="_score")
-    return found.where(F.col("_lang") != UNKNOWN).select(docs.columns)
+    lang, score = fresh(docs, "lang_pred", "score")
+    found = identify(docs, learn(docs), lang_pred=lang, score=score)
+    return found.where(F.col(lang) != UNKNOWN).select(docs.columns)
 
 
 def unshared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,20 +32,22 @@ def unshared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: 5-word shingles, similarity of at least 0.8, smallest doc_id."""
     prepared(spark)
-    found = near_duplicates(docs, threshold=0.8, words=5).where("kept")
-    kept = written(found.groupBy("doc_id", "same").agg(F.count("*").alias("rows")).withColumnsRenamed({"doc_id": "_id", "same": "_same"}), "kept")
+    key, same, rows = fresh(docs, "id", "same", "rows")
+    found = near_duplicates(docs, threshold=0.8, words=5).where("kept").groupBy("doc_id", "same").agg(F.count("*").alias("rows"))
+    kept = written(found.toDF(key, same, rows), "kept")
     text = F.md5(F.coalesce("text", F.lit("")))
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (text == F.col("_same")))
+    joined = docs.join(kept, F.col("doc_id").eqNullSafe(F.col(key)) & (text == F.col(same)))
     # rows that repeat another, as a rule none, are one document
-    repeated = rows.where("rows > 1").dropDuplicates(["_id", "_same"])
-    return rows.where("rows = 1").select(docs.columns).union(repeated.select(docs.columns))
+    repeated = joined.where(F.col(rows) > 1).dropDuplicates([key, same])
+    return joined.where(F.col(rows) == 1).select(docs.columns).union(repeated.select(docs.columns))
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of the benchmark go: ten consecutive words of an item, or all of a shorter one."""
     benchmark = prepared(spark).read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate(docs, benchmark)
-    return found.where("contamination.n_hit = 0").select(docs.columns)
+    (name,) = fresh(docs, "contamination")
+    found = decontaminate(docs, benchmark, out=name)
+    return found.where(F.col(name).n_hit == 0).select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
