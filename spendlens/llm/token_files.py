@@ -85,7 +85,7 @@ def write_tokens(
 ) -> DataFrame:
     """Encodes every whole text, appends the end id 0 and writes shards in ascending order of the id; returns the manifest.
 
-    A null or empty text has the end id alone. Null ids come first; rows with equal ids are ordered by their texts, and each
+    A null or empty text has the end id alone. Null ids come first; rows with equal ids are ordered by a hash of their texts, and each
     is a document of its own. Other columns aren't read. An empty table has a manifest without documents.
     """
     from pyspark.sql.pandas.types import to_arrow_type
@@ -114,7 +114,10 @@ def write_tokens(
                 {"shard": number, "file": name, "n_documents": shard.n_documents, "n_ids": shard.n_ids}
             ], pa.schema([("shard", pa.int32()), ("file", pa.string()), ("n_documents", pa.int64()), ("n_ids", pa.int64())]))
 
-    ordered = documents.select(doc_id, text).repartitionByRange(doc_id, text).sortWithinPartitions(doc_id, text)
+    # a hash of the text parts rows with equal ids: the sample for the ranges, which goes to the driver, has no texts
+    tie = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    ordered = documents.select(F.col(doc_id), F.col(text), tie.alias("tie")).toDF("id", "text", "tie")
+    ordered = ordered.repartitionByRange("id", "tie").sortWithinPartitions("id", "tie").drop("tie")
     return written(ordered.mapInArrow(write, _MANIFEST), "token-manifest")
 
 
