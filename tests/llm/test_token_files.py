@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from fixtures import edge_documents, edge_rows, empty_documents, pairs
 from tokenizers import Tokenizer
+from xxhash import xxh64_intdigest
 
 from spendlens.llm.encoding import public_path
 from spendlens.llm.storage import prepared
@@ -14,7 +15,11 @@ PATH = public_path("byte_bpe_50k.json")
 
 def encoded(rows):
     tokenizer = Tokenizer.from_file(PATH)
-    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    def place(row):
+        tie = xxh64_intdigest((row[1] or "").encode(), 42)
+        return row[0] is not None, row[0] or 0, tie - (1 << 64) * (tie >> 63)
+
+    ordered = sorted(rows, key=place)
     return [(doc, [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]) for doc, text in ordered]
 
 
