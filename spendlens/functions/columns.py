@@ -133,6 +133,15 @@ def filled(columns: Sequence[str]) -> list[Column]:
     return [F.coalesce(F.col(f"`{c}`"), F.lit(0.0)).alias(c) for c in columns]
 
 
+OTHER, NONE = "(other)", "(none)"
+
+
+def listed(c: ColumnLike, names: Sequence[str]) -> Column:
+    """The name if it is listed, else whether there is one."""
+    c = col(c)
+    return F.when(c.isNull(), NONE).when(c.isin(list(names)), c).otherwise(OTHER)
+
+
 def present(df: DataFrame) -> DataFrame:
     """Report form: DECIMAL becomes DOUBLE."""
     return df.select(*[

@@ -1,7 +1,7 @@
 """Exact ranks and quantiles of groups too large for one task.
 
-Both functions cut a group into value bands (1/256 of an e-fold wide). Band sizes are small aggregates, so their running
-totals are cheap; only rows of one band, or of one slot inside a band, ever meet in a task.
+Ranks cut the rows into ranges of about equal size; quantiles cut a group into value bands (1/256 of an e-fold wide). The
+sizes of ranges and bands are small aggregates, so their running totals are cheap; only rows of one ever meet in a task.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
 from .columns import col, dbl
 
 BANDS_PER_EFOLD = 256
@@ -40,52 +41,36 @@ def rank_rows(
 ) -> DataFrame:
     """Number the rows of every group 1..n by descending value. Group and value columns must not be NULL.
 
-    Ties are ordered by the md5 of the remaining columns, which also spreads one very frequent value over 4096 slots.
-    Fully equal rows travel as one row with a count (in blocks of ``block_rows``) and are expanded last.
+    Ties are ordered by the md5 of the remaining columns, then by these. Fully equal rows travel as one row with a count (in
+    blocks of ``block_rows``) and are expanded last. The rows are cut into ranges of about equal size along that order,
+    whatever the values are, and written with the number of their range to the shared folder; a rank is the rows of the
+    group's earlier ranges plus the place in its own. Where the cuts lie comes from a sample and changes no rank.
     """
     columns = df.columns
     ties = [c for c in columns if c not in group_cols and c != value_col]
     tie_text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ties])
-    slot_cols = [*group_cols, value_col, "_shard", "_block"]
-
+    order = [F.desc(value_col), F.col("_tie"), *[F.col(c).asc_nulls_first() for c in ties], F.col("_block")]
     copies = (
         df.groupBy(*columns)
         .agg(F.count(F.lit(1)).alias("_copies"))
         .withColumn("_tie", F.md5(tie_text.cast("binary")))
-        .withColumn("_shard", F.substring("_tie", 1, 3))
-        .withColumn("_band", band(value_col))
         .withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_copies - 1) div {block_rows}"))))
         .withColumn("_n", F.least(F.lit(block_rows), F.col("_copies") - F.col("_block") * block_rows))
+        .drop("_copies")
     )
+    path = scratch_path(df.sparkSession, "ranked-ranges")
+    copies.repartitionByRange(*[F.col(c) for c in group_cols], *order).withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    ranged = df.sparkSession.read.schema(copies.withColumn("_range", F.lit(0)).schema).parquet(path)
 
-    slots = copies.groupBy("_band", *slot_cols).agg(F.sum("_n").alias("_rows"))
-    earlier_slots = (
-        Window.partitionBy(*group_cols, "_band")
-        .orderBy(F.desc(value_col), "_shard", "_block")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    earlier_bands = (
-        Window.partitionBy(*group_cols).orderBy(F.desc("_band")).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    bands = (
-        slots.groupBy(*group_cols, "_band")
-        .agg(F.sum("_rows").alias("_rows"))
-        .select(*group_cols, "_band", F.coalesce(F.sum("_rows").over(earlier_bands), F.lit(0)).alias("_above"))
-    )
-    offsets = (
-        slots.withColumn("_in_band", F.coalesce(F.sum("_rows").over(earlier_slots), F.lit(0)))
-        .join(bands, [*group_cols, "_band"])
-        .select(*slot_cols, (F.col("_above") + F.col("_in_band")).alias("_before"))
-    )
+    def earlier(*partition: str):
+        return Window.partitionBy(*partition).rowsBetween(Window.unboundedPreceding, -1)
 
-    in_slot = (
-        Window.partitionBy(*slot_cols)
-        .orderBy("_tie", *[F.col(c).asc_nulls_first() for c in ties])
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+    ranges = ranged.groupBy(*group_cols, "_range").agg(F.sum("_n").alias("_rows"))
+    before = ranges.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier(*group_cols).orderBy("_range")), F.lit(0)))
     return (
-        copies.join(offsets, slot_cols)
-        .withColumn("_start", F.col("_before") + F.coalesce(F.sum("_n").over(in_slot), F.lit(0)))
+        ranged.join(before.drop("_rows"), [*group_cols, "_range"])
+        .withColumn(
+            "_start", F.col("_before") + F.coalesce(F.sum("_n").over(earlier(*group_cols, "_range").orderBy(*order)), F.lit(0)))
         .withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
         .select(*columns, (F.col("_start") + F.col("_i")).alias(rank_col))
     )

@@ -73,18 +73,26 @@ MODEL_RATES = [
     ("mistral-7b", 0.1, 0.1),
 ]
 
-# function, credits per million tokens (these do not depend on the model)
+# function, credits per million tokens (whatever the model is, but for those below)
 FUNCTION_RATES = [
     ("SENTIMENT", 0.056),
     ("SUMMARIZE", 0.056),
     ("TRANSLATE", 0.056),
     ("EXTRACT_ANSWER", 0.056),
+    ("AI_EXTRACT", 0.15),
     ("AI_SENTIMENT", 0.3),
     ("EMBED_TEXT_768", 0.014),
     ("EMBED_TEXT_1024", 0.014),
     ("EMBED_IMAGE_1024", 0.14),
 ]
 
+# function, model, credits per million input tokens, credits per million output tokens
+FUNCTION_MODEL_RATES = [
+    ("AI_EXTRACT", "mistral-large", 2.0, 6.0),
+    ("AI_EMBED", "e5-base-v2", 0.014, 0.014),
+    ("AI_EMBED", "multilingual-e5-large", 0.014, 0.014),
+]
+
 # setting, value, description, type
 DEFAULT_SETTINGS = [
     ("LOOKBACK_DAYS", "90", "Default lookback period in days", "INTEGER"),

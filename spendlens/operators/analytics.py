@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import services as S
-from ..functions.columns import dbl, filled, mean, mean_over, ratio0, structs, windowed
+from ..functions.columns import NONE, OTHER, dbl, filled, listed, mean, mean_over, ratio0, structs, windowed
 from .forecast import confidence_interval
 
 
@@ -57,7 +57,7 @@ def executive_summary(
     totals = usage.groupBy(*group_cols).agg(
         F.sum("total_credits").cast("double").alias("total_credits"),
         mean("daily_unique_users").alias("avg_users"),
-        F.size(F.collect_set("service_type")).cast("long").alias("service_count"),  # services are few
+        F.count_distinct("service_type").alias("service_count"),
         *[fn("date").alias(name) for fn, name in _DATES],
     )
     run_rate = (
@@ -277,25 +277,24 @@ def top_models(model_comparison: DataFrame, *, k: int = 20, price: float = S.CRE
     )
 
 
-def recent_trends(trends: DataFrame, *, since, k: int = 500) -> DataFrame:
-    """The newest function/model days, most expensive first within a day."""
-    return (
-        trends.where(F.col("usage_date") >= F.lit(since))
-        .orderBy(
-            F.desc("usage_date"), F.desc_nulls_first("daily_credits"), "function_name", F.asc_nulls_first("model_name")
-        )
-        .limit(k)
-        .drop("hourly_records")
+def recent_trends(trends: DataFrame, *, since, k: int | None = None) -> DataFrame:
+    """The function/model days since a date, newest first and most expensive first within a day; the first k if wanted."""
+    newest = trends.where(F.col("usage_date") >= F.lit(since)).orderBy(
+        F.desc("usage_date"), F.desc_nulls_first("daily_credits"), "function_name", F.asc_nulls_first("model_name")
     )
+    return (newest if k is None else newest.limit(k)).drop("hourly_records")
 
 
 def function_model_matrix(function_summary: DataFrame, *, models: Sequence[str]) -> DataFrame:
-    """Function x model matrix of credits, 0 where a pair is unused. The models become columns, so they are given."""
+    """Function x model matrix of credits, 0 where a pair is unused. The models become columns, so they are given; credits
+    of other models are in ``(other)`` and those without a model in ``(none)``, so a row sums up to the function."""
+    columns = [*models, OTHER, NONE]
     return (
-        function_summary.groupBy("function_name")
-        .pivot("model_name", list(models))
+        function_summary.withColumn("_model", listed("model_name", models))
+        .groupBy("function_name")
+        .pivot("_model", columns)
         .agg(F.sum("total_credits").cast("double"))
-        .select("function_name", *filled(models))
+        .select("function_name", *filled(columns))
     )
 
 
@@ -342,18 +341,21 @@ def rate_card(spark) -> tuple[DataFrame, DataFrame]:
     return (
         fixed(["model_name", "input_rate", "output_rate"], S.MODEL_RATES),
         fixed(["function_name", "function_rate"], S.FUNCTION_RATES),
+        spark.range(1).select(F.inline(structs(
+            ["function_name", "model_name", "pair_input", "pair_output"], S.FUNCTION_MODEL_RATES, ["string", "string", "double", "double"]))),
     )
 
 
-def rate_card_join(function_summary: DataFrame, models: DataFrame, functions: DataFrame) -> DataFrame:
-    """Actual credits of each function/model against its published rate. A rate of the function itself wins over the
-    model's; model rates give a range from all-input to all-output tokens."""
+def rate_card_join(function_summary: DataFrame, models: DataFrame, functions: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Actual credits of each function/model against its published rate. A rate of the function with that model wins over
+    one of the function, and that over the model's; two rates give a range from all-input to all-output tokens."""
     millions = dbl("total_tokens") / 1_000_000
-    low = F.coalesce("function_rate", "input_rate")
-    high = F.coalesce("function_rate", "output_rate")
+    low = F.coalesce("pair_input", "function_rate", "input_rate")
+    high = F.coalesce("pair_output", "function_rate", "output_rate")
     return (
         function_summary.join(models, "model_name", "left")
         .join(functions, "function_name", "left")
+        .join(pairs, ["function_name", "model_name"], "left")
         .select(
             "function_name", "model_name", "total_tokens", "total_credits", "cost_per_million_tokens",
             low.alias("rate_low"), high.alias("rate_high"),

@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from ..functions import services as S
 from ..functions.columns import day_before, dbl, mean, round_cents, ts
+from ..sources.schemas import TOTAL
 from ..sources.telemetry import Telemetry
 
 
 def metering_reconcile(daily: DataFrame, metered: DataFrame, *, as_of: datetime, days: int = 30) -> DataFrame:
     """Credits per day of the rollup next to the metered credits of the same day, from one union and one aggregate."""
     start = F.lit(day_before(as_of, days))
-    zero = F.lit(0).cast("decimal(38,6)")
+    zero = F.lit(0).cast(TOTAL)
     both = (
         daily.select("usage_date", F.col("total_credits").alias("monitored"), zero.alias("metered"))
         .unionByName(metered.select("usage_date", zero.alias("monitored"), F.col("total_credits").alias("metered")))
@@ -96,7 +97,7 @@ def cost_sentence(export: DataFrame, *, as_of: datetime, days: int = 30, price:
     totals = (
         export.where(F.col("date") >= F.lit(day_before(as_of, days)))
         .groupBy("service_type")
-        .agg(F.sum("total_credits").cast("decimal(38,6)").alias("total_credits"))
+        .agg(F.sum("total_credits").cast(TOTAL).alias("total_credits"))
         .withColumn("total_cost_usd", F.round(F.col("total_credits") * F.lit(price).cast("decimal(10,2)"), 2).cast("decimal(38,2)"))
     )
     return totals.withColumn(

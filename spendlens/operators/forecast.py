@@ -13,11 +13,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import services as S
-from ..functions.columns import day_before, dbl, filled, mean, ratio0, structs, windowed
-from ..sources.schemas import FORECAST_SCHEMA, struct
+from ..functions.columns import NONE, OTHER, day_before, dbl, filled, listed, mean, ratio0, structs, windowed
+from ..sources.schemas import FORECAST_SCHEMA, TOTAL, struct
 
 # computed values are summed in these types, so sums do not depend on the order of the rows
 RESIDUAL = "decimal(28,9)"
+SHARE = "decimal(28,18)"
 STORED = "decimal(28,6)"
 
 
@@ -32,7 +33,7 @@ def forecast_input(snapshots: DataFrame, *, as_of: datetime, days: int = 365, gr
     return (
         snapshots.where(F.col("usage_date") >= F.lit(day_before(as_of, days)))
         .groupBy(*group_cols, "service_type", F.col("usage_date").cast("timestamp_ntz").alias("ts"))
-        .agg(F.sum("total_credits").cast("decimal(38,6)").alias("y"))
+        .agg(F.sum("total_credits").cast(TOTAL).alias("y"))
     )
 
 
@@ -81,6 +82,9 @@ def forecast_12m(series_days: DataFrame, *, horizon_days: int = 365, min_points:
             / F.count(F.lit(1)).over(same_weekday),
         )
         .withColumn("e", F.col("residual") - F.col("effect"))
+        # squares of residuals in units of the largest one fit any magnitude
+        .withColumn("scale", F.max(F.abs("e")).over(whole))
+        .withColumn("scale", F.when(F.col("scale") > 0, F.col("scale")).otherwise(F.lit(1.0)))
     )
     model = points.groupBy(*series).agg(
         F.max("slope").alias("slope"),
@@ -88,8 +92,10 @@ def forecast_12m(series_days: DataFrame, *, horizon_days: int = 365, min_points:
         F.max("day").alias("last_day"),
         F.max("x").alias("last_x"),
         F.map_from_entries(F.collect_set(F.struct("weekday", "effect"))).alias("effects"),
-        F.sqrt(F.sum((F.col("e") * F.col("e")).cast(RESIDUAL)).cast("double") / (F.max("n") - 1)).alias("sigma"),
-    )
+        F.max("scale").alias("scale"),
+        F.sum((F.col("e") / F.col("scale") * (F.col("e") / F.col("scale"))).cast(SHARE)).cast("double").alias("squares"),
+        F.max("n").alias("n"),
+    ).withColumn("sigma", F.sqrt(F.col("squares") / (F.col("n") - 1)) * F.col("scale"))
     ahead = model.withColumn("h", F.explode(F.sequence(F.lit(1), F.lit(horizon_days)))).withColumn(
         "forecast_date", F.date_add("last_day", F.col("h"))
     )
@@ -160,12 +166,15 @@ def forecast_monthly(by_month: DataFrame, *, price: float = S.CREDIT_PRICE_USD,
 
 
 def forecast_pivot(by_month: DataFrame, *, services: Sequence[str], group_cols: Sequence[str] = ()) -> DataFrame:
-    """Month x service matrix of forecast credits; the service list is given, so no extra job looks for it."""
+    """Month x service matrix of forecast credits; the service list is given, so no extra job looks for it. Other services
+    are in ``(other)`` and rows without one in ``(none)``, so a row sums up to the month."""
+    columns = [*services, OTHER, NONE]
     return (
-        by_month.groupBy(*group_cols, "month")
-        .pivot("service_type", list(services))
+        by_month.withColumn("_service", listed("service_type", services))
+        .groupBy(*group_cols, "month")
+        .pivot("_service", columns)
         .agg(F.sum("forecast_credits").cast("double"))
-        .select(*group_cols, "month", *filled(services))
+        .select(*group_cols, "month", *filled(columns))
     )
 
 

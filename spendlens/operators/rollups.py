@@ -12,6 +12,7 @@ from ..functions.columns import (
     long_lit, mean, per_million0, per_million_null, ratio0, ratio_null, round_cents, text_to_long,
 )
 from ..functions.ranking import exact_quantiles, rank_rows
+from ..sources.schemas import TOTAL
 from ..sources.telemetry import Telemetry
 from . import details
 
@@ -194,7 +195,7 @@ def daily_summary(t: Telemetry, *, as_of: datetime, lookback_days: int = 90) ->
     every = analyst.select(*columns)
     for part in (search, functions, documents, fine_tuning):
         every = every.unionByName(part.select(*columns))
-    return with_ratios(every.withColumn("total_credits", F.col("total_credits").cast("decimal(38,6)")))
+    return with_ratios(every.withColumn("total_credits", F.col("total_credits").cast(TOTAL)))
 
 
 def with_ratios(daily: DataFrame) -> DataFrame:

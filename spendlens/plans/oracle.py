@@ -409,8 +409,12 @@ SELECT service_type, weekday, CAST(SUM(CAST(CAST(residual AS VARCHAR) AS DECIMAL
 FROM residuals GROUP BY 1, 2""")
 
 CTES["spread"] = ("weekdays", """
-SELECT r.service_type, SQRT(CAST(SUM(CAST((residual - effect) * (residual - effect) AS DECIMAL(28,9))) AS DOUBLE) / (MAX(n) - 1)) AS sigma
-FROM residuals r JOIN weekdays w ON r.service_type = w.service_type AND r.weekday = w.weekday GROUP BY 1""")
+SELECT service_type,
+       SQRT(CAST(SUM(CAST(CAST(e / scale * (e / scale) AS VARCHAR) AS DECIMAL(28,18))) AS DOUBLE) / (MAX(n) - 1)) * MAX(scale) AS sigma
+FROM (SELECT service_type, n, e, CASE WHEN largest > 0 THEN largest ELSE 1.0 END AS scale
+      FROM (SELECT r.service_type, n, residual - effect AS e, MAX(ABS(residual - effect)) OVER (PARTITION BY r.service_type) AS largest
+            FROM residuals r JOIN weekdays w ON r.service_type = w.service_type AND r.weekday = w.weekday))
+GROUP BY 1""")
 
 CTES["forecast"] = ("spread", """
 SELECT service_type, forecast_date, GREATEST(0.0, v) AS forecast_credits, GREATEST(0.0, v - 1.96 * sigma) AS lower_bound_credits,
@@ -763,7 +767,6 @@ SELECT COALESCE(t.snapshot_date, s.snapshot_date) AS snapshot_date, COALESCE(t.s
 FROM tgt t FULL OUTER JOIN src s ON t.snapshot_date = s.snapshot_date AND t.service_type = s.service_type
      AND t.usage_date = s.usage_date AND COALESCE(t.function_name, '') = COALESCE(s.function_name, '')
      AND COALESCE(t.model_name, '') = COALESCE(s.model_name, '')""", _SNAPSHOT_DOUBLES)
-_q("config_defaults", "default_settings", "SELECT * FROM default_settings")
 _q("config_upsert", "settings", "SELECT * FROM settings")
 _q("config_value", "settings", "SELECT account, setting_value FROM settings WHERE setting_name = 'CREDIT_COST_USD'")
 _q("config_summary", "settings", "SELECT account, COUNT(*) AS settings_count, MAX(updated_at) AS last_updated FROM settings GROUP BY 1")
@@ -851,9 +854,16 @@ FROM (SELECT month, CAST(SUM(forecast_credits) AS DOUBLE) AS forecast_credits, C
    _BOUNDS + " forecast_cost_usd lower_cost_usd upper_cost_usd")
 _SERVICES = ["Analyst", "Document Processing", "Fine-tuning", "Function Models", "Search"]
 _MODELS = ["claude-3-haiku", "in-house-1", "llama3.1-405b", "llama3.1-70b", "mistral-7b"]
-_q("forecast_pivot", "forecast_months", "SELECT month, " + ", ".join(
-    f"COALESCE(SUM(CASE WHEN service_type = '{s}' THEN forecast_credits END), 0) AS \"{s}\"" for s in _SERVICES
-) + " FROM forecast_months GROUP BY 1", "|".join(_SERVICES))
+def _pivoted(column: str, value: str, names: list[str]) -> str:
+    """One column per name, one for other names and one for none."""
+    listed = ", ".join(f"'{n}'" for n in names)
+    tests = {n: f"{column} = '{n}'" for n in names} | {"(other)": f"{column} NOT IN ({listed})", "(none)": f"{column} IS NULL"}
+    return ", ".join(f'COALESCE(SUM(CASE WHEN {test} THEN {value} END), 0) AS "{n}"' for n, test in tests.items())
+
+
+_EXTRA = ["(other)", "(none)"]
+_q("forecast_pivot", "forecast_months", f"SELECT month, {_pivoted('service_type', 'forecast_credits', _SERVICES)} FROM forecast_months GROUP BY 1",
+   "|".join(_SERVICES + _EXTRA))
 _q("growth_projection", "projection", "SELECT * FROM projection", "projected_credits projected_users projected_cost_usd cost_per_user_usd growth_rate")
 _q("growth_monthly_band", "band", "SELECT * FROM band", "projected_cost_usd lower_bound upper_bound cumulative_cost_usd")
 _q("growth_cards", "band", """
@@ -956,10 +966,9 @@ FROM models ORDER BY total_credits DESC, model_name LIMIT 20""",
    "total_credits avg_credits_per_call cost_per_million_tokens median_credits p90_credits cost_usd cost_per_million_usd")
 _q("recent_trends", "trends", f"""
 SELECT usage_date, function_name, model_name, daily_credits, daily_tokens, serverless_calls, compute_calls FROM trends
-WHERE usage_date >= {AS_OF} - 30 ORDER BY usage_date DESC, daily_credits DESC, function_name, model_name NULLS FIRST LIMIT 500""", "daily_credits")
-_q("function_model_matrix", "function_summary", "SELECT function_name, " + ", ".join(
-    f"COALESCE(SUM(CASE WHEN model_name = '{m}' THEN total_credits END), 0) AS \"{m}\"" for m in _MODELS
-) + " FROM function_summary GROUP BY 1", "|".join(_MODELS))
+WHERE usage_date >= {AS_OF} - 30 ORDER BY usage_date DESC, daily_credits DESC, function_name, model_name NULLS FIRST""", "daily_credits")
+_q("function_model_matrix", "function_summary",
+   f"SELECT function_name, {_pivoted('model_name', 'total_credits', _MODELS)} FROM function_summary GROUP BY 1", "|".join(_MODELS + _EXTRA))
 _q("function_daily", "trends", f"""
 SELECT usage_date, function_name, SUM(daily_credits) AS daily_credits, {big('SUM(daily_tokens)')} AS daily_tokens
 FROM trends GROUP BY 1, 2""", "daily_credits")
@@ -983,14 +992,17 @@ WITH m(model_name, input_rate, output_rate) AS (VALUES
   ('llama3.1-70b', 0.4, 0.4), ('llama3.1-8b', 0.1, 0.1), ('llama3-70b', 0.4, 0.4), ('llama3-8b', 0.1, 0.1), ('deepseek-r1', 0.55, 2.19),
   ('mistral-large2', 2.0, 6.0), ('mistral-large', 2.0, 6.0), ('mixtral-8x7b', 0.15, 0.15), ('mistral-7b', 0.1, 0.1)),
 f(function_name, function_rate) AS (VALUES ('SENTIMENT', 0.056), ('SUMMARIZE', 0.056), ('TRANSLATE', 0.056), ('EXTRACT_ANSWER', 0.056),
-  ('AI_SENTIMENT', 0.3), ('EMBED_TEXT_768', 0.014), ('EMBED_TEXT_1024', 0.014), ('EMBED_IMAGE_1024', 0.14))
+  ('AI_EXTRACT', 0.15), ('AI_SENTIMENT', 0.3), ('EMBED_TEXT_768', 0.014), ('EMBED_TEXT_1024', 0.014), ('EMBED_IMAGE_1024', 0.14)),
+p(function_name, model_name, pair_input, pair_output) AS (VALUES ('AI_EXTRACT', 'mistral-large', 2.0, 6.0), ('AI_EMBED', 'e5-base-v2', 0.014, 0.014),
+  ('AI_EMBED', 'multilingual-e5-large', 0.014, 0.014))
 SELECT *, CASE WHEN rate_low IS NULL THEN 'No published rate' WHEN CAST(total_credits AS DOUBLE) < expected_credits_low THEN 'Below published rate'
        WHEN CAST(total_credits AS DOUBLE) > expected_credits_high THEN 'Above published rate' ELSE 'Within published rate' END AS rate_status
 FROM (SELECT s.function_name, s.model_name, total_tokens, total_credits, cost_per_million_tokens,
-             CAST(COALESCE(function_rate, input_rate) AS DOUBLE) AS rate_low, CAST(COALESCE(function_rate, output_rate) AS DOUBLE) AS rate_high,
-             CAST(total_tokens AS DOUBLE) / 1000000 * CAST(COALESCE(function_rate, input_rate) AS DOUBLE) AS expected_credits_low,
-             CAST(total_tokens AS DOUBLE) / 1000000 * CAST(COALESCE(function_rate, output_rate) AS DOUBLE) AS expected_credits_high
-      FROM function_summary s LEFT JOIN m ON s.model_name = m.model_name LEFT JOIN f ON s.function_name = f.function_name)""",
+             CAST(COALESCE(pair_input, function_rate, input_rate) AS DOUBLE) AS rate_low, CAST(COALESCE(pair_output, function_rate, output_rate) AS DOUBLE) AS rate_high,
+             CAST(total_tokens AS DOUBLE) / 1000000 * CAST(COALESCE(pair_input, function_rate, input_rate) AS DOUBLE) AS expected_credits_low,
+             CAST(total_tokens AS DOUBLE) / 1000000 * CAST(COALESCE(pair_output, function_rate, output_rate) AS DOUBLE) AS expected_credits_high
+      FROM function_summary s LEFT JOIN m ON s.model_name = m.model_name LEFT JOIN f ON s.function_name = f.function_name
+      LEFT JOIN p ON s.function_name = p.function_name AND s.model_name = p.model_name)""",
    "total_credits cost_per_million_tokens rate_low rate_high expected_credits_low expected_credits_high")
 _q("request_baseline", "baseline", "SELECT * FROM baseline", "total_credits users_in_env requests_per_day cost_per_request")
 _q("baseline_checks", "baseline", """
@@ -1158,7 +1170,7 @@ SELECT date, service_type, total_credits,
        {cents('CAST(total_credits AS DOUBLE) * 3.0::DOUBLE')} AS total_cost_usd FROM export""",
    "total_credits estimated_share_credits total_cost_usd")
 _q("cost_sentence", "export", f"""
-SELECT *, 'Service: ' || service_type || ' consumed ' || CAST(total_credits AS VARCHAR) || ' credits costing $' || CAST(total_cost_usd AS VARCHAR) AS summary
+SELECT *, 'Service: ' || service_type || ' consumed ' || CAST(CAST(total_credits AS DECIMAL(38,12)) AS VARCHAR) || ' credits costing $' || CAST(total_cost_usd AS VARCHAR) AS summary
 FROM (SELECT service_type, total_credits, CAST(ROUND(total_credits * 3, 2) AS DECIMAL(36,2)) AS total_cost_usd
       FROM (SELECT service_type, SUM(total_credits) AS total_credits FROM export WHERE date >= {AS_OF} - 30 GROUP BY 1))""",
    "total_credits total_cost_usd")
@@ -1168,7 +1180,7 @@ FROM (SELECT doc_id, text, UNNEST(range(0, (length(text) + 3999) // 4000)) AS i
 _q("non_ascii_docs", "", "SELECT * FROM documents WHERE regexp_matches(text, '[^\\x00-\\x7F]')")
 _q("distinct_services", "daily", "SELECT DISTINCT service_type FROM daily")
 _q("stream_daily_usage", "", f"""
-SELECT CAST(ts AS DATE) AS usage_date, event_type AS service_type, COUNT(*) AS events, {big(f'SUM({EVENT_K})')} AS total_operations,
+SELECT CAST(ts AS DATE) AS usage_date, event_type AS service_type, COUNT(*) AS events, COUNT(DISTINCT user_id) AS users, {big(f'SUM({EVENT_K})')} AS total_operations,
        SUM(CAST(value / 100 AS {MONEY})) AS total_credits FROM events GROUP BY 1, 2""", "total_credits")
 
 

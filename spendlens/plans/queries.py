@@ -209,16 +209,18 @@ def _rate_card_join(b: Bed) -> DataFrame:
 
 
 def _stream(b: Bed) -> DataFrame:
-    events = b.spark.readStream.schema(testbed.BASE_SCHEMAS["events"]).option("pathGlobFilter", "events.parquet").parquet(b.sf_dir)
+    """The events as several files, each with events of all days in no order, one file to a batch."""
+    source = scratch_path(b.spark, "stream-source")
+    testbed.table(b.spark, b.sf_dir, "events").repartition(4, F.pmod(F.hash("user_id", "ts"), F.lit(4))).write.parquet(source)
+    schema = b.spark.read.parquet(source).schema
+    events = b.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
     usage = events.selectExpr(
         "CAST(ts AS TIMESTAMP) AS event_time", "event_type AS service_type", "user_id AS user",
         "CAST(get_json_object(props, '$.k') AS BIGINT) AS operations", "CAST(value / 100 AS DECIMAL(18,6)) AS credits",
     )
-    path = scratch_path(b.spark, "stream-table")
-    stream.start_daily_usage(
-        usage, path=path, checkpoint=scratch_path(b.spark, "stream-checkpoint"), availableNow=True
-    ).awaitTermination()
-    return b.spark.read.parquet(path).select("usage_date", "service_type", "events", "total_operations", "total_credits")
+    path, parts, checkpoint = (scratch_path(b.spark, f"stream-{n}") for n in ("table", "parts", "checkpoint"))
+    stream.start_daily_usage(usage, path=path, parts=parts, checkpoint=checkpoint, availableNow=True).awaitTermination()
+    return b.spark.read.parquet(path).select("usage_date", "service_type", "events", "users", "total_operations", "total_credits")
 
 
 Query = Callable[[Bed], DataFrame]
@@ -236,9 +238,6 @@ QUERIES: dict[str, Query] = {
     "export_snapshot": lambda b: usage_files.export_snapshot(b.history, as_of=AS_OF),
     "export_function_detail": lambda b: usage_files.export_function_detail(b.functions),
     "snapshot_upsert": _snapshot_upsert,
-    "config_defaults": lambda b: settings.config_defaults(
-        testbed.table(b.spark, b.sf_dir, "customer").selectExpr("c_custkey AS account")
-    ),
     "config_upsert": lambda b: b.merged_settings,
     "config_value": lambda b: settings.config_value(b.merged_settings, "CREDIT_COST_USD", group_cols=ACCOUNT),
     "config_summary": lambda b: settings.config_summary(b.merged_settings, group_cols=ACCOUNT),

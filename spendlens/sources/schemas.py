@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql.types import StructType
 
-MONEY = "DECIMAL(18,6)"
+# Money keeps twelve decimals; sums have room for more digits before the point.
+MONEY = "DECIMAL(26,12)"
+TOTAL = "DECIMAL(38,12)"
 
 SCHEMAS = {
     "analyst": f"start_time TIMESTAMP_NTZ, end_time TIMESTAMP_NTZ, username STRING, credits {MONEY}, request_count BIGINT",
@@ -59,13 +61,15 @@ TIME_COLUMN = {
 
 SNAPSHOT_SCHEMA = (
     "snapshot_date DATE, service_type STRING, usage_date DATE, daily_unique_users BIGINT, total_operations BIGINT, "
-    "total_credits DECIMAL(38,6), credits_per_user DOUBLE, credits_per_operation DOUBLE, function_name STRING, "
+    f"total_credits {TOTAL}, credits_per_user DOUBLE, credits_per_operation DOUBLE, function_name STRING, "
     "model_name STRING, total_tokens BIGINT, cost_per_million_tokens DOUBLE, serverless_calls BIGINT, "
     "compute_calls BIGINT, total_pages_processed BIGINT, total_documents_processed BIGINT, credits_per_page DOUBLE, "
     "credits_per_document DOUBLE, inserted_at TIMESTAMP_NTZ"
 )
 
-USAGE_CSV_REQUIRED = "DATE DATE, SERVICE_TYPE STRING, DAILY_UNIQUE_USERS BIGINT, TOTAL_OPERATIONS BIGINT, TOTAL_CREDITS DECIMAL(38,6)"
+USAGE_CSV_REQUIRED = (
+    f"DATE DATE, SERVICE_TYPE STRING, DAILY_UNIQUE_USERS BIGINT, TOTAL_OPERATIONS BIGINT, TOTAL_CREDITS {TOTAL}"
+)
 
 FORECAST_SCHEMA = (
     "service_type STRING, forecast_date DATE, forecast_credits DOUBLE, lower_bound_credits DOUBLE, "

@@ -7,11 +7,20 @@ from datetime import datetime
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.columns import since
 from .schemas import SCHEMAS, TIME_COLUMN, struct
 
 
+def _declared(table: DataFrame, name: str) -> DataFrame:
+    """The declared columns in their declared types; a column of that type stays as it is, so filters reach the scan."""
+    fields = struct(SCHEMAS[name]).fields
+    return table.select(*[
+        F.col(f.name) if table.schema[f.name].dataType == f.dataType else F.col(f.name).cast(f.dataType).alias(f.name) for f in fields
+    ])
+
+
 class Telemetry:
     """Usage tables by name: analyst, search_daily, search_serving, functions, documents, documents_legacy, fine_tuning,
     metering, users and query_history (columns in ``schemas.SCHEMAS``).
@@ -28,13 +37,14 @@ class Telemetry:
 
     @classmethod
     def read(cls, spark: SparkSession, root: str) -> Telemetry:
-        """One parquet folder per table below ``root``."""
-        return cls(**{n: spark.read.schema(struct(ddl)).parquet(f"{root}/{n}") for n, ddl in SCHEMAS.items()})
+        """One parquet folder per table below ``root``, read in the types it is stored in (money may be DOUBLE or any
+        DECIMAL) and cast to the declared ones."""
+        return cls(**{n: partial(lambda name: _declared(spark.read.parquet(f"{root}/{name}"), name), n) for n in SCHEMAS})
 
     @classmethod
     def from_tables(cls, spark: SparkSession, **table_names: str) -> Telemetry:
         """Catalog tables, by default named like the usage tables."""
-        return cls(**{n: partial(spark.table, table_names.get(n, n)) for n in SCHEMAS})
+        return cls(**{n: partial(lambda name: _declared(spark.table(table_names.get(name, name)), name), n) for n in SCHEMAS})
 
     def replace(self, **tables: DataFrame | Callable[[], DataFrame]) -> Telemetry:
         return Telemetry(**{**self._tables, **tables})

@@ -73,20 +73,31 @@ def read_table(source: DataFrame, path: str, schema: StructType) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def remove(spark, path: str) -> None:
+    """Remove a folder that this code has made."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+
+
 def merge_into(path: str, source: DataFrame, *, partition_col: str, schema: StructType, **upsert_args) -> None:
     """Merge ``source`` into the parquet table at ``path``, partitioned by ``partition_col``.
 
     The source is computed once into the shared folder. The first and last partition it touches (one row on the driver)
     bound the part of the target that is read; merged partitions are written to the shared folder and then replace the
-    old ones, so nothing is read from a place being written. A rerun after a lost job gives the same table. Keys are
-    unique in the source. The two folders (merge-source-*, merge-result-*) are left to the shared folder's clean-up.
+    old ones, so nothing is read from a place being written. A rerun after a lost job gives the same table. A source that
+    holds a key twice is rejected before anything is written. The two staging folders are removed at the end.
     """
     spark = source.sparkSession
     staged_source = scratch_path(spark, "merge-source")
     source.write.parquet(staged_source)
     fresh = spark.read.schema(source.schema).parquet(staged_source)
+    keys = [_key(F.col(k), k in upsert_args.get("null_is_empty", ())) for k in upsert_args["keys"]]
     low, high = fresh.agg(F.min(partition_col), F.max(partition_col)).first()
-    if low is None:
+    twice = fresh.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
+    if low is None or twice:
+        remove(spark, staged_source)
+        if twice:
+            raise ValueError(f"the source holds a key twice: {', '.join(upsert_args['keys'])}")
         return
     touched = fresh.select(partition_col).distinct()
     target = (
@@ -105,3 +116,5 @@ def merge_into(path: str, source: DataFrame, *, partition_col: str, schema: Stru
         .partitionBy(partition_col)
         .parquet(path)
     )
+    remove(spark, staged_source)
+    remove(spark, staged_merge)

@@ -12,8 +12,6 @@ from ..functions import services as S
 from ..functions.columns import day_before
 from .schemas import USAGE_CSV_REQUIRED, struct
 
-MAX_ROWS = 100_000
-MAX_SPAN_DAYS = 730
 USAGE_COLUMNS = ["date", "service_type", "daily_unique_users", "total_operations", "total_credits"]
 
 
@@ -45,7 +43,7 @@ def read_usage_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def validation_report(
     usage: DataFrame, *, known: Sequence[str] = tuple(S.ROLLUP_SERVICES), group_cols: Sequence[str] = (),
-    max_rows: int = MAX_ROWS, max_span_days: int = MAX_SPAN_DAYS,
+    max_rows: int | None = None, max_span_days: int | None = None,
 ) -> DataFrame:
     """One row per group (file, account) and rule: number of findings and what they mean for the group."""
 

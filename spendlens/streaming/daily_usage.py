@@ -1,7 +1,8 @@
-"""Daily usage from a stream of usage events, merged into a stored table.
+"""Daily usage from a stream of usage events, kept in a stored table that is complete whatever the batches are.
 
-State holds one row per open day and service. Every micro-batch replaces the rows of the days it changed with their
-full values, so a repeated batch after a failure changes nothing, and events up to ``lateness`` late are absorbed.
+Every micro-batch adds its own counts per day, service and user to a table of parts and then makes the days it touched anew
+from all their parts. There is no watermark: an event that comes late changes its day like any other. A batch that runs again
+replaces its own parts, so a repeat after a failure changes nothing.
 """
 
 from __future__ import annotations
@@ -10,51 +11,58 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.schemas import struct
-from ..sources.upsert import merge_into
+from ..sources.schemas import TOTAL, struct
 
 DAILY_SCHEMA = (
-    "usage_date DATE, service_type STRING, events BIGINT, approx_users BIGINT, total_operations BIGINT, "
-    "total_credits DECIMAL(38,6)"
+    f"usage_date DATE, service_type STRING, events BIGINT, users BIGINT, total_operations BIGINT, total_credits {TOTAL}"
+)
+PARTS_SCHEMA = (
+    f"usage_date DATE, service_type STRING, user STRING, events BIGINT, total_operations BIGINT, total_credits {TOTAL}, batch BIGINT"
 )
 KEYS = ["usage_date", "service_type"]
-MEASURES = ["events", "approx_users", "total_operations", "total_credits"]
-
+SUMS = ["events", "total_operations", "total_credits"]
 
-def daily_usage(events: DataFrame, *, lateness: str = "2 days") -> DataFrame:
-    """Usage per day and service of a stream (or table) with event_time, service_type, user, operations and credits.
 
-    Exact distinct users would need every user of a day in the state; the stream keeps a sketch per day instead.
-    """
-    return (
-        events.withWatermark("event_time", lateness)
-        .groupBy(F.window("event_time", "1 day").alias("day"), "service_type")
-        .agg(
-            F.count(F.lit(1)).alias("events"),
-            F.approx_count_distinct("user").alias("approx_users"),
-            F.sum("operations").alias("total_operations"),
-            F.sum("credits").cast("decimal(38,6)").alias("total_credits"),
-        )
-        .select(F.col("day.start").cast("date").alias("usage_date"), "service_type", *MEASURES)
+def usage_parts(events: DataFrame) -> DataFrame:
+    """Counts per day, service and user of events with event_time, service_type, user, operations and credits."""
+    return events.groupBy(
+        F.col("event_time").cast("date").alias("usage_date"), "service_type", F.col("user").cast("string").alias("user")
+    ).agg(
+        F.count(F.lit(1)).alias("events"), F.sum("operations").alias("total_operations"),
+        F.sum("credits").cast(TOTAL).alias("total_credits"),
     )
 
 
-def start_daily_usage(
-    events: DataFrame, *, path: str, checkpoint: str, lateness: str = "2 days", **trigger
-) -> StreamingQuery:
-    """Start the job; ``trigger`` is passed on (``availableNow=True``, ``processingTime='5 minutes'``)."""
+def daily_usage(parts: DataFrame) -> DataFrame:
+    """Usage per day and service; users are counted exactly."""
+    whole = parts.groupBy(*KEYS, "user").agg(*[F.sum(c).cast(parts.schema[c].dataType).alias(c) for c in SUMS])
+    totals = [F.sum(c).cast(parts.schema[c].dataType).alias(c) for c in SUMS]
+    return whole.groupBy(*KEYS).agg(*totals, F.count("user").alias("users")).select(*struct(DAILY_SCHEMA).names)
 
-    def merge(batch: DataFrame, _batch_id: int) -> None:
-        merge_into(
-            path, batch, partition_col="usage_date", schema=struct(DAILY_SCHEMA), keys=KEYS, update_cols=MEASURES,
-            insert_cols=[*KEYS, *MEASURES],
+
+def start_daily_usage(events: DataFrame, *, path: str, parts: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Start the job: daily rows at ``path``, their parts at ``parts``.
+
+    ``trigger`` is passed on (``availableNow=True``, ``processingTime='5 minutes'``). Both tables are partitioned by day, so a
+    batch reads and writes the days it touched only. A batch writes its parts before the days, and both writes replace whole
+    partitions: nothing is read from a place that is being written, and no staging folder is needed.
+    """
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        (
+            usage_parts(batch).withColumn("batch", F.lit(batch_id).cast("long"))
+            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("usage_date", "batch").parquet(parts)
+        )
+        stored = spark.read.schema(struct(PARTS_SCHEMA)).parquet(parts)
+        touched = stored.where(F.col("batch") == batch_id).select(F.col("usage_date").alias("day")).distinct()
+        again = stored.join(touched, F.col("usage_date").eqNullSafe(F.col("day")), "left_semi")
+        (
+            daily_usage(again).hint("rebalance", "usage_date")
+            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("usage_date").parquet(path)
         )
 
     return (
-        daily_usage(events, lateness=lateness)
-        .writeStream.outputMode("update")
-        .option("checkpointLocation", checkpoint)
-        .foreachBatch(merge)
-        .trigger(**(trigger or {"availableNow": True}))
-        .start()
+        events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(merge)
+        .trigger(**(trigger or {"availableNow": True})).start()
     )

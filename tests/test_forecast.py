@@ -1,4 +1,5 @@
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
+from decimal import Decimal
 
 import numpy as np
 import pytest
@@ -131,3 +132,13 @@ def test_forecast_input_window(spark):
     data = [(date(2024, 1, 1), "A", 5.0), (date(2025, 1, 30), "A", 1.0), (date(2025, 1, 30), "A", 2.0)]
     df = spark.createDataFrame(data, "usage_date DATE, service_type STRING, total_credits DOUBLE")
     assert float(one(forecast.forecast_input(df, as_of=AS_OF))["y"]) == 3.0
+
+
+def test_forecast_of_very_large_series(spark):
+    """90 days of 3.5e11 credits with 5 % spikes."""
+    days = [(datetime(2025, 1, 1) + timedelta(days=n), Decimal(350_000_000_000) * (105 if n % 11 == 0 else 100) / 100) for n in range(90)]
+    series = spark.createDataFrame([("A", ts, y) for ts, y in days], "service_type STRING, ts TIMESTAMP_NTZ, y DECIMAL(38,12)")
+    got = rows(forecast.forecast_12m(series, horizon_days=3))
+    assert len(got) == 3
+    for r in got:
+        assert r["lower_bound_credits"] < 3.5e11 < r["forecast_credits"] < r["upper_bound_credits"] < 4e11

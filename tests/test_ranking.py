@@ -1,5 +1,7 @@
 """Ranks and quantiles against brute force, on skewed and tied values."""
 
+import glob
+import os
 import random
 import re
 from decimal import Decimal
@@ -8,6 +10,7 @@ import numpy as np
 import pytest
 
 from spendlens.functions.ranking import band, exact_quantiles, rank_rows
+from spendlens.session import shared_folder
 
 
 def skewed(seed, n=3000):
@@ -64,13 +67,29 @@ def test_bands_follow_the_values(spark):
     assert bands == sorted(bands)
 
 
+def test_close_values_are_spread_over_tasks(spark):
+    """A million distinct values within 0.3 % of each other: no window holds more than a few of the ranges' rows."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(1_000_000).selectExpr("'a' AS g", "CAST(100 + id / 3500000 AS DECIMAL(18,9)) AS v", "id")
+        ranked = rank_rows(df, ["g"], "v", "r")
+        path = max(glob.glob(f"{shared_folder(spark)}/ranked-ranges-*"), key=os.path.getmtime)
+        sizes = [r["count"] for r in spark.read.parquet(path).groupBy("_range").count().collect()]
+        assert max(sizes) < 100_000
+        assert ranked.where("r <> 1000000 - id").count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
 def test_no_window_holds_the_rows_of_a_whole_group(spark):
-    """The only window partitioned by the group alone runs over the per-band totals (column _band decides its order)."""
+    """The only window partitioned by the group alone runs over the totals of the ranges."""
     df = spark.createDataFrame([("a", 1, 1.0)], "g STRING, id BIGINT, v DOUBLE")
     plan = rank_rows(df, ["g"], "v")._jdf.queryExecution().optimizedPlan().toString()
     specs = re.findall(r"windowspecdefinition\((.*?) (?:ASC|DESC) NULLS", plan)
     assert specs
     for spec in specs:
         names = [c.split("#")[0] for c in spec.split(", ")]
-        partition, order = names[:-1], names[-1]
-        assert partition != ["g"] or order == "_band"
+        assert names == ["g", "_range"] or names[:2] == ["g", "_range"]

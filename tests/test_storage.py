@@ -1,5 +1,6 @@
 """Upserts, the daily snapshot job, usage files, settings and the stream, on real files."""
 
+import glob
 import gzip
 from datetime import date, datetime, timedelta
 
@@ -35,7 +36,8 @@ def test_upsert_matches_null_with_empty(spark):
 
 
 def test_merge_into_touches_only_the_sources_partitions(spark):
-    path = scratch_path(spark, "merge-test")
+    staged = f"{shared_folder(spark)}/merge-[sr]*"
+    path, before = scratch_path(spark, "merged"), set(glob.glob(staged))
     schema = struct("day DATE, k STRING, v BIGINT")
     args = {"partition_col": "day", "schema": schema, "keys": ["day", "k"], "update_cols": ["v"], "insert_cols": ["day", "k", "v"]}
 
@@ -50,7 +52,10 @@ def test_merge_into_touches_only_the_sources_partitions(spark):
     assert got == [(1, "a", 10), (2, "a", 2), (3, "a", 3), (3, "b", 30)]
     assert spark.read.parquet(f"{path}/day=2025-01-02").inputFiles() == untouched
     merge_into(path, spark.createDataFrame([], schema), **args)
+    with pytest.raises(ValueError, match="twice"):
+        put((date(2025, 1, 1), "a", 1), (date(2025, 1, 1), "a", 2))
     assert spark.read.parquet(path).count() == 4
+    assert set(glob.glob(staged)) == before
 
 
 def test_daily_snapshot_job(spark):
@@ -204,21 +209,47 @@ def test_settings_keep_their_values(spark):
 
 def test_stream_absorbs_late_events_and_repeats(spark):
     schema = "event_time TIMESTAMP, service_type STRING, user BIGINT, operations BIGINT, credits DECIMAL(18,6)"
-    source, table, checkpoint = (scratch_path(spark, n) for n in ("events", "daily", "stream-state"))
+    source, table, parts, checkpoint = (scratch_path(spark, n) for n in ("events", "daily", "parts", "stream-state"))
 
     def send(*events):
         data = [(datetime(2025, 1, d, h), s, u, 1, None) for d, h, s, u in events]
         spark.createDataFrame(data, schema).withColumn("credits", F.lit(0.5).cast("decimal(18,6)")).write.mode("append").parquet(source)
         events_in = spark.readStream.schema(schema).parquet(source)
-        stream.start_daily_usage(events_in, path=table, checkpoint=checkpoint, availableNow=True).awaitTermination()
-        return {(r["usage_date"].day, r["service_type"]): (r["events"], float(r["total_credits"]), r["approx_users"])
+        query = stream.start_daily_usage(events_in, path=table, parts=parts, checkpoint=checkpoint, availableNow=True)
+        query.awaitTermination()
+        return {(r["usage_date"].day, r["service_type"]): (r["events"], float(r["total_credits"]), r["users"])
                 for r in rows(spark.read.schema(stream.DAILY_SCHEMA).parquet(table))}
 
     assert send((10, 1, "A", 1), (10, 2, "A", 2), (11, 1, "B", 1)) == {(10, "A"): (2, 1.0, 2), (11, "B"): (1, 0.5, 1)}
     after = send((10, 23, "A", 1), (12, 1, "A", 1))  # a late event for the 10th
     assert after == {(10, "A"): (3, 1.5, 2), (11, "B"): (1, 0.5, 1), (12, "A"): (1, 0.5, 1)}
+    # days behind the newest one by more than any watermark
+    send((20, 1, "A", 1))
+    send((21, 1, "A", 3))
+    after = send((10, 5, "A", 7), (20, 2, "A", 1))
+    assert (after[(10, "A")], after[(20, "A")], after[(21, "A")]) == ((4, 2.0, 3), (2, 1.0, 1), (1, 0.5, 1))
 
 
 def test_shared_folder_follows_the_session(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
+
+
+@pytest.mark.parametrize("money", ["DOUBLE", "DECIMAL(18,9)", "DECIMAL(38,2)"])
+def test_telemetry_is_read_in_its_stored_types(spark, money):
+    root = scratch_path(spark, "telemetry")
+    names = struct(SCHEMAS["analyst"]).names
+    row = spark.sql(f"SELECT TIMESTAMP_NTZ'2025-01-02 00:00:00' AS start_time, TIMESTAMP_NTZ'2025-01-02 00:01:00' AS end_time, "
+                    f"'u' AS username, CAST(0.25 AS {money}) AS credits, 3 AS request_count")
+    row.write.parquet(f"{root}/analyst")
+    got = Telemetry.read(spark, root).analyst
+    assert got.schema.names == names and dict(got.dtypes)["credits"] == "decimal(26,12)"
+    assert float(got.first()["credits"]) == pytest.approx(0.25, abs=0.06)
+
+
+def test_credits_below_a_millionth_survive_a_file(spark):
+    path = scratch_path(spark, "tiny")
+    df = spark.sql("SELECT DATE'2025-01-01' AS date, 'A' AS service_type, 1L AS daily_unique_users, 1L AS total_operations, "
+                   "CAST(0.00000012 AS DECIMAL(38,12)) AS total_credits")
+    usage_files.write_csv(df, path)
+    assert f"{one(usage_files.read_usage_csv(spark, path))['total_credits']:f}" == "0.000000120000"
