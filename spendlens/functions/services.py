@@ -115,6 +115,7 @@ DEFAULT_SETTINGS = [
     ("DEFAULT_CURRENCY", "USD", "Display currency", "STRING"),
     ("DECIMAL_PLACES", "2", "Decimal places of displayed money", "INTEGER"),
     ("CONFIG_VERSION", "1.0", "Settings schema version", "STRING"),
+    ("DEPLOYMENT_DATE", None, "Date of the deployment", "TIMESTAMP"),  # the value is the time of the run
 ]
 
 # alert level: message, action; {service} and {pct} are filled in

@@ -47,7 +47,8 @@ def user_spend_attribution(t: Telemetry, *, as_of: datetime, lookback_days: int
         "query_id", "user_name", F.col("start_time").cast("date").alias("usage_date")
     )
     documents = combine(
-        t.documents.groupBy("query_id", F.col("function_name").alias("feature_name"), "model_name")
+        # a document is not older than its query, so those from the first day on are enough
+        t.recent("documents", as_of, lookback_days + 1).groupBy("query_id", F.col("function_name").alias("feature_name"), "model_name")
         .agg(F.sum("credits_used").alias("credits"), F.sum("page_count").alias("units"))
         .join(queries, "query_id"),
         S.DOCUMENTS,

@@ -52,16 +52,31 @@ def function_summary(t: Telemetry, *, as_of: datetime, lookback_days: int = 90)
 
 
 def model_comparison(t: Telemetry, *, as_of: datetime, lookback_days: int = 90) -> DataFrame:
+    """Use, cost and credit quantiles per model. The records are aggregated once, to one row per model and query; distinct
+    functions are counted on the few (model, function) pairs."""
     calls = t.recent("functions", as_of, lookback_days).where(F.col("model_name").isNotNull())
-    totals = calls.groupBy("model_name").agg(
-        F.count_distinct("function_name").alias("functions_used"),
-        F.count_distinct("query_id").alias("total_calls"),
-        F.sum("token_credits").alias("total_credits"),
+    per_query = calls.groupBy("model_name", "query_id").agg(
+        F.sum("token_credits").alias("credits"), F.count("token_credits").alias("credit_records"),
+        F.sum("tokens").alias("tokens"), F.count("tokens").alias("token_records"),
+        F.min("usage_time").alias("first_usage"), F.max("usage_time").alias("last_usage"),
+    )
+
+    def per_record(total: str, records: str) -> Column:
+        return F.when(F.sum(records) > 0, F.sum(total).cast("double") / F.sum(records))
+
+    functions = calls.select("model_name", "function_name").distinct().groupBy("model_name").agg(
+        F.count("function_name").alias("functions_used"))
+    totals = per_query.groupBy("model_name").agg(
+        F.count("query_id").alias("total_calls"),
+        F.sum("credits").alias("total_credits"),
         F.sum("tokens").alias("total_tokens"),
-        mean("token_credits").alias("avg_credits_per_call"),
-        mean("tokens").alias("avg_tokens_per_call"),
-        F.min("usage_time").alias("first_usage"),
-        F.max("usage_time").alias("last_usage"),
+        per_record("credits", "credit_records").alias("avg_credits_per_call"),
+        per_record("tokens", "token_records").alias("avg_tokens_per_call"),
+        F.min("first_usage").alias("first_usage"),
+        F.max("last_usage").alias("last_usage"),
+    ).join(functions, "model_name").select(
+        "model_name", "functions_used", "total_calls", "total_credits", "total_tokens", "avg_credits_per_call",
+        "avg_tokens_per_call", "first_usage", "last_usage",
     )
     # nine decimals drop the binary noise of the interpolation; credits have six
     quantiles = exact_quantiles(
@@ -173,8 +188,9 @@ def daily_summary(t: Telemetry, *, as_of: datetime, lookback_days: int = 90) ->
         )
         .withColumn("service_type", F.lit(S.FUNCTIONS))
     )
+    # a document is not older than its query, so those from the first day on are enough
     document_users = (
-        t.documents.select("query_id").distinct()
+        t.recent("documents", as_of, lookback_days + 1).select("query_id").distinct()
         .join(t.recent("query_history", as_of, lookback_days).select("query_id", "user_name", "start_time"), "query_id")
         .groupBy(F.col("start_time").cast("date").alias("usage_date"))
         .agg(F.count_distinct("user_name").alias("users"))

@@ -18,9 +18,12 @@ from ..sources.upsert import upsert
 COLUMNS = ["setting_name", "setting_value", "description", "data_type"]
 
 
-def config_defaults(accounts: DataFrame) -> DataFrame:
-    """The default settings for each row of ``accounts`` (a frame of key columns, possibly just one row)."""
-    table = structs(COLUMNS, S.DEFAULT_SETTINGS, ["string"] * 4)
+def config_defaults(accounts: DataFrame, *, deployed_at: datetime | None = None) -> DataFrame:
+    """The default settings for each row of ``accounts`` (a frame of key columns, possibly just one row); the deployment
+    date is ``deployed_at``."""
+    deployed = None if deployed_at is None else deployed_at.isoformat(sep=" ")
+    rows = [(n, deployed if n == "DEPLOYMENT_DATE" else v, *rest) for n, v, *rest in S.DEFAULT_SETTINGS]
+    table = structs(COLUMNS, rows, ["string"] * 4)
     return accounts.select("*", F.explode(table).alias("_s")).select(*accounts.columns, "_s.*")
 
 
@@ -43,6 +46,19 @@ def typed_value(data_type: Column, value: Column) -> Column:
     return F.when(data_type.isin("INTEGER", "DECIMAL"), value.try_cast("double"))
 
 
+def config_typed(settings: DataFrame, *, group_cols: Sequence[str] = ()) -> DataFrame:
+    """Settings with their value in a column of its type; NULL in the other ones, and where the text is no such value."""
+    def typed(name: str, kind: str) -> Column:
+        return F.when(F.col("data_type") == name, F.col("setting_value").try_cast(kind))
+
+    return settings.select(
+        *group_cols, "setting_name", "data_type",
+        typed("INTEGER", "long").alias("integer_value"), typed("DECIMAL", "decimal(38,12)").alias("decimal_value"),
+        typed("BOOLEAN", "boolean").alias("boolean_value"), typed("TIMESTAMP", "timestamp_ntz").alias("timestamp_value"),
+        F.when(F.col("data_type") == "STRING", F.col("setting_value")).alias("string_value"),
+    )
+
+
 def config_summary(settings: DataFrame, *, group_cols: Sequence[str] = ()) -> DataFrame:
     return settings.groupBy(*group_cols).agg(
         F.count(F.lit(1)).alias("settings_count"), F.max("updated_at").alias("last_updated")

@@ -29,16 +29,23 @@ def _stored_form(df: DataFrame) -> DataFrame:
     ])
 
 
+#: days a query may run before its documents are processed
+LONGEST_QUERY_DAYS = 7
+
+
 def usage_by_feature(
-    t: Telemetry, *, as_of: datetime, lookback_days: int = 90, repeat_functions: bool = False
+    t: Telemetry, *, as_of: datetime, lookback_days: int = 90, repeat_functions: bool = False,
+    longest_query_days: int = LONGEST_QUERY_DAYS,
 ) -> DataFrame:
     """Rows a snapshot holds for each usage day, without the snapshot date.
 
     The daily rollup supplies services without finer detail; functions and fine-tuning come per model and documents per
-    function and model. ``repeat_functions`` also keeps the function rows of the rollup, which counts the same credits
+    function and model. The query history is read back to ``longest_query_days`` before the documents; a document whose
+    query started earlier, or is unknown, counts without a user (unmatched_documents() counts these). ``repeat_functions`` also keeps the function rows of the rollup, which counts the same credits
     twice.
     """
     scope = {"as_of": as_of, "lookback_days": lookback_days}
+    history = t.recent("query_history", as_of, lookback_days + longest_query_days).select("query_id", "user_name")
     detailed = [S.FUNCTION_MODELS, S.DOCUMENTS, S.FINE_TUNING] + ([] if repeat_functions else [S.FUNCTIONS])
     general = rollups.daily_summary(t, **scope).where(~F.col("service_type").isin(detailed))
     functions = rollups.function_daily_trends(t, **scope).select(
@@ -65,7 +72,7 @@ def usage_by_feature(
         )
     )
     documents = (
-        per_query.join(t.query_history.select("query_id", "user_name"), "query_id", "left")
+        per_query.join(history, "query_id", "left")
         .groupBy("service_type", "usage_date", "function_name", "model_name")
         .agg(
             F.count_distinct("user_name").alias("daily_unique_users"),
@@ -99,6 +106,19 @@ def usage_by_feature(
     return every
 
 
+def unmatched_documents(
+    t: Telemetry, *, as_of: datetime, lookback_days: int = 90, longest_query_days: int = LONGEST_QUERY_DAYS
+) -> DataFrame:
+    """Documents per day, and how many of them find no query in the part of the history that the snapshot reads."""
+    history = t.recent("query_history", as_of, lookback_days + longest_query_days).select("query_id", F.lit(1).alias("known")).distinct()
+    return (
+        t.recent("documents", as_of, lookback_days)
+        .groupBy(F.col("start_time").cast("date").alias("usage_date"), "query_id").agg(F.count(F.lit(1)).alias("n"))
+        .join(history, "query_id", "left").groupBy("usage_date")
+        .agg(F.sum("n").alias("documents"), F.sum(F.when(F.col("known").isNull(), F.col("n")).otherwise(0)).alias("unmatched"))
+    )
+
+
 def snapshot_source(
     t: Telemetry, *, as_of: datetime, days: int = 2, lookback_days: int = 90, repeat_functions: bool = False
 ) -> DataFrame:

@@ -631,7 +631,8 @@ SELECT * FROM (VALUES
   ('ENABLE_ML_FORECAST', 'FALSE', 'Use a trained forecast model', 'BOOLEAN'),
   ('DEFAULT_CURRENCY', 'USD', 'Display currency', 'STRING'),
   ('DECIMAL_PLACES', '2', 'Decimal places of displayed money', 'INTEGER'),
-  ('CONFIG_VERSION', '1.0', 'Settings schema version', 'STRING')
+  ('CONFIG_VERSION', '1.0', 'Settings schema version', 'STRING'),
+  ('DEPLOYMENT_DATE', '2024-01-31 03:00:00', 'Date of the deployment', 'TIMESTAMP')
 ) AS v(setting_name, setting_value, description, data_type)""")
 
 CTES["default_settings"] = ("settings_list", "SELECT c_custkey AS account, settings_list.* FROM customer, settings_list")
@@ -769,6 +770,15 @@ FROM tgt t FULL OUTER JOIN src s ON t.snapshot_date = s.snapshot_date AND t.serv
      AND COALESCE(t.model_name, '') = COALESCE(s.model_name, '')""", _SNAPSHOT_DOUBLES)
 _q("config_upsert", "settings", "SELECT * FROM settings")
 _q("config_value", "settings", "SELECT account, setting_value FROM settings WHERE setting_name = 'CREDIT_COST_USD'")
+_q("config_typed", "settings", """
+SELECT account, setting_name, data_type, CASE WHEN data_type = 'INTEGER' THEN TRY_CAST(setting_value AS BIGINT) END AS integer_value,
+       CASE WHEN data_type = 'DECIMAL' THEN TRY_CAST(setting_value AS DECIMAL(38,12)) END AS decimal_value,
+       CASE WHEN data_type = 'BOOLEAN' THEN TRY_CAST(setting_value AS BOOLEAN) END AS boolean_value,
+       CASE WHEN data_type = 'TIMESTAMP' THEN TRY_CAST(setting_value AS TIMESTAMP) END AS timestamp_value,
+       CASE WHEN data_type = 'STRING' THEN setting_value END AS string_value FROM settings""", "decimal_value")
+_q("unmatched_documents", "fx_documents fx_queries", """
+SELECT CAST(start_time AS DATE) AS usage_date, COUNT(*) AS documents,
+       COUNT(*) FILTER (WHERE query_id NOT IN (SELECT query_id FROM fx_queries)) AS unmatched FROM fx_documents GROUP BY 1""")
 _q("config_summary", "settings", "SELECT account, COUNT(*) AS settings_count, MAX(updated_at) AS last_updated FROM settings GROUP BY 1")
 _q("date_series", "daily", """
 SELECT service_type, CAST(UNNEST(generate_series(CAST(lo AS TIMESTAMP), CAST(hi AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS expected_date
@@ -805,6 +815,9 @@ _q("metering_ai_services", "metered", "SELECT * FROM metered", "total_credits co
 # snapshots, history, anomalies
 for _key, _cte in (("snapshot_source", "features"), ("snapshot_source_repeated", "features_repeated")):
     _q(_key, _cte, f"SELECT {AS_OF} AS snapshot_date, * FROM {_cte} WHERE usage_date BETWEEN {AS_OF} - 2 AND {AS_OF}", _SNAPSHOT_DOUBLES)
+_q("snapshot_job", "features", f"""
+SELECT {AS_OF} AS snapshot_date, *, TIMESTAMP '2024-01-31 03:00:00' AS inserted_at FROM features WHERE usage_date BETWEEN {AS_OF} - 2 AND {AS_OF}""",
+   _SNAPSHOT_DOUBLES)
 _q("snapshot_backfill", "snapshots", "SELECT * FROM snapshots", _SNAPSHOT_DOUBLES)
 _q("usage_history", "history", "SELECT * EXCLUDE (credits_wow_growth_raw), ROUND(credits_wow_growth_raw, 2) AS credits_wow_growth_pct FROM history",
    _EXPORT_DOUBLES + " credits_per_page credits_per_document credits_7d_ago credits_wow_growth_pct")
@@ -1099,6 +1112,7 @@ SELECT account, CASE WHEN 31 - covered_days > 5 THEN 'Investigate missing dates
        WHEN ratio_errors > 0 THEN 'Fix calculation errors in views' WHEN negative_credits > 0 THEN 'Investigate negative credit values'
        ELSE 'No critical issues detected' END AS recommendation FROM uploaded_facts""")
 _q("check_results", "checks", "SELECT * FROM checks", "execution_time_ms")
+_q("check_results_stored", "checks", "SELECT * FROM checks", "execution_time_ms")
 _q("check_summary", "checks", f"""
 SELECT test_category, COUNT(*) AS total_tests, COUNT(*) FILTER (WHERE test_status = 'PASS') AS passed,
        COUNT(*) FILTER (WHERE test_status = 'FAIL') AS failed, COUNT(*) FILTER (WHERE test_status = 'WARN') AS warnings,

@@ -14,6 +14,7 @@ from ..functions.columns import day_before, present
 from ..operators import analytics, anomalies, attribution, details, extras, forecast, quality, rollups, settings, snapshot
 from ..session import scratch_path
 from ..sources import usage_files
+from ..sources.schemas import SNAPSHOT_SCHEMA, struct
 from ..streaming import daily_usage as stream
 from . import testbed
 from .testbed import AS_OF, LOOKBACK_DAYS
@@ -164,7 +165,7 @@ class Bed:
     def merged_settings(self):
         owners = testbed.table(self.spark, self.sf_dir, "customer").selectExpr("c_custkey AS account")
         return settings.config_upsert(
-            self.stored_settings, settings.config_defaults(owners), run_ts=RUN_TS, run_by="deploy", group_cols=ACCOUNT
+            self.stored_settings, settings.config_defaults(owners, deployed_at=RUN_TS), run_ts=RUN_TS, run_by="deploy", group_cols=ACCOUNT
         )
 
     @cached_property
@@ -191,6 +192,20 @@ def _snapshot_upsert(b: Bed) -> DataFrame:
     return snapshot.snapshot_upsert(stored, snapshot.snapshot_source(b.telemetry, as_of=AS_OF), run_ts=RUN_TS)
 
 
+def _snapshot_job(b: Bed) -> DataFrame:
+    """The stored form of the daily job: run, run again, read back."""
+    path = scratch_path(b.spark, "snapshot-job")
+    for _ in range(2):
+        snapshot.run_daily_snapshot(b.telemetry, path, as_of=AS_OF, run_ts=RUN_TS)
+    return b.spark.read.schema(struct(SNAPSHOT_SCHEMA)).parquet(path)
+
+
+def _check_results_stored(b: Bed) -> DataFrame:
+    path = scratch_path(b.spark, "check-results")
+    usage_files.append_results(b.checks, path)
+    return b.spark.read.schema(b.checks.schema).parquet(path)
+
+
 def _lookback_scan(b: Bed) -> DataFrame:
     return b.telemetry.recent("analyst", AS_OF, 7)
 
@@ -240,6 +255,7 @@ QUERIES: dict[str, Query] = {
     "snapshot_upsert": _snapshot_upsert,
     "config_upsert": lambda b: b.merged_settings,
     "config_value": lambda b: settings.config_value(b.merged_settings, "CREDIT_COST_USD", group_cols=ACCOUNT),
+    "config_typed": lambda b: settings.config_typed(b.merged_settings, group_cols=ACCOUNT),
     "config_summary": lambda b: settings.config_summary(b.merged_settings, group_cols=ACCOUNT),
     "date_series": lambda b: quality.date_series(b.daily, group_cols=("service_type",)),
     # per-service detail
@@ -264,6 +280,8 @@ QUERIES: dict[str, Query] = {
     "cost_export": lambda b: b.export,
     "metering_ai_services": lambda b: rollups.metering_by_service(b.telemetry, **SCOPE),
     # snapshots, history, anomalies
+    "unmatched_documents": lambda b: snapshot.unmatched_documents(b.telemetry, **SCOPE),
+    "snapshot_job": _snapshot_job,
     "snapshot_source": lambda b: snapshot.snapshot_source(b.telemetry, as_of=AS_OF),
     "snapshot_source_repeated": lambda b: snapshot.snapshot_source(b.telemetry, as_of=AS_OF, repeat_functions=True),
     "snapshot_backfill": lambda b: b.snapshots,
@@ -356,6 +374,7 @@ QUERIES: dict[str, Query] = {
         rollups.with_ratios(b.uploaded.withColumnRenamed("date", "usage_date")), as_of=AS_OF, group_cols=ACCOUNT
     ),
     "check_results": lambda b: b.checks,
+    "check_results_stored": _check_results_stored,
     "check_summary": lambda b: quality.check_summary(b.checks),
     "check_overall": lambda b: quality.check_overall(b.checks),
     "export_stats": lambda b: quality.export_stats(b.export),

@@ -5,10 +5,14 @@ from conftest import SF
 from pyspark.sql import functions as F
 
 from spendlens.functions.columns import present
+from spendlens.operators import attribution, rollups, snapshot
 from spendlens.plans import queries
+from spendlens.session import scratch_path
+from spendlens.sources.schemas import SCHEMAS, TIME_COLUMN, struct
+from spendlens.sources.telemetry import Telemetry
 
 # these write files while they are built
-BUILT_BY_JOBS = {"csv_ingest", "csv_ingest_gzip", "stream_daily_usage", "query_cost_analysis", "top_queries"}
+BUILT_BY_JOBS = {"csv_ingest", "csv_ingest_gzip", "stream_daily_usage", "query_cost_analysis", "top_queries", "snapshot_job", "check_results_stored"}
 
 
 def plan(df):
@@ -55,3 +59,19 @@ def test_filter_on_a_service_drops_the_other_branches(spark):
     bed = queries.Bed(spark, SF)
     text = plan(bed.daily.where(F.col("service_type") == "Fine-tuning"))
     assert text.count("FileScan") == 1
+
+
+def test_model_comparison_counts_without_expanding_records(plans):
+    assert "Expand" not in plans["model_comparison"]
+
+
+def test_fact_scans_carry_a_time_filter(spark):
+    """On telemetry stored as files, no query of these reads a usage table without its time bound."""
+    root, times = scratch_path(spark, "stored-telemetry"), set(TIME_COLUMN.values())
+    for name, ddl in SCHEMAS.items():
+        spark.createDataFrame([], struct(ddl)).write.parquet(f"{root}/{name}")
+    t = Telemetry.read(spark, root)
+    for make in (rollups.daily_summary, attribution.user_spend_attribution, snapshot.usage_by_feature):
+        text = make(t, as_of=queries.AS_OF)._jdf.queryExecution().simpleString()
+        for scan in [line for line in text.splitlines() if "FileScan" in line and "struct<user_id:bigint,name:string>" not in line]:
+            assert any(f"GreaterThanOrEqual({c}" in scan for c in times), scan
