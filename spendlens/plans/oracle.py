@@ -6,6 +6,8 @@ rounds their shortest form half up in both engines.
 """
 
 from __future__ import annotations
+
+from .testbed import FAULTY_DAYS
 FOLD = "(DATE '2023-11-02' + CAST(date_diff('day', DATE '1995-01-01', CAST({} AS DATE)) % 90 AS INTEGER))"
 START = "TIMESTAMP '2023-11-02 00:00:00'"  # fixed clock less 90 days
 AS_OF = "DATE '2024-01-31'"
@@ -592,23 +594,31 @@ FROM (SELECT *, (completeness_score + accuracy_score + validity_score + consiste
                    CAST(CASE WHEN max_rows > 1 THEN 50 ELSE 100 END AS BIGINT) AS consistency_score FROM {source}))"""
 
 
-CTES["checks"] = ("facts", f"""
+def _checks(facts: str) -> str:
+    return f"""
 SELECT number AS test_number, category AS test_category, name AS test_name, status AS test_status, message AS test_message,
        0::DOUBLE AS execution_time_ms, TIMESTAMP '2024-01-31 03:00:00' AS tested_at
 FROM (
   SELECT 7 AS number, 'Data Quality' AS category, 'No NULL service_type in daily summary' AS name,
          CASE WHEN null_services = 0 THEN 'PASS' ELSE 'FAIL' END AS status,
-         'Found ' || null_services || ' NULL service_type rows' AS message FROM facts
+         'Found ' || null_services || ' NULL service_type rows' AS message FROM {facts}
   UNION ALL SELECT 8, 'Data Quality', 'No negative credits in daily summary', CASE WHEN negative_credits = 0 THEN 'PASS' ELSE 'FAIL' END,
-         'Found ' || negative_credits || ' rows with negative credits' FROM facts
+         'Found ' || negative_credits || ' rows with negative credits' FROM {facts}
   UNION ALL SELECT 9, 'Data Quality', 'Dates within lookback window',
          CASE WHEN first_date >= {AS_OF} - 90 AND last_date <= {AS_OF} THEN 'PASS' ELSE 'WARN' END,
-         'Date range: ' || CAST(first_date AS VARCHAR) || ' to ' || CAST(last_date AS VARCHAR) FROM facts
+         'Date range: ' || CAST(first_date AS VARCHAR) || ' to ' || CAST(last_date AS VARCHAR) FROM {facts}
   UNION ALL SELECT 10, 'Data Quality', 'No duplicate date-service combinations', CASE WHEN max_rows = 1 THEN 'PASS' ELSE 'FAIL' END,
-         'Max occurrences per date-service: ' || max_rows FROM facts
+         'Max occurrences per date-service: ' || max_rows FROM {facts}
   UNION ALL SELECT 11, 'Business Logic', 'credits_per_user calculated correctly', CASE WHEN ratio_errors = 0 THEN 'PASS' ELSE 'FAIL' END,
-         CASE WHEN ratio_errors = 0 THEN 'All calculations correct' ELSE 'Found ' || ratio_errors || ' rows with incorrect calculations' END FROM facts
-)""")
+         CASE WHEN ratio_errors = 0 THEN 'All calculations correct' ELSE 'Found ' || ratio_errors || ' rows with incorrect calculations' END FROM {facts}
+)"""
+
+
+CTES["checks"] = ("facts", _checks("facts"))
+CTES["faulty_days"] = ("account_days", f"SELECT {', '.join(FAULTY_DAYS)} FROM account_days")
+CTES["faulty_facts"] = ("faulty_days", _facts("faulty_days", ""))
+CTES["faulty_account_facts"] = ("faulty_days", _facts("faulty_days", "account"))
+CTES["faulty_checks"] = ("faulty_facts", _checks("faulty_facts"))
 
 CTES["settings_list"] = ("", """
 SELECT * FROM (VALUES
@@ -1099,6 +1109,27 @@ SELECT COUNT(*) FILTER (WHERE total_credits < 0) AS negative_credits, COUNT(*) F
 _q("dq_date_validity", "account_days", f"""
 SELECT account, COUNT(*) FILTER (WHERE usage_date > {AS_OF}) AS future_dates, COUNT(*) FILTER (WHERE usage_date < DATE '2020-01-01') AS dates_too_old,
        MIN(usage_date) AS earliest_date, MAX(usage_date) AS latest_date FROM account_days GROUP BY 1""")
+_q("dq_null_counts_faulty", "faulty_days", """
+SELECT account, COUNT(*) FILTER (WHERE service_type IS NULL) AS null_service_type, COUNT(*) FILTER (WHERE total_credits IS NULL) AS null_total_credits,
+       COUNT(*) FILTER (WHERE daily_unique_users IS NULL) AS null_daily_users, COUNT(*) FILTER (WHERE total_operations IS NULL) AS null_operations
+FROM faulty_days GROUP BY 1""")
+_OFF = "daily_unique_users > 0 AND ABS(credits_per_user - CAST(total_credits AS DOUBLE) / daily_unique_users) > 0.01"
+_q("dq_ratio_accuracy_faulty", "faulty_days", f"""
+SELECT account, COUNT(*) FILTER (WHERE {_OFF}) AS error_count, SUM(total_credits) FILTER (WHERE {_OFF}) AS total_credits_affected
+FROM faulty_days GROUP BY 1""", "total_credits_affected")
+_q("dq_value_ranges_faulty", "faulty_days", """
+SELECT account, COUNT(*) FILTER (WHERE total_credits < 0) AS negative_credits, COUNT(*) FILTER (WHERE total_credits > 10000) AS extremely_high_credits,
+       COUNT(*) FILTER (WHERE daily_unique_users < 0) AS negative_users, COUNT(*) FILTER (WHERE daily_unique_users > 10000) AS extremely_high_users,
+       COUNT(*) FILTER (WHERE total_operations < 0) AS negative_operations FROM faulty_days GROUP BY 1""")
+_q("dq_date_validity_faulty", "faulty_days", f"""
+SELECT account, COUNT(*) FILTER (WHERE usage_date > {AS_OF}) AS future_dates, COUNT(*) FILTER (WHERE usage_date < DATE '2020-01-01') AS dates_too_old,
+       MIN(usage_date) AS earliest_date, MAX(usage_date) AS latest_date FROM faulty_days GROUP BY 1""")
+_q("dq_sum_consistency_faulty", "faulty_days", f"""
+SELECT a AS summary_credits, b AS export_credits, ABS(a - b) AS difference,
+       CASE WHEN ABS(a - b) < 0.01 THEN 'PASS' ELSE 'FAIL - Views out of sync' END AS status
+FROM (SELECT (SELECT SUM(total_credits) FROM account_days WHERE usage_date >= {AS_OF} - 30) AS a,
+             (SELECT SUM(total_credits) FROM faulty_days WHERE usage_date >= {AS_OF} - 30) AS b)""", "summary_credits export_credits difference")
+_q("dq_score_faulty", "faulty_account_facts", f"SELECT * EXCLUDE (overall) FROM ({_score('faulty_account_facts', 'account')})", "completeness_score overall_quality_score")
 _q("dq_unknown_services", "fx_uploaded", """
 SELECT account, service_type, COUNT(*) AS occurrence_count FROM fx_uploaded
 WHERE service_type NOT IN ('Analyst', 'Search', 'Functions', 'Document Processing', 'Fine-tuning', 'Search Serving', 'Document Legacy', 'Function Models')
@@ -1107,21 +1138,25 @@ _q("dq_duplicates", "fx_uploaded", """
 SELECT date AS usage_date, service_type, COUNT(*) AS duplicate_count FROM fx_uploaded GROUP BY 1, 2 HAVING COUNT(*) > 1""")
 _q("dq_score", "uploaded_facts", f"SELECT * EXCLUDE (overall) FROM ({_score('uploaded_facts', 'account')})", "completeness_score overall_quality_score")
 _q("dq_score_overall", "facts", f"SELECT * EXCLUDE (overall) FROM ({_score('facts', '')})", "completeness_score overall_quality_score")
-_q("dq_recommendation", "uploaded_facts", """
+for _key, _cte in (("dq_recommendation", "uploaded_facts"), ("dq_recommendation_faulty", "faulty_account_facts")):
+    _q(_key, _cte, f"""
 SELECT account, CASE WHEN 31 - covered_days > 5 THEN 'Investigate missing dates - possible data pipeline issue'
        WHEN ratio_errors > 0 THEN 'Fix calculation errors in views' WHEN negative_credits > 0 THEN 'Investigate negative credit values'
-       ELSE 'No critical issues detected' END AS recommendation FROM uploaded_facts""")
-_q("check_results", "checks", "SELECT * FROM checks", "execution_time_ms")
+       ELSE 'No critical issues detected' END AS recommendation FROM {_cte}""")
+for _suffix, _cte in (("", "checks"), ("_faulty", "faulty_checks")):
+    _q("check_results" + _suffix, _cte, f"SELECT * FROM {_cte}", "execution_time_ms")
 _q("check_results_stored", "checks", "SELECT * FROM checks", "execution_time_ms")
-_q("check_summary", "checks", f"""
+for _suffix, _cte in (("", "checks"), ("_faulty", "faulty_checks")):
+    _q("check_summary" + _suffix, _cte, f"""
 SELECT test_category, COUNT(*) AS total_tests, COUNT(*) FILTER (WHERE test_status = 'PASS') AS passed,
        COUNT(*) FILTER (WHERE test_status = 'FAIL') AS failed, COUNT(*) FILTER (WHERE test_status = 'WARN') AS warnings,
-       ROUND({avg('execution_time_ms')}, 2) AS avg_exec_time_ms FROM checks GROUP BY 1""", "avg_exec_time_ms")
-_q("check_overall", "checks", """
+       ROUND({avg('execution_time_ms')}, 2) AS avg_exec_time_ms FROM {_cte} GROUP BY 1""", "avg_exec_time_ms")
+for _suffix, _cte in (("", "checks"), ("_faulty", "faulty_checks")):
+    _q("check_overall" + _suffix, _cte, f"""
 SELECT CASE WHEN COUNT(*) FILTER (WHERE test_status = 'FAIL') = 0 THEN 'ALL TESTS PASSED - Deployment validated successfully'
        ELSE COUNT(*) FILTER (WHERE test_status = 'FAIL') || ' TEST(S) FAILED - Review failures above' END AS overall_status,
        COUNT(*) AS total_tests, COUNT(*) FILTER (WHERE test_status = 'PASS') AS passed,
-       COUNT(*) FILTER (WHERE test_status = 'FAIL') AS failed, COUNT(*) FILTER (WHERE test_status = 'WARN') AS warnings FROM checks""")
+       COUNT(*) FILTER (WHERE test_status = 'FAIL') AS failed, COUNT(*) FILTER (WHERE test_status = 'WARN') AS warnings FROM {_cte}""")
 _q("export_stats", "export", """
 SELECT COUNT(*) AS total_rows, MIN(date) AS earliest_date, MAX(date) AS latest_date, date_diff('day', MIN(date), MAX(date)) AS days_of_history,
        COUNT(DISTINCT service_type) AS service_count FROM export""")

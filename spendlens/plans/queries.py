@@ -53,6 +53,14 @@ class Bed:
         """Account usage in the layout of the daily rollup."""
         return rollups.with_ratios(self.accounts.withColumnRenamed("date", "usage_date"))
 
+    @cached_property
+    def faulty_days(self):
+        return self.account_days.selectExpr(*testbed.FAULTY_DAYS)
+
+    @cached_property
+    def faulty_checks(self):
+        return quality.check_results(self.faulty_days, as_of=AS_OF, run_ts=RUN_TS)
+
     @cached_property
     def attribution(self):
         return attribution.user_spend_attribution(self.telemetry, **SCOPE)
@@ -373,6 +381,18 @@ QUERIES: dict[str, Query] = {
     "dq_recommendation": lambda b: quality.recommendation(
         rollups.with_ratios(b.uploaded.withColumnRenamed("date", "usage_date")), as_of=AS_OF, group_cols=ACCOUNT
     ),
+    "dq_null_counts_faulty": lambda b: quality.null_counts(b.faulty_days, group_cols=ACCOUNT),
+    "dq_ratio_accuracy_faulty": lambda b: quality.ratio_accuracy(b.faulty_days, group_cols=ACCOUNT),
+    "dq_value_ranges_faulty": lambda b: quality.value_ranges(b.faulty_days, group_cols=ACCOUNT),
+    "dq_date_validity_faulty": lambda b: quality.date_validity(b.faulty_days, as_of=AS_OF, group_cols=ACCOUNT),
+    "dq_sum_consistency_faulty": lambda b: quality.sum_consistency(
+        b.account_days, b.faulty_days.withColumnRenamed("usage_date", "date"), as_of=AS_OF
+    ),
+    "dq_score_faulty": lambda b: quality.quality_score(b.faulty_days, as_of=AS_OF, group_cols=ACCOUNT),
+    "dq_recommendation_faulty": lambda b: quality.recommendation(b.faulty_days, as_of=AS_OF, group_cols=ACCOUNT),
+    "check_results_faulty": lambda b: b.faulty_checks,
+    "check_summary_faulty": lambda b: quality.check_summary(b.faulty_checks),
+    "check_overall_faulty": lambda b: quality.check_overall(b.faulty_checks),
     "check_results": lambda b: b.checks,
     "check_results_stored": _check_results_stored,
     "check_summary": lambda b: quality.check_summary(b.checks),

@@ -268,3 +268,18 @@ def stored_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
             "account", "s.*", "TIMESTAMP_NTZ'2023-12-01 00:00:00' AS updated_at", "'admin' AS updated_by"
         )
     )
+
+
+#: Account days as a table may hold them: some rows have wrong ratios, missing values, impossible dates or negative credits.
+#: The expressions mean the same in both engines.
+FAULTY_DAYS = [
+    "account",
+    "CASE WHEN account = 'acct_2' AND day(usage_date) = 5 THEN usage_date + 400 WHEN account = 'acct_4' AND day(usage_date) = 6 "
+    "THEN CAST('2019-06-01' AS DATE) ELSE usage_date END AS usage_date",
+    "CASE WHEN account = 'acct_5' AND day(usage_date) % 7 = 0 THEN NULL ELSE service_type END AS service_type",
+    "CASE WHEN account = 'acct_3' AND day(usage_date) = 12 THEN NULL ELSE daily_unique_users END AS daily_unique_users",
+    "total_operations",
+    "CASE WHEN account = 'acct_7' AND day(usage_date) = 11 THEN NULL WHEN account = 'acct_1' AND day(usage_date) < 10 THEN -total_credits "
+    "ELSE total_credits END AS total_credits",
+    "CASE WHEN account = 'acct_3' THEN credits_per_user * 2 ELSE credits_per_user END AS credits_per_user",
+]
