@@ -30,9 +30,10 @@ def components(edges: DataFrame) -> DataFrame:
         least = written(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         following = written(_oriented(small), "small-stars")
-        # a node with one smaller neighbour, which has none itself: all stars
-        centres = following.select(F.col("b").alias("a")).distinct().join(following.select("a"), "a", "left_semi")
-        if centres.limit(1).count() == 0:
+        # all are stars if no node has two smaller neighbours, or one that has a smaller neighbour itself
+        several = following.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a")
+        chained = following.select(F.col("b").alias("a")).distinct().join(following.select("a"), "a", "left_semi")
+        if several.union(chained).limit(1).count() == 0:
             break
         edges = following
     return following.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
