@@ -55,3 +55,20 @@ def test_matches_leave_next_to_no_chance_to_miss():
     assert least_matches(0.85, 32) == 12
     assert least_matches(0.8, 32) == 10
     assert least_matches(1.0, 32) == 32
+
+
+def test_components_of_random_graphs(spark):
+    rnd = random.Random(12)
+    edges = [(g * 1000 + rnd.randrange(30), g * 1000 + rnd.randrange(30)) for g in range(20) for _ in range(rnd.randint(1, 40))]
+    least = {}
+    parent = {n: n for e in edges for n in e}
+
+    def find(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    for a, b in edges:
+        parent[max(find(a), find(b))] = min(find(a), find(b))
+    least = {n: find(n) for a, b in edges if a != b for n in (a, b)}
+    assert dict(pairs(components(spark.createDataFrame(edges, "a long, b long")), "node", "component")) == least
