@@ -25,8 +25,8 @@ _JOINED = 256
 class Encoder:
     """Ids as little-endian unsigned 32-bit bytes, or token counts: what the library gives for each whole text.
 
-    `known` maps pieces that follow a space to their counts (when counting); it is looked up first and never changed.
-    The cache holds `limit` pieces and those of one call at most; a full one is emptied, as what it holds can be made again.
+    `known` maps pieces that follow a space to their counts (when counting): the cache always holds these. Besides, it holds
+    `limit` pieces and those of one call at most; a full one is emptied, as what it holds can be made again.
     """
 
     def __init__(self, path: str, counting: bool = False, limit: int = 600_000, known: dict[str, int] | None = None):
@@ -50,7 +50,7 @@ class Encoder:
             self.widths[i] = len(token)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.counting, self.limit, self.known = counting, limit, known or {}
-        self.cache: dict[str, bytes | int] = {}
+        self.cache: dict[str, bytes | int] = dict(self.known)
 
     def _encoded(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -98,38 +98,21 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes] | list[int]:
         """One result for each text, in order. Call it with some hundred kilobytes of text at a time."""
         if len(self.cache) > self.limit:
-            self.cache.clear()
+            self.cache = dict(self.known)
         cut = [self._pieces(t) for t in texts]
         missing = set().union(*(c for c in cut if c)).difference(self.cache)
-        if self.known:
-            missing.difference_update(self.known)
-        # a piece this long is hardly met again: nothing is gained by keeping it
-        long = {p for p in missing if len(p) > 256}
-        self._fill(missing - long)
-        kept: dict = self.cache
-        if self.known or long:
-            own = dict(zip(long, map(self._packed, self._encoded([p[1:] if p[:1] == _LINE else " " + p for p in long]))))
-            kept = _Layers(self.known, self.cache, own)
+        self._fill(missing)
         total = sum if self.counting else b"".join
-        return [self._whole(t) if c is None else total(map(kept.__getitem__, c)) for t, c in zip(texts, cut)]
+        found = [self._whole(t) if c is None else total(map(self.cache.__getitem__, c)) for t, c in zip(texts, cut)]
+        for piece in missing:
+            if len(piece) > 256:  # hardly met again
+                del self.cache[piece]
+        return found
 
     def _whole(self, text: str) -> bytes | int:
         return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
 
-class _Layers:
-    """Looks a piece up in several tables in turn."""
-
-    def __init__(self, first: dict, second: dict, third: dict):
-        self.first, self.second, self.third = first, second, third
-
-    def __getitem__(self, piece: str):
-        for table in (self.first, self.second):
-            if (found := table.get(piece)) is not None:
-                return found
-        return self.third[piece]
-
-
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
