@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, timedelta
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import services as S
-from ..functions.columns import day_before, present
+from ..functions.columns import day_before, long_lit, present, ts
 from ..operators import analytics, anomalies, attribution, details, extras, forecast, quality, rollups, settings, snapshot
 from ..session import scratch_path
 from ..sources import usage_files
@@ -107,7 +107,8 @@ class Bed:
 
     @cached_property
     def series(self):
-        return forecast.forecast_input(snapshot.latest_snapshot(self.snapshots), as_of=AS_OF)
+        """What the newest snapshots hold, taken from the rollup that they store."""
+        return forecast.forecast_input(snapshot.usage_by_feature(self.telemetry, **SCOPE), as_of=AS_OF)
 
     @cached_property
     def forecast_months(self):
@@ -190,14 +191,13 @@ def _csv_round_trip(b: Bed, compression: str) -> DataFrame:
 def _snapshot_upsert(b: Bed) -> DataFrame:
     """Second run of a day's job: the table holds the day before, and stale rows of a first run that had not yet seen
     the newest day."""
-    today, yesterday = F.lit(AS_OF.date()), F.lit(day_before(AS_OF, 1))
-    stale = F.col("snapshot_date") == today
-    stored = (
-        b.snapshots.where((F.col("snapshot_date") == yesterday) | (stale & (F.col("usage_date") < yesterday)))
-        .withColumn("total_operations", F.when(stale, F.lit(0)).otherwise(F.col("total_operations")))
-        .withColumn("inserted_at", F.when(stale, F.lit("2024-01-31 02:00:00").cast("timestamp_ntz")).otherwise(F.col("inserted_at")))
+    source, yesterday = snapshot.snapshot_source(b.telemetry, as_of=AS_OF), AS_OF - timedelta(days=1)
+    before = snapshot.snapshot_source(b.telemetry, as_of=yesterday).withColumn("inserted_at", ts(yesterday + timedelta(hours=3)))
+    stale = (
+        source.where(F.col("usage_date") < F.lit(yesterday.date()))
+        .withColumn("total_operations", long_lit(0)).withColumn("inserted_at", ts(AS_OF + timedelta(hours=2)))
     )
-    return snapshot.snapshot_upsert(stored, snapshot.snapshot_source(b.telemetry, as_of=AS_OF), run_ts=RUN_TS)
+    return snapshot.snapshot_upsert(before.unionByName(stale), source, run_ts=RUN_TS)
 
 
 def _snapshot_job(b: Bed) -> DataFrame:
