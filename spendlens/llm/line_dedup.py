@@ -5,21 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import fresh, written
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WHITE = " \t\n\x0b\x0c\r"
 
 
-def line_key(line: Column) -> Column:
-    """The line without white space at its ends, A-Z in lower case."""
-    return F.translate(F.btrim(line, F.lit(WHITE)), _UPPER, _LOWER)
-
-
 def _digest(line: Column, min_length: int) -> Column:
-    """128 bits of the key; null for keys that are too short to count."""
-    key = line_key(line)
-    return F.when(F.length(key) >= min_length, F.unhex(F.md5(key)))
+    """128 bits of the line's key: without white space at its ends, A-Z in lower case; null for keys too short to count."""
+    trimmed = F.btrim(line, F.lit(WHITE))
+    return F.when(F.length(trimmed) >= min_length, F.unhex(F.md5(F.translate(trimmed, _UPPER, _LOWER))))
 
 
 def line_dedup(
@@ -29,7 +24,7 @@ def line_dedup(
     """Removes lines whose key has `min_length` code points and occurs in `min_documents` documents; adds line counts.
 
     The document with the largest id keeps its lines. Line hashes are exploded (each once per document), counted with
-    map-side combining, and the frequent ones are written to the shared folder; lines are then joined with these by hash,
+    map-side combining, and hashes and the frequent ones are written to the shared folder; lines are then joined by hash,
     dropped positions are gathered per document, and the text is put together from the positions that stay.
 
     A null or empty text is one empty line and comes back as an empty text. Every row counts as a document, also when it
@@ -39,10 +34,11 @@ def line_dedup(
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     lines = F.split(whole, "\n", -1)
-    keyed = documents.select(
+    # written, so that every line is hashed once
+    keyed = written(documents.select(
         F.col(doc_id).alias("id"), F.md5(whole).alias("same"),
         F.transform(lines, lambda line: _digest(line, min_length)).alias("digests"),
-    )
+    ), "line-digests")
     held = keyed.select("id", F.explode(F.array_distinct("digests")).alias("digest")).where("digest is not null")
     frequent = written(
         held.groupBy("digest").agg(F.count("*").alias("n"), F.max("id").alias("keeper"))
@@ -50,24 +46,22 @@ def line_dedup(
         "frequent-lines",
     )
     placed = keyed.select("id", "same", F.posexplode("digests").alias("position", "digest")).where("digest is not null")
+    own_id, own_same, gone = fresh(documents, "id", "same", "gone")
     dropped = (
         placed.join(frequent, "digest").where(~F.col("id").eqNullSafe(F.col("keeper")))
         .groupBy("id", "same").agg(F.collect_set("position").alias("gone"))
-        .select(F.col("id").alias("_id"), F.col("same").alias("_same"), F.col("gone").alias("_gone"))
-    )
-    all_positions = F.sequence(F.lit(0), F.size("_lines") - 1)
-    stay = F.when(F.col("_gone").isNull(), whole).otherwise(
-        F.array_join(
-            F.transform(F.array_except(all_positions, F.col("_gone")), lambda p: F.element_at("_lines", p + 1)), "\n"
-        )
+        .select(F.col("id").alias(own_id), F.col("same").alias(own_same), F.col("gone").alias(gone))
     )
-    out = (
-        documents.withColumn("_lines", lines)
-        .join(dropped, F.col(doc_id).eqNullSafe(F.col("_id")) & (F.md5(whole) == F.col("_same")), "left")
+    # the lines are bound once, as what stands inside a lambda function is computed for each element
+    stay = F.get(F.transform(F.array(lines), lambda z: F.array_join(
+        F.transform(
+            F.array_except(F.sequence(F.lit(0), F.size(z) - 1), F.col(gone)), lambda p: F.element_at(z, p + 1)), "\n")), F.lit(0))
+    return (
+        documents.join(dropped, F.col(doc_id).eqNullSafe(F.col(own_id)) & (F.md5(whole) == F.col(own_same)), "left")
         .withColumns({
-            n_lines: F.size("_lines").cast("long"),
-            n_dropped: F.coalesce(F.size("_gone"), F.lit(0)).cast("long"),
-            text: stay,
+            n_lines: F.size(lines).cast("long"),
+            n_dropped: F.coalesce(F.size(gone), F.lit(0)).cast("long"),
+            text: F.when(F.col(gone).isNull(), whole).otherwise(stay),
         })
+        .drop(own_id, own_same, gone)
     )
-    return out.drop("_lines", "_id", "_same", "_gone")
