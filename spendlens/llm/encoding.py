@@ -29,7 +29,7 @@ class Encoder:
     `limit` pieces and those of one call at most; a full one is emptied, as what it holds can be made again.
     """
 
-    def __init__(self, path: str, counting: bool = False, limit: int = 600_000, known: dict[str, int] | None = None):
+    def __init__(self, path: str, counting: bool = False, limit: int = 1_200_000, known: dict[str, int] | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has the cores
         from tokenizers import Tokenizer
 
@@ -68,29 +68,34 @@ class Encoder:
             return _CUT.split(_LINE + text)  # other white space, or runs of it
         return (_LINE + text.replace("\n", f" {_LINE}\n {_LINE}") if lines else _LINE + text).split(" ")
 
-    def _fill(self, missing: set[str]) -> None:
+    def _fill(self, missing: list[str]) -> None:
         """Encodes pieces, many words joined to one text for each call."""
-        plain = [p for p in missing if not p[-1:].isspace() and not p[p[:1] == _LINE :][:1].isspace() and len(p) > (p[:1] == _LINE)]
-        rest = [] if len(plain) == len(missing) else list(missing.difference(plain))
-        for start in range(0, len(plain), _JOINED * 64):
-            some = plain[start : start + _JOINED * 64]
+        rest = []
+        for start in range(0, len(missing), _JOINED * 64):
+            some = missing[start : start + _JOINED * 64]
             # a word that begins a line gets a line end before it, whose token is left out below
-            words = ["\n" + p[1:] if p[0] == _LINE else " " + p for p in some]
+            words = ["\n" + p[1:] if p[:1] == _LINE else " " + p for p in some]
+            if len("".join(words).split()) != len(some):  # some are empty or hold white space
+                plain = [len(w.split()) == 1 and w[1:].strip() == w[1:] != "" for w in words]
+                rest += [p for p, ok in zip(some, plain) if not ok]
+                some, words = ([x for x, ok in zip(xs, plain) if ok] for xs in (some, words))
             joined = ["".join(words[i : i + _JOINED]) for i in range(0, len(words), _JOINED)]
+            text = np.frombuffer("".join(joined).encode(), np.uint8)
+            first = np.flatnonzero((text == 0x20) | (text == 0x0A))  # where words begin: they hold no others
             ids = np.array([i for e in self._encoded(joined) for i in e], "<u4")
             reached = np.cumsum(self.widths[ids])
-            width = np.cumsum([len(w) if w.isascii() else len(w.encode()) for w in words])
-            to = np.searchsorted(reached, width)
-            if len(ids) == 0 or reached[-1] != width[-1] or not np.array_equal(reached[to], width):
+            ends = np.append(first[1:], len(text))
+            to = np.searchsorted(reached, ends)
+            if len(first) != len(some) or not len(ids) or reached[-1] != len(text) or not np.array_equal(reached[to], ends):
                 rest += some  # never with a byte-level vocabulary that has all bytes
                 continue
-            to = (to + 1).tolist()
-            at = [0, *to[:-1]]
+            to += 1
+            at = np.append(0, to[:-1]) + (text[first] == 0x0A)
             if self.counting:
-                self.cache.update((p, b - a - (p[0] == _LINE)) for p, a, b in zip(some, at, to))
+                self.cache.update(zip(some, (to - at).tolist()))
             else:
                 data = ids.tobytes()
-                self.cache.update((p, data[4 * (a + (p[0] == _LINE)) : 4 * b]) for p, a, b in zip(some, at, to))
+                self.cache.update(zip(some, [data[i:j] for i, j in zip((4 * at).tolist(), (4 * to).tolist())]))
         if rest:
             texts = [p[1:] if p[:1] == _LINE else " " + p for p in rest]
             self.cache.update(zip(rest, map(self._packed, self._encoded(texts))))
@@ -100,7 +105,7 @@ class Encoder:
         if len(self.cache) > self.limit:
             self.cache = dict(self.known)
         cut = [self._pieces(t) for t in texts]
-        missing = set().union(*(c for c in cut if c)).difference(self.cache)
+        missing = list(set().union(*(c for c in cut if c)).difference(self.cache))
         self._fill(missing)
         total = sum if self.counting else b"".join
         found = [self._whole(t) if c is None else total(map(self.cache.__getitem__, c)) for t, c in zip(texts, cut)]
