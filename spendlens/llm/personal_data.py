@@ -126,22 +126,19 @@ def _patterns(rows: DataFrame, turns: int, confidence: float, support: int) -> D
     # the graph: each edge once, with how often it occurs
     edges = written(
         seeds.union(tokens).where("words <> ''").groupBy("words", "instance", "kind").agg(F.count("*").alias("n")), "pattern-graph")
-    # only words that stand before `support` seeds can become a pattern
-    lead = written(
-        edges.where("kind is not null").groupBy("words").agg(F.count("*").alias("k")).where(F.col("k") >= support).drop("k"), "leads")
-    edges = written(edges.join(lead, "words"), "lead-graph")
+    pairs = edges.groupBy("words", "instance").agg(F.sum("n").alias("n"))
     known = edges.where("kind is not null").select("instance", "kind").distinct()
     for _ in range(turns):
         known = written(known, "known-instances")
-        marked = edges.select("words", "instance", "n").groupBy("words", "instance").agg(F.sum("n").alias("n")).join(known, "instance", "left")
-        every = edges.groupBy("words").agg(F.sum("n").alias("every"))
-        scored = (
-            marked.where("kind is not null").groupBy("words", "kind").agg(F.sum("n").alias("n"), F.count("*").alias("k"))
-            .join(every, "words").withColumn("score", F.col("n") / (F.col("every") + 1))
-        )
-        patterns = written(scored.where((F.col("score") >= confidence) & (F.col("k") >= support)).select("words", "kind", "score"), "patterns")
+        # only words that stand before `support` known instances, seeds or discovered ones, can be a pattern in this turn
+        lead = written(
+            pairs.join(known, "instance").groupBy("words", "kind").agg(F.sum("n").alias("n"), F.count("*").alias("k"))
+            .where(F.col("k") >= support), "leads")
+        every = edges.join(lead.select("words").distinct(), "words", "left_semi").groupBy("words").agg(F.sum("n").alias("every"))
+        scored = lead.join(every, "words").withColumn("score", F.col("n") / (F.col("every") + 1))
+        patterns = written(scored.where(F.col("score") >= confidence).select("words", "kind", "score"), "patterns")
         # an instance is right unless all patterns that extract it are wrong
-        reached = edges.select("words", "instance").distinct().join(patterns, "words").groupBy("instance", "kind").agg(
+        reached = pairs.select("words", "instance").join(patterns, "words").groupBy("instance", "kind").agg(
             (1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-9)))))).alias("score"))
         known = known.union(reached.where(F.col("score") >= confidence).select("instance", "kind")).distinct()
     return patterns.select("words", "kind")

@@ -57,6 +57,18 @@ def test_patterns_discover_what_looks_like_their_kind(spark):
         (100 + n, "email", f"bob{n}@intranet") for n in range(4)]
 
 
+def test_patterns_become_valid_through_discovered_instances(spark):
+    rows = [(n, f"now write her email u{n}@mail.example.org") for n in range(30)]
+    rows += [(100 + n, f"now write her email bob{n}@intranet") for n in range(6)]
+    # words before discovered identifiers only, and words before four seeds and discovered ones
+    rows += [(200 + n, f"please ask colleague bob{n}@intranet") for n in range(6)] + [(210, "please ask colleague eve@intranet")]
+    rows += [(300 + n, f"reply to sender u{n}@mail.example.org") for n in range(4)]
+    rows += [(310 + n, f"reply to sender bob{n}@intranet") for n in range(6)] + [(320, "reply to sender joe@intranet")]
+    found = personal_data(spark.createDataFrame(rows, "doc_id long, text string")).where("size(spans) > size(base)").collect()
+    assert {r.doc_id: r.spans[0].found for r in found} == {
+        **{at + n: f"bob{n}@intranet" for at in (100, 200, 310) for n in range(6)}, 210: "eve@intranet", 320: "joe@intranet"}
+
+
 def test_no_documents(spark):
     assert personal_data(empty_documents(spark)).count() == 0
 
