@@ -27,10 +27,16 @@ _IP_VALID = rf"^{_IP_PART}\.{_IP_PART}\.{_IP_PART}\.{_IP_PART}$"
 _CARD = r"[0-9][0-9 -]++"
 _CARD_MASK = r"(?<![0-9])[ -]|[ -](?![0-9])"
 _PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
-#: what looks like an identifier: a token that holds a digit or an at sign
+#: what looks like an identifier: a token that holds a digit or an at sign, without the punctuation that closes it
 _TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+_LEAST = 5
+_CLOSING = r""".,:;!?>"'\]}»”’"""
+#: digit groups joined by single spaces, up to 19 digits in whole groups
+_GROUPS = rf"^[(+]{{0,2}}[0-9](?:[)/-]{{0,2}} ?\(?[0-9]){{1,18}}(?=[{_CLOSING})]*+(?:\s|\z))"
 
 _BLOCK = 128
+#: code points before a match in which its words are looked for, in blocks
+_REACH = 32
 _FOUND = "array<struct<start: long, end: long, words: string, found: string>>"
 
 
@@ -47,16 +53,36 @@ def _total(values: Column, first, count) -> Column:
     return F.aggregate(F.slice(values, first, count), F.lit(0).cast("long"), lambda a, x: a + x)
 
 
-def _matches(text: Column, expression: str) -> Column:
-    """start, end, the words before and the string of each match, leftmost first, in code points of the text."""
+def _blocks(text: Column) -> Column:
+    """The text in blocks of code points, so that what is around a place is read without a walk through the text."""
+    return F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{_BLOCK}}}"), F.lit(0))
+
+
+def _words(blocks: Column, start: Column) -> Column:
+    """The two words that end before the start, in lower case; empty if there aren't two."""
+    block = F.floor(start / _BLOCK).cast("int")
+    own = F.left(F.get(blocks, block), F.pmod(start, F.lit(_BLOCK)).cast("int"))
+
+    def last_two(before: Column) -> Column:
+        return F.regexp_extract(F.rtrim(F.regexp_replace(before, r"\s+", " ")), r" ([^ ]++ [^ ]++)$", 1)
+
+    near = last_two(F.concat(F.when(block <= 1, F.lit(" ")).otherwise(F.lit("")), F.coalesce(F.get(blocks, block - 1), F.lit("")), own))
+    first = F.greatest(block - _REACH, F.lit(0))
+    far = last_two(F.concat(F.lit(" "), F.array_join(F.slice(blocks, first + 1, block - first), ""), own))
+    return F.lower(_let(near, lambda found: F.when((found != "") | (block <= 1), found).otherwise(far)))
+
+
+def _matches(text: Column, expression: str, whole: Column) -> Column:
+    """start, end, the words before and the string of each match, leftmost first, in code points of the text.
+
+    The words are those of the whole text, which is the text before characters were masked.
+    """
     def placed(z: Column) -> Column:
         def match(m: Column, i: Column) -> Column:
-            inside, part = F.pmod(i, F.lit(_BLOCK)), F.get(z.z.parts, i)
-            start = F.get(z.before, F.floor(i / _BLOCK).cast("int")) + _total(z.z.steps, i - inside + 1, inside) + F.length(part)
-            words = F.lower(F.regexp_extract(F.right(part, F.lit(80)), r"(\S++\s++\S++)\s*$", 1))
-            return F.struct(
-                start.alias("start"), (start + F.length(m)).alias("end"), F.regexp_replace(words, r"\s+", " ").alias("words"),
-                m.alias("found"))
+            inside = F.pmod(i, F.lit(_BLOCK))
+            start = F.get(z.before, F.floor(i / _BLOCK).cast("int")) + _total(z.z.steps, i - inside + 1, inside) + F.length(F.get(z.z.parts, i))
+            return _let(start, lambda at: F.struct(
+                at.alias("start"), (at + F.length(m)).alias("end"), _words(z.z.blocks, at).alias("words"), m.alias("found")))
 
         return F.transform(z.z.found, match)
 
@@ -69,12 +95,54 @@ def _matches(text: Column, expression: str) -> Column:
 
     def stepped(z: Column) -> Column:
         steps = F.transform(z.found, lambda m, i: (F.length(F.get(z.parts, i)) + F.length(m)).cast("long"))
-        return _let(F.struct(z.parts.alias("parts"), z.found.alias("found"), steps.alias("steps")), summed)
+        blocks = F.when(F.size(z.found) > 0, _blocks(whole))
+        return _let(F.struct(z.parts.alias("parts"), z.found.alias("found"), steps.alias("steps"), blocks.alias("blocks")), summed)
 
     parts, found = F.split(text, expression, -1), F.regexp_extract_all(text, F.lit(expression), F.lit(0))
     return _let(F.struct(parts.alias("parts"), found.alias("found")), stepped)
 
 
+def _unclosed(run: Column) -> Column:
+    """The run without closing punctuation; a bracket closes what the run itself opens, and :: may end an address."""
+    def without(marks: str) -> Column:
+        return F.regexp_replace(run, rf"(?<![{marks}])[{marks}]++\z", "")
+
+    return F.when(run.endswith("::"), run).when(F.contains(run, F.lit("(")), without(_CLOSING)).otherwise(without(_CLOSING + ")"))
+
+
+def _tokens(whole: Column, seeds: Column) -> Column:
+    """Identifier-like tokens that overlap no seed: from each word on, the digit groups joined by spaces, or else the word."""
+    def free(t: Column) -> Column:
+        return ~F.exists(seeds, lambda s: (s.start < t.end) & (t.start < s.end))
+
+    def token(t: Column, found: Column) -> Column:
+        return F.struct(t.start.alias("start"), (t.start + F.length(found)).alias("end"), t.words.alias("words"), found.alias("found"))
+
+    def of_word(t: Column, blocks: Column) -> Column:
+        block = F.floor(t.start / _BLOCK).cast("int")
+        ahead = F.substr(F.array_join(F.slice(blocks, block + 1, F.lit(3)), ""), F.pmod(t.start, F.lit(_BLOCK)).cast("int") + 1)
+        groups = F.when(t.found.rlike("^[(+]{0,2}[0-9][0-9()/-]*+$"), F.regexp_extract(ahead, _GROUPS, 0)).otherwise(F.lit(""))
+        word = token(t, _unclosed(t.found))
+        return _let(groups, lambda g: F.when(F.contains(g, F.lit(" ")), _let(
+            token(t, g), lambda joined: F.when(free(joined), joined).otherwise(word))).otherwise(word))
+
+    found = _let(_matches(whole, _TOKEN, whole), lambda z: F.when(F.size(z) > 0, _let(
+        _blocks(whole), lambda blocks: F.transform(z, lambda t: of_word(t, blocks)))).otherwise(F.array().cast(_FOUND)))
+    return _where_any(whole.rlike("[0-9@]"), F.filter(found, lambda t: (F.length(t.found) >= _LEAST) & free(t)))
+
+
+def _apart(added: Column) -> Column:
+    """Of spans, sorted by their starts, that overlap, the ones that start first."""
+    def step(kept: Column, s: Column) -> Column:
+        more = F.struct(F.concat(kept.spans, F.array(s)).alias("spans"), s.start.alias("start"), s.end.alias("end"))
+        return F.when((s.start >= kept.end) | (s.start == kept.start), more).otherwise(kept)
+
+    none = F.struct(
+        F.slice(added, 1, 0).alias("spans"), F.lit(-1).cast("long").alias("start"), F.lit(-1).cast("long").alias("end"))
+    overlap = F.exists(F.transform(added, lambda s, i: F.get(added, i + 1).start < s.end), lambda x: F.coalesce(x, F.lit(False)))
+    return F.when(overlap, F.aggregate(added, none, step, lambda kept: kept.spans)).otherwise(added)
+
+
 def _where_any(condition: Column, matches: Column) -> Column:
     """Most texts hold nothing of a kind; a cheap test spares them the rest."""
     return F.when(condition, matches).otherwise(F.array().cast(_FOUND))
@@ -82,10 +150,10 @@ def _where_any(condition: Column, matches: Column) -> Column:
 
 def base_matches(text: Column) -> dict[str, Column]:
     """Valid base matches by kind; matches that fail a check are dropped, and nothing else is tried in their place."""
-    email = _where_any(F.contains(text, F.lit("@")), _matches(F.regexp_replace(text, _EMAIL_MASK, "%"), _EMAIL))
-    ip = _where_any(text.rlike(r"[0-9]\.[0-9]"), _matches(text, _IP))
-    card = _where_any(text.rlike("[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9]"), _matches(F.regexp_replace(text, _CARD_MASK, "_"), _CARD))
-    phone = _where_any(F.contains(text, F.lit("+")), _matches(text, _PHONE))
+    email = _where_any(F.contains(text, F.lit("@")), _matches(F.regexp_replace(text, _EMAIL_MASK, "%"), _EMAIL, text))
+    ip = _where_any(text.rlike(r"[0-9]\.[0-9]"), _matches(text, _IP, text))
+    card = _where_any(text.rlike("[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9][ -]?[0-9]"), _matches(F.regexp_replace(text, _CARD_MASK, "_"), _CARD, text))
+    phone = _where_any(F.contains(text, F.lit("+")), _matches(text, _PHONE, text))
     # masked dots in the string of a name are put right
     email = F.transform(email, lambda m: F.struct(
         m.start.alias("start"), m.end.alias("end"), m.words.alias("words"),
@@ -114,15 +182,17 @@ def _looks_like(kind: Column, token: Column) -> Column:
         F.when(kind == "email", token.rlike(r"^[^@]+@[^@]+$"))
         .when(kind == "ip", token.rlike(r"^[0-9]++[.:][0-9.:]++$") | token.rlike(r"^[0-9a-fA-F]++:[0-9a-fA-F:]*+:[0-9a-fA-F:]*+$"))
         .when(kind == "card", digits >= 12)
-        .when(kind == "phone", (digits >= 7) & token.rlike(r"^[0-9().+/-]++$"))
+        .when(kind == "phone", (digits >= 7) & token.rlike(r"^[0-9().+/ -]++$"))
         .otherwise(False)
     )
 
 
 def _patterns(rows: DataFrame, turns: int, confidence: float, support: int) -> DataFrame:
     """(words, kind) of the patterns whose confidence reaches the bound."""
-    seeds = rows.select(F.explode("seeds").alias("m")).select("m.words", "m.kind", F.lower("m.found").alias("instance"))
-    tokens = rows.select(F.explode("tokens").alias("m")).select("m.words", F.lit(None).cast("string").alias("kind"), F.lower("m.found").alias("instance"))
+    # a long token travels as its hash
+    instance = F.when(F.length("m.found") > 64, F.sha2(F.lower("m.found"), 256)).otherwise(F.lower("m.found")).alias("instance")
+    seeds = rows.select(F.explode("seeds").alias("m")).select("m.words", "m.kind", instance)
+    tokens = rows.select(F.explode("tokens").alias("m")).select("m.words", F.lit(None).cast("string").alias("kind"), instance)
     # the graph: each edge once, with how often it occurs
     edges = written(
         seeds.union(tokens).where("words <> ''").groupBy("words", "instance", "kind").agg(F.count("*").alias("n")), "pattern-graph")
@@ -151,17 +221,13 @@ def personal_data(
 
     Positions are code points of the whole text, ends exclusive. `spans` holds the base ones and those that patterns with at
     least `support` known instances and the given `confidence` discover; the latter overlap no base span. A pattern is the two
-    words before an identifier. A null or empty text has no spans; every row gives a row, repeated and null ids included.
+    words before an identifier, as far as they lie within 4,096 code points. Tokens have at least five code points. A null or empty text has no spans; every row gives a row, repeated and null ids included.
     Other columns aren't read. An empty table gives an empty result.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     kept = base_matches(whole)
     seeds = F.concat(*(_named(kept[k], k) for k in KINDS))
-    tokens = _where_any(whole.rlike("[0-9@]"), F.filter(_matches(whole, _TOKEN), lambda m: F.length(m.found).between(5, 64)))
-    both = _let(F.struct(seeds.alias("seeds"), tokens.alias("tokens")), lambda z: F.struct(
-        z.seeds.alias("seeds"),
-        F.filter(z.tokens, lambda t: ~F.exists(z.seeds, lambda s: (s.start < t.end) & (t.start < s.end))).alias("tokens"),
-    ))
+    both = _let(seeds, lambda z: F.struct(z.alias("seeds"), _tokens(whole, z).alias("tokens")))
     rows = written(
         documents.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), both.alias("found"))
         .select("row", "doc_id", "found.seeds", "found.tokens"), "mentions",
@@ -169,7 +235,9 @@ def personal_data(
     patterns = _patterns(rows, turns, confidence, support)
     extracted = rows.select("row", F.explode("tokens").alias("m")).select("row", "m.*").join(patterns, "words")
     extracted = extracted.where(_looks_like(F.col("kind"), F.col("found")))
-    added = extracted.groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end", "found")).alias("added"))
+    spans = F.array_sort(F.collect_list(F.struct("start", "end", "kind", "found")))
+    added = extracted.groupBy("row").agg(spans.alias("added")).select("row", F.transform(
+        _let(F.col("added"), _apart), lambda s: F.struct(s.kind.alias("kind"), s.start.alias("start"), s.end.alias("end"), s.found.alias("found"))).alias("added"))
     base = F.transform("seeds", lambda s: F.struct(s.kind.alias("kind"), s.start.alias("start"), s.end.alias("end"), s.found.alias("found")))
     joined = rows.select("row", "doc_id", base.alias("base")).join(added, "row", "left")
     both = F.concat("base", "added")

@@ -69,6 +69,24 @@ def test_patterns_become_valid_through_discovered_instances(spark):
         **{at + n: f"bob{n}@intranet" for at in (100, 200, 310) for n in range(6)}, 210: "eve@intranet", 320: "joe@intranet"}
 
 
+def test_forms_of_tokens_and_contexts(spark):
+    long, word = "9" * 70, "w" * 200
+    rows = [(n, f"call line 2 +49 30 12345{n} today") for n in range(20, 40)]
+    rows += [(100 + n, f"card of me 41111111111111{n}") for n in range(10, 99) if luhn(f"41111111111111{n}")]
+    rows += [(300 + n, f"mine {word} u{n}@mail.example.org") for n in range(20)]
+    rows += [(400, "call line 2 0301234567."), (401, "call line 2 (030) 123 4567, please"), (402, "7 line 2 030 123 4567")]
+    rows += [(403, "card of me 4111 1111 1111 1112."), (404, "mine x@y.z " + word + " eve@intranet!"), (405, f"mine {word} {long}@intranet")]
+    rows += [(406, "mine " + word + " bob@intranet"), (407, "😀 card of me " + long[:20] + ")")]
+    found = personal_data(spark.createDataFrame(rows, "doc_id long, text string")).where("size(spans) > size(base)").collect()
+    texts = dict(rows)
+    added = {r.doc_id: [tuple(s) for s in r.spans if s not in r.base] for r in found}
+    assert all(texts[i][s[1] : s[2]] == s[3] for i in added for s in added[i])
+    assert {i: [(s[0], s[3]) for s in a] for i, a in added.items()} == {
+        400: [("phone", "0301234567")], 401: [("phone", "(030) 123 4567")], 402: [("phone", "030 123 4567")],
+        403: [("card", "4111 1111 1111 1112")], 405: [("email", long + "@intranet")], 406: [("email", "bob@intranet")],
+        407: [("card", long[:20])]}
+
+
 def test_no_documents(spark):
     assert personal_data(empty_documents(spark)).count() == 0
 
