@@ -3,7 +3,7 @@
 A neighbour graph of a bounded sample is cut into parts of equal size with few edges between them. A small classifier learns
 which parts a vector's neighbours lie in. Every row goes to its most probable part; a query is routed to its several most
 probable ones and compared there exactly. How many parts a query needs for the wanted recall is measured against brute force
-on a bounded number of sample vectors.
+on a bounded number of vectors that the classifier has not learned from.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -183,6 +184,12 @@ def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
         "vec_id is not null and v is not null and size(v) > 0").where(~bad & F.exists("v", lambda x: x != 0))
 
 
+def _held_out(sample: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first `count` rows, without those that repeat one of the others, and the others."""
+    others = {v.tobytes() for v in sample[count:]}
+    return sample[[i for i in range(count) if sample[i].tobytes() not in others]], sample[count:]
+
+
 def nearest_neighbours(
     vectors: DataFrame, every: int = 50, k: int = 5, recall: float = 0.95, part_rows: int = 2000, most_parts: int = 256,
     sample_rows: int = 8192, measured: int = 256, vec_id: str = "vec_id", embedding: str = "embedding",
@@ -190,47 +197,62 @@ def nearest_neighbours(
     """(query_id, rank, vec_id, score): the k nearest found of every row whose id is divisible by `every`.
 
     Nearness is the cosine in double precision, computed on the original vectors; ties go to the smaller id. Every usable row
-    is indexed (see usable()); rows of another length than the most frequent one take no part. Rows that share an id are one
+    is indexed (see usable()); a query is compared with the rows of its own length. Rows that share an id are one
     query and no candidates of it. With fewer candidates, all are returned; an empty table gives an empty result. Other
     columns aren't read.
 
-    The router is learned from `sample_rows` rows at most, into a part for every `part_rows` rows, `most_parts` at most. A
-    query goes to as many parts as `measured` sample rows need for the given recall against brute force over all rows. Parts
+    Each length has its own router, learned from `sample_rows` rows at most, into a part for every `part_rows` rows,
+    `most_parts` at most; a length with too few rows for two parts is one part, which is searched whole. A query goes to as
+    many parts as `measured` other rows, kept out of what is learned from, need for the given recall against brute force. Parts
     are compared in blocks of about 4,096 rows and queries, so a part that holds many copies is spread over tasks.
     """
     rows = usable(vectors, vec_id, embedding)
-    sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
-    total, width = (sizes[0].n, sizes[0].d) if sizes else (0, 1)
-    rows = rows.where(F.size("v") == width)
-    picked = [r.v for r in rows.select("v", F.xxhash64("vec_id", "v").alias("h")).orderBy("h").limit(sample_rows).collect()]
-    sample = np.array(picked, np.float64).reshape(-1, width)
-    router, parts = learn_router(sample, min(most_parts, total // part_rows))
-    routes = _routes(rows, sample[:measured], router, parts, k, recall)
-    table = rows.sparkSession.sparkContext.broadcast((router, routes))
+    learned = {}
+    lengths = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"))
+    for width, total in lengths.where(F.col("n") >= 2 * part_rows).orderBy("d").collect():
+        same = rows.where(F.size("v") == width)
+        picked = same.select("v", F.xxhash64("vec_id", "v").alias("h")).orderBy("h").limit(sample_rows + measured).collect()
+        sample = np.array([r.v for r in picked], np.float64).reshape(-1, width)
+        asked, sample = _held_out(sample, min(measured, len(sample) // 2))
+        router, parts = learn_router(sample, min(most_parts, total // part_rows))
+        learned[width] = router, _routes(same, asked, router, parts, k, recall)
+    table = rows.sparkSession.sparkContext.broadcast(learned)
+
+    def ranked(v: pa.Array) -> list[np.ndarray]:
+        """Of each vector, the parts of its length that it is looked for in, most probable first."""
+        out: list[np.ndarray] = [np.zeros(1, np.int32)] * len(v)
+        sizes = pc.list_value_length(v).to_numpy(zero_copy_only=False)
+        for width in np.unique(sizes):
+            if int(width) in table.value:
+                router, routes = table.value[int(width)]
+                at = np.flatnonzero(sizes == width)
+                for i, found in zip(at, router.ranked(_unit(_matrix(v.take(pa.array(at)))))[:, :routes].astype(np.int32)):
+                    out[i] = found
+        return out
 
     @F.arrow_udf("int")
     def part_of(v: pa.Array) -> pa.Array:
-        return pa.array(table.value[0].ranked(_unit(_matrix(v)))[:, 0], pa.int32())
+        return pa.array([found[0] for found in ranked(v)], pa.int32())
 
     @F.arrow_udf("array<int>")
     def parts_of(v: pa.Array) -> pa.Array:
-        found = table.value[0].ranked(_unit(_matrix(v)))[:, : table.value[1]]
-        return pa.array(list(found.astype(np.int32)), pa.list_(pa.int32()))
+        return pa.array(ranked(v), pa.list_(pa.int32()))
 
-    indexed = written(rows.withColumn("part", part_of("v")), "vector-parts")
+    width = F.size("v").alias("width")
+    indexed = written(rows.select("vec_id", "v", width, part_of("v").alias("part")), "vector-parts")
     queries = indexed.where(F.col("vec_id") % every == 0).select("vec_id", "v").dropDuplicates(["vec_id"])
-    routed = written(queries.withColumn("part", F.explode(parts_of("v"))), "routed-queries")
+    routed = written(queries.select("vec_id", "v", width, F.explode(parts_of("v")).alias("part")), "routed-queries")
 
     def blocks(table: DataFrame, name: str) -> DataFrame:
-        return table.groupBy("part").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias(name))
+        return table.groupBy("width", "part").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias(name))
 
-    # at most `most_parts` rows
-    grid = F.broadcast(blocks(indexed, "row_blocks").join(blocks(routed, "query_blocks"), "part").coalesce(1))
+    # at most `most_parts` rows for each length
+    grid = F.broadcast(blocks(indexed, "row_blocks").join(blocks(routed, "query_blocks"), ["width", "part"]).coalesce(1))
     own = F.xxhash64("vec_id")
-    left = indexed.join(grid, "part").select(
-        "part", F.pmod(own, "row_blocks").cast("int").alias("r"), F.explode(F.expr("sequence(0, query_blocks - 1)")).alias("q"), "vec_id", "v")
-    right = routed.join(grid, "part").select(
-        "part", F.explode(F.expr("sequence(0, row_blocks - 1)")).alias("r"), F.pmod(own, "query_blocks").cast("int").alias("q"), "vec_id", "v")
+    left = indexed.join(grid, ["width", "part"]).select(
+        "width", "part", F.pmod(own, "row_blocks").cast("int").alias("r"), F.explode(F.expr("sequence(0, query_blocks - 1)")).alias("q"), "vec_id", "v")
+    right = routed.join(grid, ["width", "part"]).select(
+        "width", "part", F.explode(F.expr("sequence(0, row_blocks - 1)")).alias("r"), F.pmod(own, "query_blocks").cast("int").alias("q"), "vec_id", "v")
 
     def compare(some: pa.Table, asked: pa.Table) -> pa.Table:
         if not some.num_rows or not asked.num_rows:
@@ -240,7 +262,7 @@ def nearest_neighbours(
             some["vec_id"].to_numpy(), k)
         return pa.Table.from_arrays(_columns(list(found)), schema=_RESULT)
 
-    near = left.groupBy("part", "r", "q").cogroup(right.groupBy("part", "r", "q")).applyInArrow(
+    near = left.groupBy("width", "part", "r", "q").cogroup(right.groupBy("width", "part", "r", "q")).applyInArrow(
         compare, "query_id long, vec_id long, score double")
     return _best(near, k)
 
@@ -253,8 +275,8 @@ def _best(found: DataFrame, k: int) -> DataFrame:
 
 def _routes(rows: DataFrame, queries: np.ndarray, router, parts: int, k: int, recall: float) -> int:
     """How many parts a query needs, so that so large a share of the true neighbours of some queries lies in them."""
-    if parts < 2:
-        return 1
+    if parts < 2 or not len(queries):
+        return parts
     table = rows.sparkSession.sparkContext.broadcast((queries, router))
     schema = pa.schema([("query_id", pa.int64()), ("score", pa.float64()), ("place", pa.int64())])
 

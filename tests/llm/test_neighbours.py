@@ -1,5 +1,6 @@
 import numpy as np
 
+from spendlens.llm import neighbours
 from spendlens.llm.neighbours import balanced_parts, nearest_neighbours, neighbour_graph
 from spendlens.llm.storage import prepared
 
@@ -54,6 +55,29 @@ def test_learned_parts_keep_the_recall_with_few_parts(spark):
     assert hits >= 0.9 * 5 * len(expected)
 
 
+def test_recall_is_measured_on_rows_kept_out(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    seen = []
+    learn, routes = neighbours.learn_router, neighbours._routes
+    monkeypatch.setattr(neighbours, "learn_router", lambda sample, *a: seen.append(sample) or learn(sample, *a))
+    monkeypatch.setattr(neighbours, "_routes", lambda rows, asked, *a: seen.append(asked) or routes(rows, asked, *a))
+    rows = [(n, rng.normal(size=8).tolist()) for n in range(600)] + [(1000 + n, [1] * 8) for n in range(200)]
+    nearest_neighbours(table(spark, rows), part_rows=200, measured=100)
+    fit, asked = ({v.tobytes() for v in x} for x in seen)
+    assert len(asked) > 50 and not fit & asked
+
+
+def test_each_length_is_searched(spark):
+    rng = np.random.default_rng(6)
+    groups = {8: range(300), 5: range(300, 400), 3: range(400, 402), 2: range(410, 411)}
+    rows = {d: [(n, rng.normal(size=d).tolist()) for n in ids] for d, ids in groups.items()}
+    got = found(nearest_neighbours(table(spark, sum(rows.values(), [])), every=10, part_rows=40, recall=1.0))
+    expected = {q: v for some in rows.values() for q, v in brute(some, 10, 5).items()}
+    assert got.keys() == {q for q, v in expected.items() if v}
+    hits = sum(len({i for i, _ in got[q]} & {i for i, _ in expected[q]}) for q in got)
+    assert hits >= 0.9 * sum(len(v) for v in expected.values())
+
+
 def test_parts_are_balanced_and_follow_the_graph():
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(8, 16)) * 4
