@@ -137,18 +137,32 @@ class Profiles:
         )
 
 
+def rows_of_each(counts: list[int], total: int) -> float:
+    """The largest number of rows a language may give, so that all together give `total`; at least one."""
+    left = total
+    for place, count in enumerate(sorted(counts)):
+        share = left / (len(counts) - place)
+        if count > share:
+            return max(1.0, share)
+        left -= count
+    return float(max(counts, default=1))
+
+
 def learn(
     labelled: DataFrame, text: str = "text", lang: str = "lang", sample_rows: int = 20_000, dimensions: int = DIMENSIONS, n: int = N,
 ) -> Profiles:
     """Prototypes from the rows with a text and a language.
 
-    `sample_rows` bounds what is learned from: about that many rows, drawn at random (all rows if there are fewer). Each
-    task sends one vector per language; the languages have to be few enough for the driver to hold a vector of each.
+    `sample_rows` bounds what is learned from: all rows if there are no more, else about that many, drawn at random in each
+    language. Languages with few rows keep all of theirs; the others get equally many, one at least. Each task sends one
+    vector per language; the languages have to be few enough for the driver to hold a vector of each.
     """
     rows = labelled.select(text, lang).where(F.col(text).isNotNull() & F.col(lang).isNotNull())
-    total = rows.count()
-    if total > sample_rows:
-        rows = rows.sample(sample_rows / total, seed=1)
+    counts = {r[0]: r[1] for r in rows.groupBy(F.col(lang)).agg(F.count("*")).collect()}
+    if sum(counts.values()) > sample_rows:
+        most = rows_of_each(list(counts.values()), sample_rows)
+        shares = F.create_map(*(F.lit(x) for name, count in counts.items() for x in (name, min(1.0, most / count))))
+        rows = rows.where(F.rand(1) < shares[F.col(lang)])
 
     def bundled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}

@@ -1,7 +1,7 @@
 from fixtures import edge_documents, edge_rows, empty_documents, pairs
 from pyspark.sql import functions as F
 
-from spendlens.llm.language_id import Profiles, _Letters, identify, learn
+from spendlens.llm.language_id import Profiles, _Letters, identify, learn, rows_of_each
 from spendlens.llm.queries import op4_language_id
 from spendlens.llm.storage import prepared
 
@@ -27,6 +27,14 @@ def test_edge_cases(spark):
     assert dict(pairs(found, "doc_id", "lang_pred"))[18] == "fr"
 
 
+def test_rare_languages_are_learned_from_a_bounded_sample(spark):
+    rows = [(f"the and of the word and {n}", "en") for n in range(3000)] + [("la langue et les mots", "fr"), ("der und die das", "de")]
+    profiles = learn(prepared(spark).createDataFrame(rows, "text string, lang string"), sample_rows=30)
+    assert profiles.languages == ["de", "en", "fr"]
+    assert profiles.predict(["les mots et la langue", "und das die der"])[0] == ["fr", "de"]
+    assert [rows_of_each(c, 30) for c in ([3000, 1, 1], [5, 5], [3000, 3000, 3000], [9] * 100, [])] == [28, 5, 10, 1, 1]
+
+
 def test_nothing_learned_and_no_documents(spark):
     profiles = learn(spark.createDataFrame([], "text string, lang string"))
     assert profiles.languages == []
