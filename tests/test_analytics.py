@@ -2,7 +2,7 @@ import random
 from datetime import date
 
 import pytest
-from conftest import one, rows
+from shared import one, rows
 from pyspark.sql import functions as F
 
 from spendlens.operators import analytics

@@ -1,5 +1,5 @@
 import pytest
-from conftest import one, rows
+from shared import one, rows
 from pyspark.sql import functions as F
 
 from spendlens.functions import columns as C

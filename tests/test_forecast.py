@@ -3,7 +3,7 @@ from decimal import Decimal
 
 import numpy as np
 import pytest
-from conftest import AS_OF, one, rows
+from shared import AS_OF, one, rows
 from pyspark.sql import functions as F
 
 from spendlens.operators import analytics, forecast

@@ -3,7 +3,7 @@
 from datetime import date, datetime
 
 import pytest
-from conftest import AS_OF, one, rows
+from shared import AS_OF, one, rows
 from pyspark.sql import functions as F
 
 from spendlens.operators import anomalies, attribution, details, extras, quality, rollups

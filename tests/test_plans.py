@@ -1,7 +1,7 @@
 """What the physical plans must and must not contain."""
 
 import pytest
-from conftest import SF
+from shared import SF
 from pyspark.sql import functions as F
 
 from spendlens.functions.columns import present

@@ -2,7 +2,7 @@
 
 import compare
 import pytest
-from conftest import SF
+from shared import SF
 
 from spendlens.plans import oracle, queries
 

@@ -5,7 +5,7 @@ import gzip
 from datetime import date, datetime, timedelta
 
 import pytest
-from conftest import SF, one, rows
+from shared import SF, one, rows
 from pyspark.sql import functions as F
 
 from spendlens.functions import services as S
