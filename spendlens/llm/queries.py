@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spendlens.session import scratch_path
 
-from . import decontamination, language_id, near_dedup, neighbours, packing, personal_data, token_files, warc
+from . import clustering, decontamination, language_id, near_dedup, neighbours, packing, personal_data, phrases, token_files, toxicity, warc
 from . import line_dedup as lines
 from . import token_counts as counts
 from .encoding import public_path
@@ -85,6 +85,22 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.token_counts(documents, public_path(TOKENIZER)).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mined_phrases(_table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.clusters(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
+    model = toxicity.learn(documents.where(~held_out), _table(spark, sf_dir, "labels").where(~held_out))
+    return toxicity.scored(documents, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -96,6 +112,9 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_learned_partitions": op9_learned_partitions,
     "op10_token_counts": op10_token_counts,
+    "op11_phrases": op11_phrases,
+    "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_toxicity": op13_toxicity,
 }
 
 _OP8 = r"""
@@ -157,4 +176,76 @@ SELECT d.doc_id, len(d.w) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(i.
 FROM word d LEFT JOIN hit_word h USING (doc_id) LEFT JOIN hit_item i USING (doc_id)
 """
 
-ORACLE_SQL = {"op5_warc": _OP5, "op6_decontamination": _OP6, "op8_line_dedup": _OP8}
+_OP11 = r"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), word AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM piece
+), total AS (
+  SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM word GROUP BY lang
+), place AS (
+  SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS p FROM word, (SELECT unnest([1, 2, 3, 4]) AS m) WHERE len(w) >= m
+), counted AS MATERIALIZED (
+  SELECT lang, m, array_to_string(w[p : p + m - 1], ' ') AS phrase, count(*) AS c FROM place GROUP BY ALL HAVING count(*) >= 30
+), candidate AS (
+  SELECT *, string_split(phrase, ' ') AS w FROM counted WHERE m > 1
+), cut AS (
+  SELECT c.lang, c.phrase, c.c AS a, x.k, l.c AS l, r.c AS r, CAST((2000000::HUGEINT * c.c) // (l.c::HUGEINT + r.c) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM candidate) x JOIN candidate c ON c.lang = x.lang AND c.phrase = x.phrase
+  JOIN counted l ON l.lang = x.lang AND l.phrase = array_to_string(x.w[1 : x.k], ' ')
+  JOIN counted r ON r.lang = x.lang AND r.phrase = array_to_string(x.w[x.k + 1 :], ' ')
+), best AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS place FROM cut) WHERE place = 1
+), inside AS (
+  SELECT lang, array_to_string(w[s : s + q - 1], ' ') AS phrase, max(c) AS longer
+  FROM (SELECT *, unnest(range(1, m - q + 2)) AS s FROM (SELECT *, unnest(range(2, m)) AS q FROM candidate)) GROUP BY ALL
+), kept AS (
+  SELECT b.* FROM best b LEFT JOIN inside i ON i.lang = b.lang AND i.phrase = b.phrase
+  WHERE i.longer IS NULL OR 100::HUGEINT * i.longer < 80::HUGEINT * b.a
+)
+SELECT lang, rank, phrase, a, l, r, n, score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) JOIN total USING (lang)
+WHERE rank <= 2000
+"""
+
+
+def _op12(k: int = 16, turns: int = 3, components: int = 64) -> str:
+    steps = [f"""
+whole AS MATERIALIZED (
+  SELECT row_number() OVER () AS id, vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS v FROM embeddings
+  WHERE len(embedding) = {components} AND len([1 for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+), centroid_0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS k, v FROM whole ORDER BY sha256('1:' || vec_id) LIMIT {k}
+)"""]
+    for turn in range(turns + 1):
+        steps.append(f"""
+near_{turn} AS MATERIALIZED (
+  SELECT id, vec_id, v, k, d FROM (
+    SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, k) AS place FROM (
+      SELECT w.id, w.vec_id, w.v, c.k, list_sum([(w.v[i] - c.v[i]) * (w.v[i] - c.v[i]) for i in range(1, {components + 1})]) AS d
+      FROM whole w, centroid_{turn} c
+    )
+  ) WHERE place = 1
+)""")
+        if turn < turns:
+            steps.append(f"""
+centroid_{turn + 1} AS MATERIALIZED (
+  SELECT c.k, coalesce(u.v, c.v) AS v FROM centroid_{turn} c LEFT JOIN (
+    SELECT k, list(m ORDER BY i) AS v FROM (
+      SELECT k, i, CAST((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS m
+      FROM (SELECT k, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM near_{turn}) GROUP BY k, i
+    ) GROUP BY k
+  ) u ON u.k = c.k
+)""")
+    return "WITH " + ",".join(steps) + f"""
+SELECT n.vec_id, CAST(n.k AS INTEGER) AS cluster, CAST(n.d AS BIGINT) AS distance,
+  CAST(sum(n.d) OVER (PARTITION BY n.k) AS BIGINT) AS cluster_inertia, CAST(sum(n.d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string([CAST(x AS VARCHAR) for x in c.v], ',')) AS centroid_sha256
+FROM near_{turns} n JOIN centroid_{turns} c ON c.k = n.k
+"""
+
+
+ORACLE_SQL = {
+    "op5_warc": _OP5, "op6_decontamination": _OP6, "op8_line_dedup": _OP8, "op11_phrases": _OP11, "op12_centroid_clustering": _op12(),
+}
