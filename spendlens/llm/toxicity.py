@@ -30,12 +30,12 @@ LEXICONS = {
     "es": "idiota estúpido estúpida imbécil basura inútil asqueroso patético escoria payaso perdedor puta mierda cabrón",
     "fr": "idiot idiote stupide imbécile ordure minable connard connasse salope débile pathétique crétin pute merde",
 }
-# Forms of a text that often come with insults.
+# Forms of a text, and of a word, that often come with insults.
 FORMS = {
-    "masked": r"\w[*#@$]{2,}\w",
-    "marks": r"[!?]{3,}",
-    "drawn": r"([^\W\d_])\1{3,}",
+    "masked": r"[*#@$]{2,}\w",
+    "marks": r"[!?]{3}",
 }
+DRAWN = re.compile(r"(.)\1{3}")
 PREFIXES = (3, 4, 5, 6, 7)
 LEVELS = 5  # it occurs; in 1 of 256 words, of 128, of 64, of 32
 _WORD = re.compile(r"[^\W\d_]+")
@@ -73,34 +73,39 @@ class Marks:
 
     features: list[str]
     known: dict[str, int] = field(init=False)
-    cache: dict[str, tuple[int, ...]] = field(init=False, default_factory=dict)
+    cache: dict[str, tuple[tuple[int, ...], int]] = field(init=False, default_factory=dict)
 
     def __post_init__(self):
         self.known = {f: i for i, f in enumerate(self.features)}
-        self.lexicons = [frozenset(words.split()) for words in LEXICONS.values()]
         self.forms = [re.compile(x) for x in FORMS.values()]
+        self.listed: dict[str, int] = {}
+        for place, words in enumerate(LEXICONS.values()):
+            for word in words.split():
+                self.listed[word] = self.listed.get(word, 0) | 1 << place
+
+    def _of_word(self, word: str) -> tuple[tuple[int, ...], int]:
+        hits = tuple(self.known[x] for x in names_of(word) if x in self.known)
+        return hits, self.listed.get(word, 0) | (DRAWN.search(word) is not None) << (FIXED - 1)
 
     def of(self, text: str) -> tuple[dict[int, int], int]:
         """Level of each feature of the text, and the fixed voters that fire, as bits."""
-        words, counts = _words(text), Counter()
-        if len(self.cache) > 200_000:
+        words, counts, bits = _words(text), {}, 0
+        if len(self.cache) > 500_000:
             self.cache.clear()
         for word, n in words.items():
-            hits = self.cache.get(word)
-            if hits is None:
-                hits = self.cache[word] = tuple(self.known[x] for x in names_of(word) if x in self.known)
-            for i in hits:
-                counts[i] += n
-        bits = 0
-        for place, lexicon in enumerate(self.lexicons):
-            bits |= (not lexicon.isdisjoint(words)) << place
-        for place, form in enumerate(self.forms, len(self.lexicons)):
+            found = self.cache.get(word)
+            if found is None:
+                found = self.cache[word] = self._of_word(word)
+            bits |= found[1]
+            for i in found[0]:
+                counts[i] = counts.get(i, 0) + n
+        for place, form in enumerate(self.forms, len(LEXICONS)):
             bits |= (form.search(text) is not None) << place
         total = words.total()
         return {i: _level(n, total) for i, n in counts.items()}, bits
 
 
-FIXED = len(LEXICONS) + len(FORMS)
+FIXED = len(LEXICONS) + len(FORMS) + 1
 
 
 @dataclass
