@@ -7,7 +7,9 @@ rounds their shortest form half up in both engines.
 
 from __future__ import annotations
 
+from ..operators import seasonal
 from .testbed import FAULTY_DAYS
+
 FOLD = "(DATE '2023-11-02' + CAST(date_diff('day', DATE '1995-01-01', CAST({} AS DATE)) % 90 AS INTEGER))"
 START = "TIMESTAMP '2023-11-02 00:00:00'"  # fixed clock less 90 days
 AS_OF = "DATE '2024-01-31'"
@@ -434,6 +436,65 @@ SELECT CAST(date_trunc('month', forecast_date) AS DATE) AS month, service_type,
 FROM forecast WHERE forecast_date < (SELECT MIN(forecast_date) FROM forecast) + 180 GROUP BY 1, 2""")
 
 
+_SETS = ", ".join(f"({number}, {', '.join(f'CAST({x!r} AS DOUBLE)' for x in values)})" for number, *values in seasonal.GRID)
+
+CTES["account_arrays"] = ("fx_accounts", f"""
+SELECT account, service_type, list(y ORDER BY day) AS ys, MIN(day) AS first_day
+FROM (SELECT d.account, d.service_type, d.day, COALESCE(CAST(a.total_credits AS DOUBLE), 0.0) AS y
+      FROM (SELECT account, service_type, CAST(unnest(generate_series(MIN(date), MAX(date), INTERVAL 1 DAY)) AS DATE) AS day
+            FROM (SELECT * FROM fx_accounts WHERE account <> 'acct_9' OR date >= {AS_OF} - 15) GROUP BY 1, 2) d
+      LEFT JOIN fx_accounts a ON a.account = d.account AND a.service_type = d.service_type AND a.date = d.day)
+GROUP BY 1, 2""")
+
+
+def _smoothed(ys: str, source: str) -> str:
+    mean = f"(({' + '.join(f'{ys}[{i}]' for i in range(1, 8))}) / 7)"
+    second = f"(({' + '.join(f'{ys}[{i}]' for i in range(8, 15))}) / 7)"
+    return f"""
+SELECT * FROM (
+WITH RECURSIVE begun AS (
+  SELECT account, service_type, {ys} AS v, len({ys}) AS n, GREATEST(7, len({ys}) // 5) AS held, s.*, {mean} AS level0
+  FROM {source} CROSS JOIN (VALUES {_SETS}) AS s(set_no, alpha, beta, gamma, ab, gs) WHERE len({ys}) >= 21
+), turns AS (
+  SELECT account, service_type, v, n, held, set_no, alpha, beta, gamma, ab, gs, 7 AS t, level0 AS level, ({second.replace(ys, 'v')} - level0) / 7 AS trend,
+         [x - level0 for x in v[1:7]] AS season, CAST(0 AS DOUBLE) AS sse FROM begun
+  UNION ALL
+  SELECT account, service_type, v, n, held, set_no, alpha, beta, gamma, ab, gs, t + 1, level + trend + alpha * e, trend + ab * e,
+         list_append(season[2:7], season[1] + gs * e), sse + CASE WHEN t >= n - held THEN e * e ELSE 0.0 END
+  FROM (SELECT *, v[t + 1] - (level + trend + season[1]) AS e FROM turns WHERE t < n)
+)
+SELECT account, service_type, held, alpha, beta, gamma, ab, gs, level, trend, season, SQRT(sse / held) AS sigma
+FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY account, service_type ORDER BY sse, set_no) AS place FROM turns WHERE t = n) WHERE place = 1)"""
+
+
+CTES["account_smoothed"] = ("account_arrays", _smoothed("ys", "account_arrays"))
+CTES["account_cut"] = ("account_arrays", """
+SELECT *, LEAST(28, len(ys) // 4) AS tested, ys[1 : len(ys) - LEAST(28, len(ys) // 4)] AS known FROM account_arrays""")
+CTES["account_smoothed_cut"] = ("account_cut", _smoothed("known", "account_cut"))
+CTES["account_errors"] = ("account_smoothed_cut", """
+SELECT account, service_type, place, model, CAST(CAST(ys[len(known) + h] - value AS VARCHAR) AS DECIMAL(28,9)) AS off
+FROM (
+  SELECT *, unnest([0, 1, 2]) AS place, unnest(['seasonal', 'linear', 'last_week']) AS model, unnest([
+    GREATEST(0.0, level + CAST(h AS DOUBLE) * trend + season[1 + (h - 1) % 7]),
+    GREATEST(0.0, (sy - slope * sx) / n + slope * (n - 1 + h)), known[len(known) - 6 + (h - 1) % 7]]) AS value
+  FROM (
+    SELECT *, (n * sxy - sx * sy) / (n * sxx - sx * sx) AS slope
+    FROM (
+      SELECT c.*, s.level, s.trend, s.season, CAST(len(known) AS DOUBLE) AS n, l.sy, l.sxy,
+             CAST(len(known) AS DOUBLE) * (CAST(len(known) AS DOUBLE) - 1) / 2 AS sx,
+             CAST(len(known) AS DOUBLE) * (CAST(len(known) AS DOUBLE) - 1) * (2 * CAST(len(known) AS DOUBLE) - 1) / 6 AS sxx, CAST(unnest(range(1, tested + 1)) AS INTEGER) AS h
+      FROM account_cut c JOIN account_smoothed_cut s USING (account, service_type)
+      JOIN (SELECT account, service_type, sy, sxy FROM (
+        WITH RECURSIVE sums AS (
+          SELECT account, service_type, known AS v, 0 AS t, CAST(0 AS DOUBLE) AS sy, CAST(0 AS DOUBLE) AS sxy FROM account_cut
+          UNION ALL
+          SELECT account, service_type, v, t + 1, sy + v[t + 1], sxy + CAST(t AS DOUBLE) * v[t + 1] FROM sums WHERE t < len(v)
+        ) SELECT * FROM sums WHERE t = len(v))) l USING (account, service_type)
+    )
+  )
+)""")
+
+
 def _account_line(horizon: int) -> str:
     return f"""
 SELECT account, last_day + CAST(h AS INTEGER) AS date, GREATEST(0.0, (sy - slope * sx) / n + slope * (n - 1 + h)) AS forecast_credits
@@ -1233,6 +1294,30 @@ SELECT CAST(ts AS DATE) AS usage_date, event_type AS service_type, COUNT(*) AS e
        SUM(CAST(value / 100 AS {MONEY})) AS total_credits FROM events GROUP BY 1, 2""", "total_credits")
 
 
+_q("forecast_seasonal", "account_smoothed", f"""
+SELECT account, service_type, last_day + CAST(h AS INTEGER) AS forecast_date, GREATEST(0.0, v) AS forecast_credits,
+       GREATEST(0.0, v - w) AS lower_bound_credits, GREATEST(0.0, v + w) AS upper_bound_credits, alpha, beta, gamma, 'OK' AS status
+FROM (SELECT *, level + h * trend + season[1 + (CAST(h AS INTEGER) - 1) % 7] AS v, 1.96 * sigma * SQRT(CAST(1 AS DOUBLE) + ({seasonal.widening()})) AS w
+      FROM (SELECT s.*, first_day + CAST(len(ys) - 1 AS INTEGER) AS last_day, CAST(unnest(range(1, 61)) AS DOUBLE) AS h
+            FROM account_smoothed s JOIN account_arrays a USING (account, service_type)))
+UNION ALL
+SELECT account, service_type, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'TOO_SHORT' FROM account_arrays WHERE len(ys) < 21""")
+_q("forecast_backtest", "account_errors", """
+SELECT account, service_type, model, days, mean_absolute_error, mean_error,
+       ROW_NUMBER() OVER (PARTITION BY account, service_type ORDER BY mean_absolute_error, place) = 1 AS best
+FROM (SELECT account, service_type, place, model, COUNT(*) AS days, CAST(SUM(ABS(off)) AS DOUBLE) / COUNT(*) AS mean_absolute_error,
+             CAST(SUM(off) AS DOUBLE) / COUNT(*) AS mean_error FROM account_errors GROUP BY 1, 2, 3, 4)""")
+_q("active_users_sliding", "attribution", f"""
+WITH active AS (
+  SELECT DISTINCT unnest([service_type, 'All']) AS service_type, user_name AS u, usage_date AS d FROM attribution WHERE user_name IS NOT NULL
+), calendar AS (
+  SELECT service_type, CAST(unnest(generate_series(MIN(d), {AS_OF}, INTERVAL 1 DAY)) AS DATE) AS day FROM active WHERE d <= {AS_OF} GROUP BY 1
+)
+SELECT c.service_type, c.day AS usage_date, COUNT(DISTINCT u) FILTER (d = c.day) AS users_1d,
+       COUNT(DISTINCT u) FILTER (d > c.day - 7) AS users_7d, COUNT(DISTINCT u) AS users_30d
+FROM calendar c LEFT JOIN active a ON a.service_type = c.service_type AND a.d <= c.day AND a.d > c.day - 30 GROUP BY 1, 2""")
+
+
 def _presented(sql: str, doubles: str) -> str:
     """DECIMAL results as DOUBLE."""
     if not doubles:

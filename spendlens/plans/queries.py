@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import services as S
 from ..functions.columns import day_before, long_lit, present, ts
-from ..operators import analytics, anomalies, attribution, details, extras, forecast, quality, rollups, settings, snapshot
+from ..operators import (
+    active_users, analytics, anomalies, attribution, details, extras, forecast, quality, rollups, seasonal, settings, snapshot,
+)
 from ..session import scratch_path
 from ..sources import usage_files
 from ..sources.schemas import SNAPSHOT_SCHEMA, struct
@@ -110,6 +112,12 @@ class Bed:
         """What the newest snapshots hold, taken from the rollup that they store."""
         return forecast.forecast_input(snapshot.usage_by_feature(self.telemetry, **SCOPE), as_of=AS_OF)
 
+    @cached_property
+    def account_series(self):
+        """Daily credits per account and service; some series are short, most have days without usage."""
+        young = (F.col("account") == "acct_9") & (F.col("date") < F.lit(day_before(AS_OF, 15)))
+        return self.accounts.where(~young).select(*ACCOUNT, "service_type", F.col("date").alias("ts"), F.col("total_credits").alias("y"))
+
     @cached_property
     def forecast_months(self):
         return forecast.forecast_by_month(self.forecast, horizon_days=180)
@@ -283,6 +291,7 @@ QUERIES: dict[str, Query] = {
     "top_queries": lambda b: rollups.top_queries(b.telemetry, k=10, **SCOPE),
     "user_spend_attribution": lambda b: b.attribution,
     "user_spend_summary": lambda b: attribution.user_spend_summary(b.attribution),
+    "active_users_sliding": lambda b: active_users.active_users_sliding(b.attribution, as_of=AS_OF.date()),
     "user_feature_usage": lambda b: attribution.user_feature_usage(b.attribution),
     "daily_summary": lambda b: b.daily,
     "cost_export": lambda b: b.export,
@@ -316,6 +325,8 @@ QUERIES: dict[str, Query] = {
     "forecast_by_month": lambda b: b.forecast_months,
     "forecast_monthly": lambda b: forecast.forecast_monthly(b.forecast_months),
     "forecast_pivot": lambda b: forecast.forecast_pivot(b.forecast_months, services=SNAPSHOT_SERVICES),
+    "forecast_seasonal": lambda b: seasonal.forecast_seasonal(b.account_series, horizon_days=60, group_cols=ACCOUNT),
+    "forecast_backtest": lambda b: seasonal.forecast_backtest(b.account_series, group_cols=ACCOUNT),
     "growth_projection": lambda b: b.projection,
     "growth_monthly_band": lambda b: b.band,
     "growth_cards": lambda b: forecast.growth_cards(b.band, group_cols=ACCOUNT),
