@@ -18,19 +18,22 @@ def cost_anomalies(
     as_of: datetime,
     lookback_days: int = 90,
     group_cols: Sequence[str] = (),
-    high: float = 0.50,
-    medium: float = 0.25,
+    high: float | Column = 0.50,
+    medium: float | Column = 0.25,
     calendar: bool = False,
 ) -> DataFrame:
     """Compare each day with the row 7 and 14 rows earlier and with the mean of the last 7 rows of its service.
 
     With ``calendar`` the same comparisons count days, so gaps do not shift them. Days without a value a week earlier
-    are dropped. A falling day is DECLINING at any rate, but its message and action change only below -medium.
+    are dropped. A falling day is DECLINING at any rate, but its message and action change only below -medium. The bounds may
+    be columns of ``daily``, as where every account has its own.
     """
     series = [*group_cols, "service_type"]
     recent = daily.where(F.col("usage_date") >= F.lit(day_before(as_of, lookback_days))).select(
-        F.col("usage_date").alias("date"), *series, "total_credits", "daily_unique_users", "total_operations"
+        F.col("usage_date").alias("date"), *series, "total_credits", "daily_unique_users", "total_operations",
+        *[bound.alias(name) for name, bound in (("_high", high), ("_medium", medium)) if isinstance(bound, Column)],
     )
+    high, medium = (F.col(n) if isinstance(b, Column) else b for n, b in (("_high", high), ("_medium", medium)))
     if calendar:
         by_day = windowed(series, F.datediff("date", F.lit("1970-01-01").cast("date")))
 

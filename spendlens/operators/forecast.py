@@ -19,7 +19,7 @@ from ..sources.schemas import FORECAST_SCHEMA, TOTAL, struct
 # computed values are summed in these types, so sums do not depend on the order of the rows
 RESIDUAL = "decimal(28,9)"
 SHARE = "decimal(28,18)"
-STORED = "decimal(28,6)"
+STORED = "decimal(28,12)"
 
 
 def _growth_months(n: int, *rates: float) -> Column:
@@ -49,7 +49,7 @@ def _line(x: str, y: str, window: WindowSpec | None = None) -> dict[str, Column]
         return (out.over(window) if window is not None else out).cast("double")
 
     one = F.lit(1).cast("long")
-    yx = F.col(y).cast("decimal(24,6)")
+    yx = F.col(y).cast("decimal(28,12)")
     n, sx, sy = total(one), total(F.col(x)), total(yx)
     spread = n * total(F.col(x) * F.col(x)) - sx * sx
     slope = F.when(spread != 0, (n * total(yx * F.col(x).cast("decimal(8,0)")) - sx * sy) / spread).otherwise(F.lit(0.0))
@@ -68,7 +68,7 @@ def forecast_12m(series_days: DataFrame, *, horizon_days: int = 365, min_points:
     same_weekday = Window.partitionBy(*series, "weekday")
     line = _line("x", "y", whole)
     points = (
-        series_days.select(*series, F.col("ts").cast("date").alias("day"), F.col("y").cast("decimal(24,6)").alias("y"))
+        series_days.select(*series, F.col("ts").cast("date").alias("day"), F.col("y").cast("decimal(28,12)").alias("y"))
         .withColumn("x", F.datediff("day", F.min("day").over(whole)).cast("long"))
         .withColumn("weekday", F.dayofweek("day"))
         .withColumn("n", line["n"])
@@ -115,7 +115,7 @@ def linear_forecast(usage: DataFrame, *, months: int = 12, min_points: int = 7,
     """Straight line through the daily totals of a group (x is the row number of the day), continued int(months * 30.5)
     days, never negative. Groups with fewer than ``min_points`` days are dropped."""
     daily = usage.groupBy(*group_cols, F.col("date").alias("_day")).agg(
-        F.sum("total_credits").cast("decimal(24,6)").alias("y")
+        F.sum("total_credits").cast("decimal(28,12)").alias("y")
     )
     points = daily.withColumn("x", (F.row_number().over(windowed(group_cols, F.col("_day"))) - 1).cast("long"))
     fit = (

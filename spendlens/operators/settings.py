@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import services as S
@@ -63,3 +63,29 @@ def config_summary(settings: DataFrame, *, group_cols: Sequence[str] = ()) -> Da
     return settings.groupBy(*group_cols).agg(
         F.count(F.lit(1)).alias("settings_count"), F.max("updated_at").alias("last_updated")
     )
+
+
+def register_get_config(spark: SparkSession, overrides: DataFrame, *, name: str = "get_config", account: str = "account") -> str:
+    """Registers the SQL function ``name(account, setting)``: the text that the account has stored, else the default, else NULL.
+
+    The body is a subquery over ``overrides`` (account, setting_name, setting_value), which needs rows only for what an account has
+    changed; the engine turns it into a join of the calling query. Returns the function's name.
+    """
+    view = f"{name}_stored"
+    overrides.select(F.col(account).cast("string").alias("account"), "setting_name", "setting_value").createOrReplaceTempView(view)
+    defaults = ", ".join(f"'{_quoted(n)}', '{_quoted(v)}'" for n, v, *_ in S.DEFAULT_SETTINGS if v is not None)
+    spark.sql(f"""
+        CREATE OR REPLACE TEMPORARY FUNCTION {name}(of_account STRING, setting STRING) RETURNS STRING
+        RETURN COALESCE((SELECT MAX(s.setting_value) FROM {view} s WHERE s.account = of_account AND s.setting_name = setting),
+                        try_element_at(map({defaults}), setting))""")
+    return name
+
+
+def _quoted(text: str) -> str:
+    return text.replace("\\", "\\\\").replace("'", "\\'")
+
+
+def configured_number(setting: str, *, account: str = "account", function: str = "get_config") -> Column:
+    """A setting of a row's account as a number; the default where the stored text is no number."""
+    default = next(float(v) for n, v, *_ in S.DEFAULT_SETTINGS if n == setting)
+    return F.coalesce(F.expr(f"{function}(CAST({account} AS STRING), '{setting}')").try_cast("double"), F.lit(default))

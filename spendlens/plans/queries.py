@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import views
 from ..functions import services as S
 from ..functions.columns import day_before, long_lit, present, ts
 from ..operators import (
-    active_users, analytics, anomalies, attribution, details, extras, forecast, quality, rollups, seasonal, settings, snapshot,
+    active_users, analytics, anomalies, attribution, details, extras, forecast, quality, quantiles, rollups, seasonal,
+    settings, snapshot,
 )
 from ..session import scratch_path
 from ..sources import usage_files
@@ -266,6 +268,38 @@ def _stream_sketched(b: Bed) -> DataFrame:
     )
 
 
+def _anomalies_configured(b: Bed) -> DataFrame:
+    settings.register_get_config(b.spark, testbed.threshold_overrides(b.spark, b.sf_dir))
+    return anomalies.cost_anomalies(
+        b.account_days, **SCOPE, group_cols=ACCOUNT, high=settings.configured_number("ANOMALY_THRESHOLD_HIGH"),
+        medium=settings.configured_number("ANOMALY_THRESHOLD_MEDIUM"),
+    )
+
+
+def _sql_over_views(b: Bed) -> DataFrame:
+    """Alerts and users by service in SQL text: anomalies and export over the rollup, active users over the attribution."""
+    views.register_views(b.spark, b.telemetry, **SCOPE, prefix="bed_")
+    return b.spark.sql("""
+        WITH alert AS (
+          SELECT date, service_type FROM bed_cost_anomalies WHERE alert_level IN ('HIGH', 'MEDIUM')
+        )
+        SELECT e.service_type, COUNT(*) AS days, SUM(e.total_credits) AS total_credits, COUNT(a.date) AS alerts,
+               MAX(u.users_30d) AS most_users_30d
+        FROM bed_cost_export e LEFT JOIN alert a ON a.date = e.date AND a.service_type = e.service_type
+        LEFT JOIN bed_active_users u ON u.usage_date = e.date AND u.service_type = e.service_type
+        WHERE e.date >= DATE'2023-12-01' GROUP BY e.service_type HAVING SUM(e.total_credits) > 0""")
+
+
+def _model_quantiles(b: Bed) -> DataFrame:
+    """Quantiles of December from the summaries of its days; their ranks are held against the records."""
+    days = {"first": date(2023, 12, 1), "last": date(2023, 12, 31)}
+    answers = quantiles.credit_quantiles(quantiles.credit_summaries(b.telemetry, **SCOPE), **days)
+    checked = quantiles.rank_errors(answers, b.telemetry, **days)
+    return checked.select("model_name", "records", "exact_records", *[
+        (F.col(f"{n}_rank_error") <= 3 * quantiles.RANK_ERROR).alias(f"{n}_in_rank") for n in quantiles.QUANTILES
+    ])
+
+
 Query = Callable[[Bed], DataFrame]
 
 QUERIES: dict[str, Query] = {
@@ -298,6 +332,7 @@ QUERIES: dict[str, Query] = {
     # rollups and attribution
     "function_summary": lambda b: b.functions,
     "model_comparison": lambda b: b.models,
+    "model_credit_quantiles": _model_quantiles,
     "function_daily_trends": lambda b: b.trends,
     "query_cost_analysis": lambda b: rollups.query_cost_analysis(b.telemetry, **SCOPE),
     "top_queries": lambda b: rollups.top_queries(b.telemetry, k=10, **SCOPE),
@@ -322,6 +357,7 @@ QUERIES: dict[str, Query] = {
     "cost_anomalies_calendar": lambda b: anomalies.cost_anomalies(
         b.account_days, **SCOPE, group_cols=ACCOUNT, high=0.60, medium=0.30, calendar=True
     ),
+    "cost_anomalies_configured": _anomalies_configured,
     "cost_anomalies_current": lambda b: b.account_current,
     "cost_anomaly_summary": lambda b: anomalies.cost_anomaly_summary(b.account_anomalies, as_of=AS_OF, group_cols=ACCOUNT),
     "anomaly_status": lambda b: anomalies.anomaly_status(b.current),
@@ -386,6 +422,8 @@ QUERIES: dict[str, Query] = {
     "summary_long": lambda b: analytics.summary_long(b.executive, group_cols=ACCOUNT),
     "summary_report": lambda b: analytics.summary_report(b.accounts, group_cols=ACCOUNT),
     "benchmark_band": lambda b: analytics.benchmark_band(b.accounts, group_cols=ACCOUNT),
+    # SQL text
+    "sql_over_views": _sql_over_views,
     # data quality
     "dq_missing_dates": lambda b: quality.missing_dates(b.account_days, as_of=AS_OF, group_cols=ACCOUNT),
     "dq_missing_dates_service": lambda b: quality.missing_dates(b.daily, as_of=AS_OF, group_cols=("service_type",)),

@@ -270,6 +270,16 @@ def stored_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def threshold_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alert thresholds that some accounts (nations of customers) have changed, one of them to a text that is no number."""
+    value = "CASE WHEN c_nationkey % 6 = 0 THEN 'much' ELSE CAST(CAST(0.05 * (c_nationkey % 7 + 4) AS DECIMAL(4,2)) AS STRING) END"
+    return table(spark, sf_dir, "customer").select("c_nationkey").distinct().where("c_nationkey % 2 = 0").selectExpr(
+        "concat('acct_', CAST(c_nationkey AS STRING)) AS account",
+        f"inline(array(struct('ANOMALY_THRESHOLD_HIGH' AS setting_name, {value} AS setting_value), "
+        "struct('ANOMALY_THRESHOLD_MEDIUM' AS setting_name, CASE WHEN c_nationkey % 4 = 0 THEN '0.10' END AS setting_value)))",
+    )
+
+
 #: Account days as a table may hold them: some rows have wrong ratios, missing values, impossible dates or negative credits.
 #: The expressions mean the same in both engines.
 FAULTY_DAYS = [

@@ -142,3 +142,14 @@ def test_forecast_of_very_large_series(spark):
     assert len(got) == 3
     for r in got:
         assert r["lower_bound_credits"] < 3.5e11 < r["forecast_credits"] < r["upper_bound_credits"] < 4e11
+
+
+def test_credits_below_a_millionth_are_forecast(spark):
+    days = spark.createDataFrame([(date(2025, 1, 1) + timedelta(days=i), "S", 0.0000003) for i in range(30)], "date DATE, service_type STRING, total_credits DOUBLE")
+    series = days.select("service_type", F.col("date").cast("timestamp_ntz").alias("ts"), F.col("total_credits").cast("decimal(38,12)").alias("y"))
+    assert rows(forecast.forecast_12m(series, horizon_days=1))[0]["forecast_credits"] == pytest.approx(0.0000003)
+    usage = days.withColumn("total_credits", F.col("total_credits").cast("decimal(38,12)"))
+    line = forecast.linear_forecast(usage, months=1)
+    assert rows(line)[0]["forecast_credits"] == pytest.approx(0.0000003)
+    months = rows(forecast.linear_forecast_monthly(line))
+    assert sum(r["forecast_credits"] for r in months) == pytest.approx(30 * 0.0000003)
