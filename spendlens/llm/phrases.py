@@ -15,9 +15,11 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -133,18 +135,17 @@ class _Sequences:
             at = np.flatnonzero(ok)
             self.found[n] = at, whole[at]
 
-    def counted(self, chosen: dict[int, np.ndarray]) -> Iterator[tuple[bytes, int]]:
-        """(sequence, occurrences) at the chosen places of each length. Keys are word numbers, so nothing is mixed up."""
+    def counted(self, part_bits: int) -> Iterator[tuple[int, bytes, int]]:
+        """(partition, sequence, occurrences) of what is found. Keys are word numbers, so nothing is mixed up."""
         key = self.ids.astype(np.uint64)
-        for n in range(2, max(chosen, default=1) + 1):
+        for n, (at, hashes) in sorted(self.found.items()):
             # numbers of the sequences that are one word shorter, dense enough for half a key
             _, short = np.unique(key[: len(key) - 1], return_inverse=True)
             key = (short.astype(np.uint64) << np.uint64(32)) | self.ids[n - 1 :].astype(np.uint64)
-            at = chosen.get(n, np.zeros(0, np.int64))
             _, first, count = np.unique(key[at], return_index=True, return_counts=True)
-            names = self.known.names
-            for place, c in zip(at[first].tolist(), count.tolist()):
-                yield b" ".join([names[i] for i in self.ids[place : place + n].tolist()]), c
+            names, parts = self.known.names, (hashes[first] >> np.uint64(64 - part_bits)).tolist()
+            for part, place, c in zip(parts, at[first].tolist(), count.tolist()):
+                yield part, b" ".join([names[i] for i in self.ids[place : place + n].tolist()]), c
 
 
 def _sequences(batches: Iterator[pa.RecordBatch], bits: bytes, most: int) -> Iterator[tuple[str, _Sequences]]:
@@ -303,37 +304,52 @@ def frequent_phrases(
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chosen = np.frombuffer(wanted.value, np.uint8)
-        held: Counter = Counter()
-
-        def emitted() -> Iterator[pa.RecordBatch]:
-            keys, numbers = list(held), list(held.values())
-            for at in range(0, len(keys), _SLICE):
-                some = keys[at : at + _SLICE]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([k[0] for k in some], pa.string()), pa.array([k[1] for k in some], pa.binary()),
-                    pa.array([k[2] for k in some], pa.int32()), pa.array(numbers[at : at + _SLICE], pa.int64()),
-                ], names=["lang", "phrase", "words", "n"])
-            held.clear()
-
+        held: dict[tuple[int, str], Counter] = {}
+        size = 0
         for name, found in _sequences(batches, bits.value, most_words):
             for n, (at, hashes) in found.found.items():
                 place = (hashes >> np.uint64(64 - filter_bits)).astype(np.int64)
-                hit = (chosen[place >> 3] >> (place & 7).astype(np.uint8)) & 1
-                found.found[n] = at[hit > 0], hashes[:0]
-            for phrase, c in found.counted({n: at for n, (at, _) in found.found.items()}):
-                held[name, phrase, phrase.count(b" ") + 1] += c
-            if len(held) > 500_000:
-                yield from emitted()
-        yield from emitted()
+                hit = ((chosen[place >> 3] >> (place & 7).astype(np.uint8)) & 1) > 0
+                found.found[n] = at[hit], hashes[hit]
+            for part, phrase, c in found.counted(part_bits):
+                own = held.setdefault((part, name), Counter())
+                size += phrase not in own
+                own[phrase] += c
+            if size > 500_000:
+                yield from _gathered(held)
+                held, size = {}, 0
+        yield from _gathered(held)
+
+    def summed(gathered: pa.Table) -> pa.Table:
+        """Exact counts of a partition's phrases in a language."""
+        whole = pa.table({
+            "phrase": pa.concat_arrays([c.flatten() for c in gathered["phrases"].chunks]),
+            "count": pa.concat_arrays([c.flatten() for c in gathered["counts"].chunks]),
+        }).group_by("phrase").aggregate([("count", "sum")])
+        whole = whole.filter(pc.greater_equal(whole["count_sum"], min_count))
+        return pa.table({
+            "lang": pa.array([gathered["lang"][0].as_py()] * whole.num_rows, pa.string()), "phrase": whole["phrase"],
+            "words": pc.cast(pc.add(pc.count_substring(whole["phrase"], b" "), 1), pa.int32()), "count": whole["count_sum"],
+        })
 
+    # each task gives a row for each partition and language; those of one partition are few enough for one task
     phrases = (
-        rows.mapInArrow(exact, "lang string, phrase binary, words int, n long").groupBy("lang", "phrase", "words")
-        .agg(F.sum("n").alias("count")).where(F.col("count") >= min_count)
+        rows.mapInArrow(exact, "part long, lang string, phrases array<binary>, counts array<long>").groupBy("part", "lang")
+        .applyInArrow(summed, "lang string, phrase binary, words int, count long")
     )
     single = frequent.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("words"), F.col("n").alias("count"))
     return written(phrases.unionByName(single), "frequent-phrases"), totals
 
 
+def _gathered(held: dict[tuple[int, str], Counter]) -> Iterator[pa.RecordBatch]:
+    """A row for each partition and language, with its phrases and their counts."""
+    for keys in batched(held, 64):
+        yield pa.RecordBatch.from_arrays([
+            pa.array([part for part, _ in keys], pa.int64()), pa.array([lang for _, lang in keys], pa.string()),
+            pa.array([list(held[k]) for k in keys], pa.list_(pa.binary())), pa.array([list(held[k].values()) for k in keys], pa.list_(pa.int64())),
+        ], names=["part", "lang", "phrases", "counts"])
+
+
 def _added(held: tuple[np.ndarray, np.ndarray], raw: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     hashes, counts = np.unique(np.concatenate(raw) if raw else np.zeros(0, np.uint64), return_counts=True)
     return combined(np.concatenate((held[0], hashes)), np.concatenate((held[1], counts.astype(np.int64))))
