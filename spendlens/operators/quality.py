@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import time
+from collections.abc import Mapping, Sequence
 from datetime import date, datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import services as S
@@ -226,6 +227,53 @@ def check_results(
     )
 
 
+#: view, and the column that dates its rows
+CHECKED_VIEWS = {
+    "analyst_detail": "usage_date", "search_detail": "usage_date", "daily_summary": "usage_date",
+    "user_spend_attribution": "usage_date", "usage_history": "date", "usage_forecast": "forecast_date",
+}
+
+
+def run_checks(
+    spark: SparkSession, *, as_of: datetime, run_ts: datetime, lookback_days: int = 90, prefix: str = "v_",
+    checked: Mapping[str, str] = CHECKED_VIEWS,
+) -> DataFrame:
+    """All checks over the registered views (see ``views``), with the time that each has taken.
+
+    The first checks read every row of a view, in one aggregate: rows, first and last date, rows without a date. A view that is
+    missing or fails is a FAIL with the error, and the other checks go on. Each of the checks after them, made from one pass over
+    the daily rollup, has that pass's time. The jobs run here; the result is a dozen rows.
+    """
+    out, columns = [], "test_number INT, test_category STRING, test_name STRING, test_status STRING, test_message STRING, execution_time_ms DOUBLE"
+
+    def timed(action) -> tuple:
+        start = time.perf_counter()
+        try:
+            found, error = action(), None
+        except Exception as reason:  # a check reports what is wrong with a view, whatever it is
+            found, error = None, str(reason).strip().splitlines()[0]
+        return found, error, (time.perf_counter() - start) * 1000
+
+    for number, (name, day) in enumerate(checked.items(), 1):
+        facts, error, ms = timed(lambda: spark.table(prefix + name).agg(
+            F.count(F.lit(1)).alias("n"), F.min(day).alias("first"), F.max(day).alias("last"), F.count_if(F.col(day).isNull()).alias("undated"),
+        ).first())
+        if error is None:
+            span = f" from {facts['first']} to {facts['last']}" if facts.n > facts.undated else ""
+            undated = f", {facts.undated} without a date" if facts.undated else ""
+            message = f"View accessible, returned {facts.n} rows{span}{undated}"
+        else:
+            message = f"Error: {error}"
+        out.append((number, "Compilation", f"{name} can be read", "FAIL" if error else "PASS", message, ms))
+    found, error, ms = timed(lambda: check_results(
+        spark.table(f"{prefix}daily_summary"), as_of=as_of, run_ts=run_ts, lookback_days=lookback_days).collect())
+    if error is None:
+        out += [(r.test_number, r.test_category, r.test_name, r.test_status, r.test_message, ms) for r in found]
+    else:
+        out.append((7, "Data Quality", "The daily summary can be checked", "FAIL", f"Error: {error}", ms))
+    return spark.createDataFrame(out, columns).withColumn("tested_at", ts(run_ts))
+
+
 def check_summary(results: DataFrame, *, group_cols: Sequence[str] = ()) -> DataFrame:
     """Passed, failed and warned checks by category."""
     status = F.col("test_status")

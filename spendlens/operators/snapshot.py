@@ -12,6 +12,7 @@ from ..functions.columns import as_date, day_before, long_lit, mean, pct_change,
 from ..sources.schemas import SNAPSHOT_SCHEMA, names, struct
 from ..sources.telemetry import Telemetry
 from ..sources.upsert import merge_into, upsert
+from ..sources.versions import publish_merge
 from . import details, rollups
 
 KEYS = ["snapshot_date", "service_type", "usage_date", "function_name", "model_name"]
@@ -139,13 +140,16 @@ def snapshot_upsert(target: DataFrame, source: DataFrame, *, run_ts: datetime) -
     )
 
 
-def run_daily_snapshot(t: Telemetry, path: str, *, as_of: datetime, run_ts: datetime) -> None:
+def run_daily_snapshot(t: Telemetry, path: str, *, as_of: datetime, run_ts: datetime, publish: bool = False) -> None:
     """The daily job: merge the snapshot of ``as_of`` into the table at ``path``. Running it again changes nothing.
 
+    With ``publish`` the table is one of ``sources.versions``: readers see all of a run or nothing.
+
     Rows match only within one snapshot date, so the table is partitioned by it: a job rewrites its own partition and
     never the stored history. A partition holds three usage days, which file statistics separate.
     """
-    merge_into(
+    merge = publish_merge if publish else merge_into
+    merge(
         path, snapshot_source(t, as_of=as_of), partition_col="snapshot_date", schema=struct(SNAPSHOT_SCHEMA),
         keys=KEYS, update_cols=MEASURES, insert_cols=STORED, null_is_empty=NULLABLE_KEYS,
         on_update={"inserted_at": ts(run_ts)}, on_insert={"inserted_at": ts(run_ts)},

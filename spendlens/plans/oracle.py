@@ -896,6 +896,7 @@ for _key, _cte in (("snapshot_source", "features"), ("snapshot_source_repeated",
 _q("snapshot_job", "features", f"""
 SELECT {AS_OF} AS snapshot_date, *, TIMESTAMP '2024-01-31 03:00:00' AS inserted_at FROM features WHERE usage_date BETWEEN {AS_OF} - 2 AND {AS_OF}""",
    _SNAPSHOT_DOUBLES)
+_QUERIES["snapshot_published"] = _QUERIES["snapshot_job"]
 _q("snapshot_backfill", "snapshots", "SELECT * FROM snapshots", _SNAPSHOT_DOUBLES)
 _q("usage_history", "history", "SELECT * EXCLUDE (credits_wow_growth_raw), ROUND(credits_wow_growth_raw, 2) AS credits_wow_growth_pct FROM history",
    _EXPORT_DOUBLES + " credits_per_page credits_per_document credits_7d_ago credits_wow_growth_pct")
@@ -1227,6 +1228,26 @@ SELECT account, CASE WHEN 31 - covered_days > 5 THEN 'Investigate missing dates
        ELSE 'No critical issues detected' END AS recommendation FROM {_cte}""")
 for _suffix, _cte in (("", "checks"), ("_faulty", "faulty_checks")):
     _q("check_results" + _suffix, _cte, f"SELECT * FROM {_cte}", "execution_time_ms")
+def _view_checks(daily: str, checks: str, faulty: bool) -> str:
+    rows = []
+    for number, (name, relation, day) in enumerate((
+        ("analyst_detail", "(SELECT CAST(start_time AS DATE) AS usage_date FROM fx_analyst WHERE start_time >= " + START + ")", "usage_date"),
+        ("search_detail", "(SELECT * FROM fx_search WHERE usage_date >= " + START + ")", "usage_date"), ("daily_summary", daily, "usage_date"),
+        ("user_spend_attribution", "attribution", "usage_date"), ("usage_history", "history", "date"), ("usage_forecast", "forecast", "forecast_date"),
+    ), 1):
+        if faulty and name in ("search_detail", "usage_history"):
+            rows.append(f"SELECT {number} AS test_number, 'Compilation' AS test_category, '{name} can be read' AS test_name, 'FAIL' AS test_status, 'Error' AS test_message")
+            continue
+        rows.append(f"""
+SELECT {number} AS test_number, 'Compilation' AS test_category, '{name} can be read' AS test_name, 'PASS' AS test_status,
+       'View accessible, returned ' || COUNT(*) || ' rows from ' || MIN({day}) || ' to ' || MAX({day})
+       || CASE WHEN COUNT(*) > COUNT({day}) THEN ', ' || (COUNT(*) - COUNT({day})) || ' without a date' ELSE '' END AS test_message FROM {relation}""")
+    rows.append(f"SELECT test_number, test_category, test_name, test_status, test_message FROM {checks}")
+    return f"SELECT *, TRUE AS timed FROM ({' UNION ALL '.join(rows)})"
+
+
+_q("check_results_views", "fx_analyst fx_search attribution history forecast checks", _view_checks("daily", "checks", False))
+_q("check_results_views_faulty", "fx_analyst attribution forecast faulty_checks", _view_checks("faulty_days", "faulty_checks", True))
 _q("check_results_stored", "checks", "SELECT * FROM checks", "execution_time_ms")
 for _suffix, _cte in (("", "checks"), ("_faulty", "faulty_checks")):
     _q("check_summary" + _suffix, _cte, f"""

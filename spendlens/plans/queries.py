@@ -17,7 +17,7 @@ from ..operators import (
     settings, snapshot,
 )
 from ..session import scratch_path
-from ..sources import usage_files
+from ..sources import usage_files, versions
 from ..sources.schemas import SNAPSHOT_SCHEMA, struct
 from ..streaming import daily_usage as stream
 from . import testbed
@@ -218,10 +218,36 @@ def _snapshot_job(b: Bed) -> DataFrame:
     return b.spark.read.schema(struct(SNAPSHOT_SCHEMA)).parquet(path)
 
 
+def _snapshot_published(b: Bed) -> DataFrame:
+    """The daily job of two days in a table whose states are published, the second day twice."""
+    root = scratch_path(b.spark, "snapshot-published")
+    for day in (AS_OF - timedelta(days=1), AS_OF, AS_OF):
+        snapshot.run_daily_snapshot(b.telemetry, root, as_of=day, run_ts=RUN_TS, publish=True)
+    return versions.read_published(b.spark, root, struct(SNAPSHOT_SCHEMA), [str(AS_OF.date())])
+
+
+def _checks_of_views(b: Bed, faulty: bool) -> DataFrame:
+    """All checks over the views; the faulty variant has a view that is missing and one that fails when it is read."""
+    prefix = "faulty_" if faulty else "checked_"
+    views.register_views(b.spark, b.telemetry, **SCOPE, prefix=prefix)
+    if faulty:
+        b.spark.catalog.dropTempView(f"{prefix}search_detail")
+        b.faulty_days.selectExpr("*", "1 AS credits_per_operation").createOrReplaceTempView(f"{prefix}daily_summary")
+        b.spark.sql(f"""CREATE OR REPLACE TEMPORARY VIEW {prefix}usage_history AS
+                        SELECT raise_error('broken') AS d, CAST(raise_error('broken') AS DATE) AS date FROM {prefix}analyst_detail""")
+    found = quality.run_checks(b.spark, as_of=AS_OF, run_ts=RUN_TS, prefix=prefix)
+    # the error texts are the engine's own
+    message = F.when(F.col("test_message").startswith("Error: "), "Error").otherwise(F.col("test_message"))
+    return found.select(
+        "test_number", "test_category", "test_name", "test_status", message.alias("test_message"), (F.col("execution_time_ms") > 0).alias("timed"))
+
+
 def _check_results_stored(b: Bed) -> DataFrame:
+    """Stored twice under the name of the run, as when a run is repeated."""
     path = scratch_path(b.spark, "check-results")
-    usage_files.append_results(b.checks, path)
-    return b.spark.read.schema(b.checks.schema).parquet(path)
+    for _ in range(2):
+        usage_files.append_results(b.checks, path, run=RUN_TS.isoformat())
+    return b.spark.read.schema(b.checks.schema).parquet(path).drop("run")
 
 
 def _lookback_scan(b: Bed) -> DataFrame:
@@ -346,6 +372,7 @@ QUERIES: dict[str, Query] = {
     # snapshots, history, anomalies
     "unmatched_documents": lambda b: snapshot.unmatched_documents(b.telemetry, **SCOPE),
     "snapshot_job": _snapshot_job,
+    "snapshot_published": _snapshot_published,
     "snapshot_source": lambda b: snapshot.snapshot_source(b.telemetry, as_of=AS_OF),
     "snapshot_source_repeated": lambda b: snapshot.snapshot_source(b.telemetry, as_of=AS_OF, repeat_functions=True),
     "snapshot_backfill": lambda b: b.snapshots,
@@ -455,6 +482,8 @@ QUERIES: dict[str, Query] = {
     "check_summary_faulty": lambda b: quality.check_summary(b.faulty_checks),
     "check_overall_faulty": lambda b: quality.check_overall(b.faulty_checks),
     "check_results": lambda b: b.checks,
+    "check_results_views": lambda b: _checks_of_views(b, faulty=False),
+    "check_results_views_faulty": lambda b: _checks_of_views(b, faulty=True),
     "check_results_stored": _check_results_stored,
     "check_summary": lambda b: quality.check_summary(b.checks),
     "check_overall": lambda b: quality.check_overall(b.checks),

@@ -153,6 +153,10 @@ def write_csv(df: DataFrame, path: str, *, compression: str = "none", upper_name
     out.write.mode("errorifexists").option("header", True).option("compression", compression).csv(path)
 
 
-def append_results(df: DataFrame, path: str) -> None:
-    """Append rows (check results) to a parquet table."""
-    df.write.mode("append").parquet(path)
+def append_results(df: DataFrame, path: str, *, run: str) -> None:
+    """Add the rows of a run (check results) to a parquet table, under the run's name: a run that is repeated, after a failure or
+    by hand, replaces its rows."""
+    (
+        df.withColumn("run", F.lit(run)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy("run").parquet(path)
+    )

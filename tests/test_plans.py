@@ -12,7 +12,11 @@ from spendlens.sources.schemas import SCHEMAS, TIME_COLUMN, struct
 from spendlens.sources.telemetry import Telemetry
 
 # these write files while they are built
-BUILT_BY_JOBS = {"csv_ingest", "csv_ingest_gzip", "stream_daily_usage", "stream_daily_usage_sketched", "query_cost_analysis", "top_queries", "snapshot_job", "check_results_stored"}
+BUILT_BY_JOBS = {
+    "csv_ingest", "csv_ingest_gzip", "stream_daily_usage", "stream_daily_usage_sketched", "query_cost_analysis", "top_queries",
+    "snapshot_job", "check_results_stored", "snapshot_published",
+    "check_results_views", "check_results_views_faulty",
+}
 
 
 def plan(df):

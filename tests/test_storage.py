@@ -176,8 +176,8 @@ def test_check_results_are_appended(spark, usage):
 
     path = scratch_path(spark, "checks")
     df = rollups.with_ratios(usage([(0, "A", 1, 1, 1.0)]).withColumnRenamed("date", "usage_date"))
-    for day in (30, 31):
-        usage_files.append_results(quality.check_results(df, as_of=datetime(2025, 1, day), run_ts=datetime(2025, 1, day)), path)
+    for day in (30, 31, 31):  # the last run is repeated
+        usage_files.append_results(quality.check_results(df, as_of=datetime(2025, 1, day), run_ts=datetime(2025, 1, day)), path, run=f"2025-01-{day:02}")
     assert spark.read.parquet(path).count() == 10
 
 
