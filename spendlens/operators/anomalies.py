@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import datetime
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import services as S
@@ -86,6 +87,51 @@ def cost_anomalies(
     )
 
 
+def refresh_anomalies(
+    stored: DataFrame, daily: DataFrame, changed: DataFrame, *, as_of: datetime, lookback_days: int = 90,
+    group_cols: Sequence[str] = (), high: float = 0.50, medium: float = 0.25, calendar: bool = False,
+) -> DataFrame:
+    """Stored anomalies after some days of the rollup have come late, changed or gone, without computing the others again.
+
+    ``changed`` names these days (usage_date and the columns of a series). A changed day can only touch the day itself and the
+    14 rows (or days, with ``calendar``) after it. These are computed from themselves and the 14 rows before them, and take the
+    place of what is stored; the result equals cost_anomalies() over all days. ``as_of`` and the bounds are those that the
+    stored rows were made with.
+    """
+    series = [*group_cols, "service_type"]
+    reach = 14
+    days = daily.where(F.col("usage_date") >= F.lit(day_before(as_of, lookback_days)))
+    marks = changed.select(*series, "usage_date").distinct()
+    both = days.withColumn("_mark", F.lit(0)).unionByName(marks.withColumn("_mark", F.lit(1)), allowMissingColumns=True)
+    # a mark stands before the row of its day
+    whole = windowed(series, F.col("usage_date"), F.desc("_mark"))
+    if calendar:
+        since = F.datediff("usage_date", F.max(F.when(F.col("_mark") == 1, F.col("usage_date"))).over(whole))
+        until = F.datediff(F.min(F.when(F.col("_mark") == 1, F.col("usage_date"))).over(whole.rowsBetween(0, Window.unboundedFollowing)), "usage_date")
+        touched = since <= reach
+        # days of the two weeks before a touched day: at most two weeks before a mark, or two weeks before its last touched day
+        needed = touched | (since <= 2 * reach) | (until <= reach)
+        placed = both.withColumn("_touched", F.coalesce(touched, F.lit(False))).withColumn("_needed", F.coalesce(needed, F.lit(False)))
+    else:
+        row = F.sum(1 - F.col("_mark")).over(whole)
+        placed = both.withColumn("_row", row).withColumn(
+            "_touched", F.coalesce(F.col("_row") - F.last(F.when(F.col("_mark") == 1, F.col("_row")), True).over(whole) <= reach + 1, F.lit(False)))
+        following = windowed(series, F.col("usage_date"), F.desc("_mark")).rowsBetween(0, Window.unboundedFollowing)
+        # the first touched row from here on, as a row has it: rows up to 14 before it are read
+        next_touched = F.min(F.when(F.col("_touched") & (F.col("_mark") == 0), F.col("_row"))).over(following)
+        placed = placed.withColumn("_needed", F.coalesce(next_touched - F.col("_row") <= reach, F.lit(False)))
+    part = placed.where((F.col("_mark") == 0) & F.col("_needed"))
+    again = cost_anomalies(
+        part, as_of=as_of, lookback_days=lookback_days, group_cols=group_cols, high=high, medium=medium, calendar=calendar)
+    gone = placed.where(F.col("_touched") | (F.col("_mark") == 1)).select(*series, F.col("usage_date").alias("date")).distinct()
+
+    def same(other: DataFrame) -> Column:
+        return reduce(lambda a, b: a & b, [F.col(f"s.{c}").eqNullSafe(other[c]) for c in [*series, "date"]])
+
+    fresh = again.alias("s").join(gone, same(gone), "left_semi")
+    return stored.alias("s").join(gone, same(gone), "left_anti").unionByName(fresh)
+
+
 def cost_anomalies_current(anomalies: DataFrame, *, as_of: datetime, days: int = 7, group_cols: Sequence[str] = ()) -> DataFrame:
     level = F.col("alert_level")
     return anomalies.where((F.col("date") >= F.lit(day_before(as_of, days))) & level.isin("HIGH", "MEDIUM")).select(

@@ -907,6 +907,7 @@ FROM history a LEFT JOIN history b ON a.service_type = b.service_type AND b.date
    "total_credits credits_7d_ago credits_wow_growth_pct")
 _ALERT_DOUBLES = "total_credits credits_7d_ago credits_14d_ago credits_7d_avg wow_growth_pct wow_credits_change two_week_growth_pct deviation_from_avg_pct"
 _q("cost_anomalies", "anomalies", "SELECT * FROM anomalies", _ALERT_DOUBLES)
+_q("cost_anomalies_refreshed", "account_anomalies", "SELECT * FROM account_anomalies", _ALERT_DOUBLES)
 _q("cost_anomalies_configured", "configured_anomalies", "SELECT * FROM configured_anomalies", _ALERT_DOUBLES)
 _q("sql_over_views", "anomalies export attribution", f"""
 SELECT e.service_type, COUNT(*) AS days, SUM(e.total_credits) AS total_credits, COUNT(a.date) AS alerts, MAX(u.users) AS most_users_30d

@@ -302,6 +302,18 @@ def _anomalies_configured(b: Bed) -> DataFrame:
     )
 
 
+def _anomalies_refreshed(b: Bed) -> DataFrame:
+    """Anomalies from days of which some were missing, wrong or too many, refreshed by the days that have changed."""
+    late, wrong = F.dayofmonth("usage_date") % 11 == 3, (F.col("account") == "acct_5") & (F.dayofmonth("usage_date") == 20)
+    extra = b.account_days.where(F.dayofmonth("usage_date") == 9).withColumn("service_type", F.lit("Moved"))
+    before = b.account_days.where(~late).withColumn(
+        "total_credits", F.when(wrong, F.col("total_credits") / 2).otherwise(F.col("total_credits")).cast(b.account_days.schema["total_credits"].dataType)
+    ).unionByName(extra)
+    stored = anomalies.cost_anomalies(before, **SCOPE, group_cols=ACCOUNT)
+    changed = b.account_days.where(late | wrong).unionByName(extra)
+    return anomalies.refresh_anomalies(stored, b.account_days, changed, **SCOPE, group_cols=ACCOUNT)
+
+
 def _sql_over_views(b: Bed) -> DataFrame:
     """Alerts and users by service in SQL text: anomalies and export over the rollup, active users over the attribution."""
     views.register_views(b.spark, b.telemetry, **SCOPE, prefix="bed_")
@@ -385,6 +397,7 @@ QUERIES: dict[str, Query] = {
         b.account_days, **SCOPE, group_cols=ACCOUNT, high=0.60, medium=0.30, calendar=True
     ),
     "cost_anomalies_configured": _anomalies_configured,
+    "cost_anomalies_refreshed": _anomalies_refreshed,
     "cost_anomalies_current": lambda b: b.account_current,
     "cost_anomaly_summary": lambda b: anomalies.cost_anomaly_summary(b.account_anomalies, as_of=AS_OF, group_cols=ACCOUNT),
     "anomaly_status": lambda b: anomalies.anomaly_status(b.current),
