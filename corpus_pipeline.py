@@ -17,10 +17,16 @@ TOKENIZER = "byte_bpe_50k.json"
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the profiles know stay. Null texts and texts without a letter have none and go."""
+    """Documents in a language that the profiles know stay. Null texts and texts without a letter have none and go.
+
+    Where no document has both a text and a language, nothing is learned and all documents stay.
+    """
     prepared(spark)
+    profiles = learn(docs)
+    if not profiles.languages:
+        return docs
     lang, score = fresh(docs, "lang_pred", "score")
-    found = identify(docs, learn(docs), lang_pred=lang, score=score)
+    found = identify(docs, profiles, lang_pred=lang, score=score)
     return found.where(F.col(lang) != UNKNOWN).select(docs.columns)
 
 
