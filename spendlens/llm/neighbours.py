@@ -26,10 +26,15 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _scaled(rows: np.ndarray) -> np.ndarray:
+    """Rows by powers of two, so that the largest component of each is near 1: no square is lost or infinite, no cosine changes."""
+    return np.ldexp(rows, -np.frexp(np.abs(rows).max(axis=1, initial=0.0))[1][:, None]) if len(rows) else rows
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
-    """Vectors of equal length as rows, in double precision."""
+    """Vectors of equal length as rows, in double precision, scaled."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
+    return _scaled(flat.reshape(len(column), -1)) if len(column) else np.zeros((0, 1))
 
 
 def _top(scores: np.ndarray, k: int) -> np.ndarray:
@@ -198,7 +203,7 @@ def nearest_neighbours(
 
     Nearness is the cosine in double precision, computed on the original vectors; ties go to the smaller id. Every usable row
     is indexed (see usable()); a query is compared with the rows of its own length. Rows that share an id are one
-    query and no candidates of it. With fewer candidates, all are returned; an empty table gives an empty result. Other
+    query, with the smallest of their vectors, and no candidates of it. With fewer candidates, all are returned; an empty table gives an empty result. Other
     columns aren't read.
 
     Each length has its own router, learned from `sample_rows` rows at most, into a part for every `part_rows` rows,
@@ -212,7 +217,7 @@ def nearest_neighbours(
     for width, total in lengths.where(F.col("n") >= 2 * part_rows).orderBy("d").collect():
         same = rows.where(F.size("v") == width)
         picked = same.select("v", F.xxhash64("vec_id", "v").alias("h")).orderBy("h").limit(sample_rows + measured).collect()
-        sample = np.array([r.v for r in picked], np.float64).reshape(-1, width)
+        sample = _scaled(np.array([r.v for r in picked], np.float64).reshape(-1, width))
         asked, sample = _held_out(sample, min(measured, len(sample) // 2))
         router, parts = learn_router(sample, min(most_parts, total // part_rows))
         learned[width] = router, _routes(same, asked, router, parts, k, recall)
@@ -240,7 +245,7 @@ def nearest_neighbours(
 
     width = F.size("v").alias("width")
     indexed = written(rows.select("vec_id", "v", width, part_of("v").alias("part")), "vector-parts")
-    queries = indexed.where(F.col("vec_id") % every == 0).select("vec_id", "v").dropDuplicates(["vec_id"])
+    queries = indexed.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
     routed = written(queries.select("vec_id", "v", width, F.explode(parts_of("v")).alias("part")), "routed-queries")
 
     def blocks(table: DataFrame, name: str) -> DataFrame:

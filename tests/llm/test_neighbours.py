@@ -87,3 +87,16 @@ def test_parts_are_balanced_and_follow_the_graph():
     part = balanced_parts(unit, graph, 8)
     assert np.bincount(part, minlength=8).max() <= np.ceil(1.05 * 100)
     assert (part[graph] == part[:, None]).mean() > 0.8
+
+
+def test_tiny_and_huge_vectors(spark):
+    rows = [(0, [1e-200, 2e-200]), (50, [1e200, 1e200]), (1, [1.0, 2.0]), (2, [5e-324, 0.0]), (3, [1.7e308, -1.7e308]), (4, [3e-160, 1e160])]
+    data = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = found(nearest_neighbours(data, k=5))
+    assert [i for i, _ in got[0]] == [1, 50, 4, 2, 3] and [i for i, _ in got[50]] == [0, 1, 2, 4, 3]
+    assert abs(got[0][0][1] - 1) < 1e-12 and abs(got[50][0][1] - 0.9486832980505138) < 1e-12 and abs(got[50][4][1]) < 1e-12
+
+
+def test_rows_that_share_a_query_id_are_one_query(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [0.2, 1.0]), (2, [1.0, 0.1])]
+    assert [i for i, _ in found(nearest_neighbours(table(spark, rows)))[0]] == [1, 2]

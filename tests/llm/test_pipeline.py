@@ -7,6 +7,7 @@ from fixtures import edge_documents, edge_rows, empty_documents, near_components
 from test_decontamination import plain as plain_contamination
 from test_line_dedup import plain as plain_lines
 from test_packing import one_by_one
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__
@@ -72,3 +73,8 @@ def test_the_rest_works_without_these_modules(tmp_path):
                           env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"PYTHONPATH": "/opt/py313/lib/python3.13/site-packages"})
     assert said.returncode == 0, said.stderr
     assert said.stdout.strip().endswith("False")
+
+
+def test_documents_stay_where_no_language_is_labelled(spark):
+    docs = edge_documents(spark).withColumn("lang", F.lit(None).cast("string"))
+    assert corpus_pipeline.known_language(spark, docs, "").count() == docs.count()
