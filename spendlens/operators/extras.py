@@ -127,13 +127,10 @@ def slow_queries(query_history: DataFrame, *, pattern: str, as_of: datetime, hou
 def text_chunks(documents: DataFrame, *, id_col: str, text_col: str, size: int = 4000) -> DataFrame:
     """Slices of at most ``size`` characters covering the whole text, numbered from 1. Slices are contiguous, so their
     number is known without grouping by document."""
-    last = (F.length(text_col) - 1).cast("long")
-    with_chunks = documents.where(F.length(text_col) > 0).select(
-        id_col, text_col, F.explode(F.sequence(F.lit(0).cast("long"), F.floor(last / size))).alias("_i")
-    )
-    return with_chunks.select(
-        id_col, (F.col("_i") + 1).alias("chunk_num"),
-        F.substring(F.col(text_col), (F.col("_i") * size + 1).cast("int"), F.lit(size)).alias("text_chunk"),
+    # the text is cut in one walk; a slice taken by its place would walk from the start again
+    slices = F.regexp_extract_all(F.col(text_col), F.lit(rf"(?s).{{1,{size}}}"), F.lit(0))
+    return documents.where(F.length(text_col) > 0).select(id_col, F.posexplode(slices).alias("_i", "text_chunk")).select(
+        id_col, (F.col("_i") + 1).cast("long").alias("chunk_num"), "text_chunk"
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,14 +36,15 @@ LONGEST_QUERY_DAYS = 7
 
 def usage_by_feature(
     t: Telemetry, *, as_of: datetime, lookback_days: int = 90, repeat_functions: bool = False,
-    longest_query_days: int = LONGEST_QUERY_DAYS,
+    longest_query_days: int = LONGEST_QUERY_DAYS, older_queries: bool = False,
 ) -> DataFrame:
     """Rows a snapshot holds for each usage day, without the snapshot date.
 
     The daily rollup supplies services without finer detail; functions and fine-tuning come per model and documents per
     function and model. The query history is read back to ``longest_query_days`` before the documents; a document whose
-    query started earlier, or is unknown, counts without a user (unmatched_documents() counts these). ``repeat_functions`` also keeps the function rows of the rollup, which counts the same credits
-    twice.
+    query started earlier, or is unknown, counts without a user (unmatched_documents() counts these). With
+    ``older_queries`` the queries that are missing there are looked up in all of the older history. ``repeat_functions`` also
+    keeps the function rows of the rollup, which counts the same credits twice.
     """
     scope = {"as_of": as_of, "lookback_days": lookback_days}
     history = t.recent("query_history", as_of, lookback_days + longest_query_days).select("query_id", "user_name")
@@ -72,6 +73,10 @@ def usage_by_feature(
             F.sum(F.col("credits_per_document").cast("decimal(28,9)")).alias("document_rates"),
         )
     )
+    if older_queries:
+        missing = per_query.select("query_id").distinct().join(history, "query_id", "left_anti")
+        older = t.query_history.where(F.col("start_time") < ts(as_of - timedelta(days=lookback_days + longest_query_days)))
+        history = history.unionByName(older.select("query_id", "user_name").join(missing, "query_id", "left_semi"))
     documents = (
         per_query.join(history, "query_id", "left")
         .groupBy("service_type", "usage_date", "function_name", "model_name")

@@ -214,3 +214,24 @@ def test_reconciliation_keeps_days_of_either_side(spark):
     got = {r["usage_date"].day: r["difference"] for r in rows(both)}
     assert got == {1: 1.0, 2: -3.0, 30: -7.0}
     assert {r["source"]: r["credits"] for r in rows(extras.metering_totals(both))} == {"Monitoring": 3.0, "Metering": 12.0}
+
+
+def test_queries_older_than_the_window_are_looked_up(spark):
+    from datetime import timedelta
+
+    from spendlens.operators import snapshot
+    from spendlens.sources.schemas import SCHEMAS, struct
+    from spendlens.sources.telemetry import Telemetry
+
+    def table(name, *given):
+        schema = struct(SCHEMAS[name])
+        return spark.createDataFrame([tuple(r.get(n) for n in schema.names) for r in given], schema)
+
+    day = AS_OF - timedelta(days=1)
+    queries = [{"query_id": "new", "user_name": "ann", "start_time": day}, {"query_id": "old", "user_name": "bob", "start_time": day - timedelta(days=400)},
+               {"query_id": "other", "user_name": "cy", "start_time": day - timedelta(days=400)}]
+    documents = [{"query_id": q, "start_time": day, "function_name": "F", "page_count": 1, "document_count": 1} for q in ("new", "old", "none")]
+    t = Telemetry(**{n: table(n) for n in SCHEMAS}).replace(documents=table("documents", *documents), query_history=table("query_history", *queries))
+    users = {older: one(snapshot.usage_by_feature(t, as_of=AS_OF, older_queries=older).where("service_type = 'Document Processing'"))["daily_unique_users"]
+             for older in (False, True)}
+    assert users == {False: 1, True: 2}
