@@ -20,7 +20,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_all_queries_are_registered():
     names = __spark_entry__.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {name.split("_")[0] for name in names if name.startswith("op")}
+    assert {f"op{n}" for n in range(1, 14)} == {name.split("_")[0] for name in names if name.startswith("op")}
     assert "pipeline" in names and set(queries.ORACLE_SQL) <= set(queries.QUERIES)
 
 
