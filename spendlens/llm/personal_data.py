@@ -3,11 +3,14 @@
 Base spans come from four expressions. They are the seeds: the words before a seed make a lexical pattern for its kind.
 Patterns and the identifier-like tokens (instances) that follow them form a graph, which is scored in turns: a pattern by the
 share of known instances among all that it extracts, an instance by the patterns that extract it; instances that score high
-are known in the next turn. What follows a pattern of high confidence, and looks like its kind, is added to the spans.
+are known in the next turn. Turns go on until none is new. What follows a pattern of high confidence, and looks like its
+kind, is added to the spans.
 """
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -187,7 +190,7 @@ def _looks_like(kind: Column, token: Column) -> Column:
     )
 
 
-def _patterns(rows: DataFrame, turns: int, confidence: float, support: int) -> DataFrame:
+def _patterns(rows: DataFrame, turns: int | None, confidence: float, support: int) -> DataFrame:
     """(words, kind) of the patterns whose confidence reaches the bound."""
     # a long token travels as its hash
     instance = F.when(F.length("m.found") > 64, F.sha2(F.lower("m.found"), 256)).otherwise(F.lower("m.found")).alias("instance")
@@ -197,9 +200,10 @@ def _patterns(rows: DataFrame, turns: int, confidence: float, support: int) -> D
     edges = written(
         seeds.union(tokens).where("words <> ''").groupBy("words", "instance", "kind").agg(F.count("*").alias("n")), "pattern-graph")
     pairs = edges.groupBy("words", "instance").agg(F.sum("n").alias("n"))
-    known = edges.where("kind is not null").select("instance", "kind").distinct()
-    for _ in range(turns):
-        known = written(known, "known-instances")
+    known = written(edges.where("kind is not null").select("instance", "kind").distinct(), "known-instances")
+    count, turn = known.count(), 0
+    while True:
+        turn += 1
         # only words that stand before `support` known instances, seeds or discovered ones, can be a pattern in this turn
         lead = written(
             pairs.join(known, "instance").groupBy("words", "kind").agg(F.sum("n").alias("n"), F.count("*").alias("k"))
@@ -210,18 +214,26 @@ def _patterns(rows: DataFrame, turns: int, confidence: float, support: int) -> D
         # an instance is right unless all patterns that extract it are wrong
         reached = pairs.select("words", "instance").join(patterns, "words").groupBy("instance", "kind").agg(
             (1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-9)))))).alias("score"))
-        known = known.union(reached.where(F.col("score") >= confidence).select("instance", "kind")).distinct()
+        known = written(known.union(reached.where(F.col("score") >= confidence).select("instance", "kind")).distinct(), "known-instances")
+        before, count = count, known.count()
+        # known instances are never forgotten, so the turns end
+        if count == before:
+            break
+        if turn == turns:
+            warnings.warn(f"personal_data stopped after {turns} turns, the last of which found {count - before} new instances")
+            break
     return patterns.select("words", "kind")
 
 
 def personal_data(
-    documents: DataFrame, doc_id: str = "doc_id", text: str = "text", turns: int = 2, confidence: float = 0.7, support: int = 5,
+    documents: DataFrame, doc_id: str = "doc_id", text: str = "text", turns: int | None = None, confidence: float = 0.7, support: int = 5,
 ) -> DataFrame:
     """doc_id, base and spans of every row; both are arrays of (kind, start, end, found) in the order of kinds, then starts.
 
     Positions are code points of the whole text, ends exclusive. `spans` holds the base ones and those that patterns with at
     least `support` known instances and the given `confidence` discover; the latter overlap no base span. A pattern is the two
-    words before an identifier, as far as they lie within 4,096 code points. Tokens have at least five code points. A null or empty text has no spans; every row gives a row, repeated and null ids included.
+    words before an identifier, as far as they lie within 4,096 code points. Tokens have at least five code points. Patterns and
+    instances are scored until no instance is new; `turns` ends this earlier, with a warning if some still were. A null or empty text has no spans; every row gives a row, repeated and null ids included.
     Other columns aren't read. An empty table gives an empty result.
     """
     whole = F.coalesce(F.col(text), F.lit(""))

@@ -1,6 +1,9 @@
+import hashlib
 import random
 import re
+import warnings
 
+import pytest
 from fixtures import edge_documents, edge_rows, empty_documents, pairs
 
 from spendlens.llm.personal_data import personal_data
@@ -87,6 +90,89 @@ def test_forms_of_tokens_and_contexts(spark):
         407: [("card", long[:20])]}
 
 
+def chain(generations):
+    """Each place introduces the instances of the generation before it three times, and new ones once."""
+    rows = [(n, f"now write her email u{n % 6}@mail.example.org") for n in range(18)]
+    rows += [(100 + n, f"now write her email a{n}@intranet") for n in range(6)]
+    for g, (old, new) in enumerate(zip("abcdefgh", "bcdefghi")):
+        if g < generations:
+            rows += [(1000 * (g + 1) + n, f"seen at place{old} by {old}{n % 6}@intranet") for n in range(18)]
+            rows += [(1000 * (g + 1) + 100 + n, f"seen at place{old} by {new}{n}@intranet") for n in range(6)]
+    return rows
+
+
+def test_turns_go_on_until_no_instance_is_new(spark):
+    rows = chain(5)
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    intranet = {doc for doc, text in rows if "intranet" in text}
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", UserWarning)
+        found = personal_data(documents).where("size(spans) > size(base)")
+        assert {r.doc_id for r in found.collect()} == intranet
+    with pytest.warns(UserWarning, match="after 2 turns"):
+        fewer = personal_data(documents, turns=2).where("size(spans) > size(base)")
+    assert 0 < fewer.count() < len(intranet)
+
+
+def plain_patterns(mentions, confidence=0.7, support=5):
+    """Words and kinds that count as patterns, by loops over (words, instance, kind or None) mentions."""
+    known = {(i, k) for w, i, k in mentions if w and k}
+    while True:
+        score = {}
+        for words in {w for w, *_ in mentions if w}:
+            every = [i for w, i, _ in mentions if w == words]
+            for kind in {k for _, k in known}:
+                right = [i for i in every if (i, kind) in known]
+                if len(set(right)) >= support and len(right) / (len(every) + 1) >= confidence:
+                    score[words, kind] = len(right) / (len(every) + 1)
+        wrong = {}
+        for words, instance in {(w, i) for w, i, _ in mentions}:
+            for (w, kind), value in score.items():
+                if w == words:
+                    wrong[instance, kind] = wrong.get((instance, kind), 1.0) * max(1 - value, 1e-9)
+        more = known | {key for key, value in wrong.items() if 1 - value >= confidence}
+        if more == known:
+            return set(score)
+        known = more
+
+
+def test_discovered_spans_equal_a_plain_version(spark):
+    """Random sentences of known and unknown addresses behind few words; the query's strings are held against plain ones too."""
+    rnd = random.Random(21)
+    heads = ["write to", "mail of", "ask for", "seen near", "copy to", "not from"]
+    rows = []
+    for n in range(700):
+        head = rnd.choice(heads)
+        kind = rnd.random() < {"write to": 0.9, "mail of": 0.5, "ask for": 0.2}.get(head, 0.05)
+        name = f"u{rnd.randrange(25)}@mail.example.org" if kind else f"v{rnd.randrange(12 if head != 'not from' else 400)}@intranet"
+        rows.append((n, f"please {head} {name} now"))
+    mentions = []
+    for _, text in rows:
+        _, a, b, name, _ = text.split(" ")
+        mentions.append((f"{a} {b}", name, "email" if "example" in name else None))
+    patterns = plain_patterns(mentions)
+    assert 0 < len(patterns) < len(heads)
+    expected = {}
+    for doc, text in rows:
+        _, a, b, name, _ = text.split(" ")
+        start = text.index(name)
+        expected[doc] = [(start, start + len(name))] if "example" in name or (f"{a} {b}", "email") in patterns else []
+    found = personal_data(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert {r.doc_id: [(s.start, s.end) for s in r.spans] for r in found.collect()} == expected
+
+
+def test_query_gives_the_strings_of_plain_base_spans(spark):
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    found = op7_personal_data(spark, sf).collect()
+    assert {r.doc_id for r in found} == set(texts)
+    for r in found:
+        spans = [f"{kind}:{start}:{end}" for kind, start, end, _ in plain(texts[r.doc_id])]
+        assert r.base_sha256 == hashlib.sha256(",".join(spans).encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s.startswith(k) for s in spans) for k in ("email", "ip", "card", "phone")]
+        assert set(spans) <= set(r.spans.split(",")) | {""}
+
+
 def test_no_documents(spark):
     assert personal_data(empty_documents(spark)).count() == 0
 
