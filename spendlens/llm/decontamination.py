@@ -118,12 +118,12 @@ def decontaminate(
     ids are one item. An empty table or benchmark gives no hits. Other columns pass through; one named as `out` is
     replaced. Null item ids are named `null`.
 
-    Items are broadcast in blocks of about `block_bytes` (each holds one item at least); a benchmark of one block is scanned
+    Items are broadcast in blocks of about `block_bytes` (each holds one item at least, repeated rows once); a benchmark of one block is scanned
     for once, a larger one by one automaton after the other, and the hits are merged.
     """
     whole = benchmark.select(
         F.coalesce(F.col(item_id).cast("string"), F.lit("null")).alias("item"), F.coalesce(F.col(item_text), F.lit("")).alias("text")
-    )
+    ).distinct()
     size = whole.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     blocks = max(1, ceil(size / block_bytes))
     part = F.pmod(F.xxhash64("item", "text"), F.lit(blocks))
