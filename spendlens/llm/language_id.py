@@ -153,16 +153,20 @@ def learn(
 ) -> Profiles:
     """Prototypes from the rows with a text and a language.
 
-    `sample_rows` bounds what is learned from: all rows if there are no more, else about that many, drawn at random in each
-    language. Languages with few rows keep all of theirs; the others get equally many, one at least. Each task sends one
-    vector per language; the languages have to be few enough for the driver to hold a vector of each.
+    Equal texts of a language count once, so that copies don't outweigh the rest. `sample_rows` bounds the texts that are
+    learned from: all if there are no more, else about that many, drawn in each language by a hash of the text; the same rows
+    in other files give the same prototypes. Languages with few texts keep all of theirs; the others get equally many, one at
+    least. Each task sends one vector per language; the languages have to be few enough for the driver to hold a vector of each.
     """
-    rows = labelled.select(text, lang).where(F.col(text).isNotNull() & F.col(lang).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(F.col(lang)).agg(F.count("*")).collect()}
+    rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
+    distinct = rows.select("lang", F.xxhash64("text").alias("h")).distinct()
+    counts = {r.lang: r.n for r in distinct.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if sum(counts.values()) > sample_rows:
         most = rows_of_each(list(counts.values()), sample_rows)
         shares = F.create_map(*(F.lit(x) for name, count in counts.items() for x in (name, min(1.0, most / count))))
-        rows = rows.where(F.rand(1) < shares[F.col(lang)])
+        drawn = F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1 << 30)) / (1 << 30)
+        rows = rows.where(drawn < shares[F.col("lang")])
+    rows = rows.distinct()
 
     def bundled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
