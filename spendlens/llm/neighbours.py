@@ -9,7 +9,7 @@ on a bounded number of vectors that the classifier has not learned from.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil
+from math import ceil, isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from .storage import written
 
 BLOCK_ROWS = 4096
+_LEARNED_ROWS = 32  # sample rows that a part is learned from, at least
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -145,7 +146,7 @@ class _OnePart:
 def learn_router(sample: np.ndarray, parts: int, k: int = 10):
     """Router of `parts` parts, learned from distinct sample vectors."""
     unit = np.unique(_unit(sample), axis=0) if len(sample) else sample
-    parts = min(parts, len(unit) // 32)
+    parts = min(parts, len(unit) // _LEARNED_ROWS)
     if parts < 2:
         return _OnePart(), 1
     graph = neighbour_graph(unit, k)
@@ -206,20 +207,21 @@ def nearest_neighbours(
     query, with the smallest of their vectors, and no candidates of it. With fewer candidates, all are returned; an empty table gives an empty result. Other
     columns aren't read.
 
-    Each length has its own router, learned from `sample_rows` rows at most, into a part for every `part_rows` rows,
-    `most_parts` at most; a length with too few rows for two parts is one part, which is searched whole. A query goes to as
+    Each length has its own router, learned from `sample_rows` rows at most, into a part for every `part_rows` rows or, if that
+    gives more, half the square root of the number of rows, `most_parts` at most and no more than a 32nd of the sample; a
+    length with fewer than 64 rows to learn from is one part, which is searched whole. A query goes to as
     many parts as `measured` other rows, kept out of what is learned from, need for the given recall against brute force. Parts
     are compared in blocks of about 4,096 rows and queries, so a part that holds many copies is spread over tasks.
     """
     rows = usable(vectors, vec_id, embedding)
     learned = {}
     lengths = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"))
-    for width, total in lengths.where(F.col("n") >= 2 * part_rows).orderBy("d").collect():
+    for width, total in lengths.where(F.col("n") >= 2 * _LEARNED_ROWS).orderBy("d").collect():
         same = rows.where(F.size("v") == width)
         picked = same.select("v", F.xxhash64("vec_id", "v").alias("h")).orderBy("h").limit(sample_rows + measured).collect()
         sample = _scaled(np.array([r.v for r in picked], np.float64).reshape(-1, width))
-        asked, sample = _held_out(sample, min(measured, len(sample) // 2))
-        router, parts = learn_router(sample, min(most_parts, total // part_rows))
+        asked, sample = _held_out(sample, min(measured, len(sample) // 4))
+        router, parts = learn_router(sample, min(most_parts, max(total // part_rows, isqrt(total) // 2)))
         learned[width] = router, _routes(same, asked, router, parts, k, recall)
     table = rows.sparkSession.sparkContext.broadcast(learned)
 
