@@ -14,20 +14,24 @@ from spendlens.llm.packing import pack
 from spendlens.llm.storage import fresh, prepared, written
 
 TOKENIZER = "byte_bpe_50k.json"
+#: cosine that a document has to exceed with the prototype of some language
+LEAST_SCORE = 0.0
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the profiles know stay. Null texts and texts without a letter have none and go.
+    """Documents in a language that the profiles know stay. Null texts and texts without a letter have none and go, and so do
+    texts that are like no language's prototype (see LEAST_SCORE).
 
-    Where no document has both a text and a language, nothing is learned and all documents stay.
+    Where no document has both a text and a language, or all languages have the same texts, nothing is learned and all
+    documents stay.
     """
     prepared(spark)
     profiles = learn(docs)
-    if not profiles.languages:
+    if not profiles.prototypes.any():
         return docs
     lang, score = fresh(docs, "lang_pred", "score")
     found = identify(docs, profiles, lang_pred=lang, score=score)
-    return found.where(F.col(lang) != UNKNOWN).select(docs.columns)
+    return found.where((F.col(lang) != UNKNOWN) & (F.col(score) > LEAST_SCORE)).select(docs.columns)
 
 
 def unshared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
