@@ -78,3 +78,17 @@ def test_the_rest_works_without_these_modules(tmp_path):
 def test_documents_stay_where_no_language_is_labelled(spark):
     docs = edge_documents(spark).withColumn("lang", F.lit(None).cast("string"))
     assert corpus_pipeline.known_language(spark, docs, "").count() == docs.count()
+
+
+def test_documents_like_no_language_go(spark):
+    rows = [(n, "the cat and the dog", "en") for n in range(5)] + [(10, "9 8 7", "en"), (11, "ж 12 34", None), (12, "a dog and a cat", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in corpus_pipeline.known_language(spark, docs, "").collect()}
+    profiles = corpus_pipeline.learn(docs)
+    scores = dict(zip((10, 11, 12), profiles.predict(["9 8 7", "ж 12 34", "a dog and a cat"])[1]))
+    assert kept == {0, 1, 2, 3, 4} | {doc for doc, score in scores.items() if score > 0} and 12 in kept and 10 not in kept
+
+
+def test_documents_stay_where_languages_have_the_same_texts(spark):
+    docs = spark.createDataFrame([(n, "the same text", lang) for n, lang in enumerate(["en", "fr"])], "doc_id long, text string, lang string")
+    assert corpus_pipeline.known_language(spark, docs, "").count() == 2
