@@ -1,8 +1,8 @@
 """Dictionary-compressed web archives (.warc.zst): one Zstandard frame per record, the dictionary in a leading skippable frame.
 
-Each task writes an archive of its own: it trains the dictionary on its first records (`TRAINING_BYTES` at most), writes it in
-a skippable frame, and compresses every record alone with it. A record can be read from its frame and the dictionary; a whole
-archive reads as one stream of records.
+The dictionary is trained on different records drawn by a hash from all that are archived, about `TRAINING_BYTES` of them. Each
+task writes an archive of its own: the dictionary in a skippable frame, then every record compressed alone with it. A record can
+be read from its frame and the dictionary; a whole archive reads as one stream of records.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import struct
 import uuid
 from collections.abc import Iterator
 from datetime import datetime, timezone
+from itertools import chain
 
 import pyarrow as pa
 from pyarrow import fs
@@ -29,6 +30,7 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 
 TRAINING_BYTES = 4 << 20
 DICTIONARY_BYTES = 64 << 10
+RECORD_HEAD_BYTES = 600  # about what a record has beside its payload
 RECORD_URI = "urn:spendlens:page:"
 
 _MANIFEST = pa.schema([("file", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("dictionary_bytes", pa.int64())])
@@ -49,18 +51,38 @@ def _record(kind: str, page_id, url: str, payload: bytes, refers_to, date: str)
     return ("\r\n".join(lines) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
 
 
-def _dictionary(records: list[bytes]):
-    """Dictionary trained on some records; None if there are too few of them."""
-    import zstandard
+def _dictionary(rows: DataFrame, stamp: str) -> bytes | None:
+    """Dictionary trained on records of rows (page_id, url, html); None if there are too few of them.
 
-    try:
-        return zstandard.train_dictionary(min(DICTIONARY_BYTES, max(1024, sum(map(len, records)) // 8)), records)
-    except zstandard.ZstdError:
-        return None
+    Equal rows count once, so a page that is repeated often neither fills the sample nor the task that trains.
+    """
+    size = rows.agg(F.sum(F.octet_length("html") + RECORD_HEAD_BYTES)).first()[0] or 0
+    steps = 1 << 30
+    drawn = F.xxhash64("page_id", "url", "html")
+    share = min(steps, steps * TRAINING_BYTES // max(1, size))
+    picked = rows.withColumn("drawn", drawn).where(F.pmod("drawn", F.lit(steps)) < share).dropDuplicates(["drawn"])
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        records, held = [], 0
+        for batch in batches:
+            for page, url, html in zip(*(c.to_pylist() for c in batch.columns)):
+                if held < 4 * TRAINING_BYTES:  # the draw gives about a fourth of it
+                    records.append(_record("response", page, url, html.encode(), None, stamp))
+                    held += len(records[-1])
+        try:
+            found = zstandard.train_dictionary(min(DICTIONARY_BYTES, max(1024, held // 8)), records).as_bytes()
+        except zstandard.ZstdError:
+            return
+        yield pa.RecordBatch.from_arrays([pa.array([found], pa.binary())], names=["dictionary"])
+
+    found = picked.select("page_id", "url", "html").repartition(1).mapInArrow(train, "dictionary binary").first()
+    return bytes(found.dictionary) if found else None
 
 
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = 1000, date: datetime | None = None) -> DataFrame:
-    """Writes a record per row of pages(page_id, url, html) into archives in `folder`; returns a manifest row per archive.
+    """Writes a record per row of pages(page_id long, url, html) into archives in `folder`; returns a manifest row per archive.
 
     Of records with equal payloads of at least `min_bytes`, that with the largest page_id is the response and others revisit
     it. A null html is an empty payload, a null page_id is below all others (and rows whose equals all have null ids are
@@ -78,6 +100,8 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 1000, date: d
     marked = rows.join(shared, "same", "left").select(
         "page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("response")), F.col("response")).alias("refers_to"))
 
+    dictionary = _dictionary(rows.drop("same"), stamp)
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
@@ -86,29 +110,23 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 1000, date: d
                 for page, url, html, refers in zip(*(c.to_pylist() for c in batch.columns)):
                     yield _record("response" if refers is None else "revisit", page, url, html.encode(), refers, stamp)
 
-        source, first, size = records(), [], 0
-        for record in source:
-            first.append(record)
-            size += len(record)
-            if size >= TRAINING_BYTES:
-                break
-        if not first:
+        source = records()
+        first = next(source, None)
+        if first is None:
             return
-        dictionary = _dictionary(first)
-        packer = zstandard.ZstdCompressor(level=3, dict_data=dictionary, write_checksum=True)
+        words = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+        packer = zstandard.ZstdCompressor(level=3, dict_data=words, write_checksum=True)
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
         name, count, total, own = f"{uuid.uuid4().hex}.warc.zst", 0, 0, 0
         with store.open_output_stream(f"{root}/{name}", compression=None) as sink:
             if dictionary:
-                raw = dictionary.as_bytes()
-                own = len(raw)
-                total += sink.write(struct.pack("<II", DICTIONARY_FRAME, own) + raw) or own + 8
-            for part in (first, source):
-                for record in part:
-                    frame = packer.compress(record)
-                    sink.write(frame)
-                    count, total = count + 1, total + len(frame)
+                own = len(dictionary)
+                total += sink.write(struct.pack("<II", DICTIONARY_FRAME, own) + dictionary) or own + 8
+            for record in chain([first], source):
+                frame = packer.compress(record)
+                sink.write(frame)
+                count, total = count + 1, total + len(frame)
         yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((name, count, total, own), _MANIFEST)], schema=_MANIFEST)
 
     return written(marked.mapInArrow(write, "file string, records long, bytes long, dictionary_bytes long"), "warc-manifest")

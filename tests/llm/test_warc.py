@@ -60,6 +60,21 @@ def test_dictionary_leads_and_records_stand_alone(spark, tmp_path):
     assert len(list(archive_records(io.BytesIO(data)))) == 400
 
 
+def test_dictionary_is_learned_from_all_records(spark, tmp_path, monkeypatch):
+    """Only the second half of the one task's records has this passage; the copies of a page don't fill the sample."""
+    from spendlens.llm import warc
+
+    monkeypatch.setattr(warc, "TRAINING_BYTES", 40_000)
+    rows = [(None, None, "<html>" + "copied " * 200) for _ in range(500)]
+    rows += [(n, f"http://example.org/{n}", f"<p>{n}</p>" * 60 + ("late passage of the archive" * 3 if n >= 200 else "")) for n in range(400)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    manifest = write_archives(pages, str(tmp_path))
+    (file,) = [f for f in os.listdir(tmp_path) if f.endswith(".warc.zst")]
+    data = (tmp_path / file).read_bytes()
+    assert b"late passage of the archive" in data[8 : 8 + struct.unpack("<II", data[:8])[1]]
+    assert read_archives(manifest, str(tmp_path)).count() == 900
+
+
 def test_no_pages(spark, tmp_path):
     manifest = write_archives(spark.createDataFrame([], SCHEMA), str(tmp_path))
     assert read_archives(manifest, str(tmp_path)).count() == 0
