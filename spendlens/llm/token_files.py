@@ -82,9 +82,12 @@ class _Shard:
 
 def write_tokens(
     documents: DataFrame, folder: str, path: str, length: int = 2048, doc_id: str = "doc_id", text: str = "text",
+    shard_bytes: int = 512 << 20,
 ) -> DataFrame:
     """Encodes every whole text, appends the end id 0 and writes shards in ascending order of the id; returns the manifest.
 
+    A shard takes about `shard_bytes` of text at most, rows with equal ids and texts are split as others are.
+
     A null or empty text has the end id alone. Null ids come first; rows with equal ids are ordered by a hash of their texts, and each
     is a document of its own. Other columns aren't read. An empty table has a manifest without documents.
     """
@@ -114,10 +117,16 @@ def write_tokens(
                 {"shard": number, "file": name, "n_documents": shard.n_documents, "n_ids": shard.n_ids}
             ], pa.schema([("shard", pa.int32()), ("file", pa.string()), ("n_documents", pa.int64()), ("n_ids", pa.int64())]))
 
-    # a hash of the text parts rows with equal ids: the sample for the ranges, which goes to the driver, has no texts
-    tie = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    ordered = documents.select(F.col(doc_id), F.col(text), tie.alias("tie")).toDF("id", "text", "tie")
-    ordered = ordered.repartitionByRange("id", "tie").sortWithinPartitions("id", "tie").drop("tie")
+    # a hash of the text parts rows with equal ids, a random number those with equal texts as well: the sample for the ranges,
+    # which goes to the driver, has no texts
+    whole = F.coalesce(F.col(text), F.lit(""))
+    rows = documents.select(F.col(doc_id), F.col(text), F.xxhash64(whole), F.rand(1)).toDF("id", "text", "tie", "copy")
+    order = ["id", "tie", "copy"]
+    size = documents.agg(F.sum(F.octet_length(whole))).first()[0] or 0
+    shards = size // shard_bytes
+    # the session's number of ranges, unless shards would become larger than wanted
+    ranges = [shards] if shards > int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")) else []
+    ordered = rows.repartitionByRange(*ranges, *order).sortWithinPartitions(*order).drop("tie", "copy")
     return written(ordered.mapInArrow(write, _MANIFEST), "token-manifest")
 
 

@@ -57,6 +57,17 @@ def test_files_of_an_attempt_that_failed_are_ignored(spark, tmp_path):
     assert [r[0] for r in pairs(read_documents(manifest, str(tmp_path), "long"), "doc_id")] == [1, 2]
 
 
+def test_equal_rows_are_split_into_shards(spark, tmp_path):
+    rows = [(7, "the same text again " * 50)] * 400 + [(n, f"text {n}") for n in range(20)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    manifest = write_tokens(documents, str(tmp_path), PATH, shard_bytes=10_000)
+    shards = [r.n_documents for r in manifest.collect()]
+    assert sum(shards) == 420 and len(shards) > 8 and max(shards) < 100
+    found = read_documents(manifest, str(tmp_path), "long").orderBy("start").collect()
+    ends = [r.start + r.n_tokens for r in found]
+    assert [r.start for r in found] == [0, *ends[:-1]] and [r.doc_id for r in found] == sorted(d for d, _ in rows)
+
+
 def test_no_documents(spark, tmp_path):
     manifest = write_tokens(empty_documents(spark), str(tmp_path), PATH)
     assert read_documents(manifest, str(tmp_path), "long").count() == 0
