@@ -8,6 +8,7 @@ on a bounded number of vectors that the classifier has not learned from.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from math import ceil, isqrt
 
@@ -132,16 +133,58 @@ class Router:
         x = np.exp(x - x.max(axis=1, keepdims=True))
         return x / x.sum(axis=1, keepdims=True)
 
+    def _outer(self, unit: np.ndarray) -> np.ndarray:
+        inner = np.maximum(unit * self.scale @ self.weights[0] + self.terms[0], 0)
+        return inner @ self.weights[1] + self.terms[1]
+
     def ranked(self, unit: np.ndarray) -> np.ndarray:
         """Parts of each vector, most probable first."""
-        inner = np.maximum(unit * self.scale @ self.weights[0] + self.terms[0], 0)
-        return np.argsort(-(inner @ self.weights[1] + self.terms[1]), axis=1, kind="stable")
+        return np.argsort(-self._outer(unit), axis=1, kind="stable")
+
+    def own(self, unit: np.ndarray) -> np.ndarray:
+        """The part that each vector goes to."""
+        return self.ranked(unit)[:, 0]
+
+    def logs(self, unit: np.ndarray) -> np.ndarray:
+        """Logarithms of the parts' probabilities."""
+        return np.log(np.maximum(self._softmax(self._outer(unit)), 1e-30))
 
 
 class _OnePart:
     def ranked(self, unit: np.ndarray) -> np.ndarray:
         return np.zeros((len(unit), 1), np.int64)
 
+    def own(self, unit: np.ndarray) -> np.ndarray:
+        return np.zeros(len(unit), np.int64)
+
+    def logs(self, unit: np.ndarray) -> np.ndarray:
+        return np.zeros((len(unit), 1))
+
+
+class _Tree:
+    """Parts of parts: a router for the parts and one for each part's own parts, numbered one after the other."""
+
+    def __init__(self, top, below: list):
+        self.top, self.routers = top, [router for router, _ in below]
+        self.first = np.cumsum([0, *(parts for _, parts in below)])
+        self.parts = int(self.first[-1])
+
+    def ranked(self, unit: np.ndarray) -> np.ndarray:
+        out = np.empty((len(unit), self.parts), np.int32)
+        for at in range(0, len(unit), 64):  # there may be many parts
+            some = unit[at : at + 64]
+            logs = self.top.logs(some)
+            every = [logs[:, [n]] + router.logs(some) for n, router in enumerate(self.routers)]
+            out[at : at + 64] = np.argsort(-np.concatenate(every, axis=1), axis=1, kind="stable")
+        return out
+
+    def own(self, unit: np.ndarray) -> np.ndarray:
+        upper = self.top.own(unit)
+        out = np.empty(len(unit), np.int64)
+        for n in np.unique(upper):
+            out[upper == n] = self.first[n] + self.routers[n].own(unit[upper == n])
+        return out
+
 
 def learn_router(sample: np.ndarray, parts: int, k: int = 10):
     """Router of `parts` parts, learned from distinct sample vectors."""
@@ -157,6 +200,35 @@ def learn_router(sample: np.ndarray, parts: int, k: int = 10):
     return Router(unit, targets / targets.sum(axis=1, keepdims=True)), parts
 
 
+def _learn_tree(rows: DataFrame, sample: np.ndarray, above: int, wanted: int, sample_rows: int):
+    """A tree of about `wanted` parts. The upper router is learned from the sample, each lower one in a task of its own from about
+    `sample_rows` different rows of its part, drawn by a hash out of those whose hash is `above` that of the rows kept out."""
+    top, parts = learn_router(sample, ceil(wanted**0.5))
+    table = rows.sparkSession.sparkContext.broadcast(top)
+
+    @F.arrow_udf("int")
+    def part_of(v: pa.Array) -> pa.Array:
+        return pa.array(table.value.own(_unit(_matrix(v))), pa.int32())
+
+    placed = rows.select("v", F.xxhash64("vec_id", "v").alias("h")).where(F.col("h") > above).withColumn("part", part_of("v"))
+    counts = {r.part: r["count"] for r in placed.groupBy("part").count().collect()}
+    steps = 1 << 30
+    share = F.array(*(F.lit(min(steps, steps * sample_rows // max(1, counts.get(n, 0)))) for n in range(parts)))
+    picked = placed.where(F.pmod("h", F.lit(steps)) < F.get(share, F.col("part"))).dropDuplicates(["h"])
+
+    def learn(some: pa.Table) -> pa.Table:
+        router, count = learn_router(_matrix(some["v"].combine_chunks()), ceil(wanted / parts))
+        return pa.table({
+            "part": pa.array([some["part"][0].as_py()], pa.int32()), "router": pa.array([pickle.dumps(router)], pa.binary()),
+            "parts": pa.array([count], pa.int32()),
+        })
+
+    learned = picked.select("part", "v").groupBy("part").applyInArrow(learn, "part int, router binary, parts int").collect()
+    below = {r.part: (pickle.loads(r.router), r.parts) for r in learned}
+    tree = _Tree(top, [below.get(n, (_OnePart(), 1)) for n in range(parts)])
+    return tree, tree.parts
+
+
 def _nearest(queries: np.ndarray, query_ids: list, rows: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple]:
     """(query_id, vec_id, score) of each query's k nearest rows other than itself; ties go to the smaller id."""
     row_norms = np.sqrt((rows * rows).sum(axis=1))
@@ -208,7 +280,8 @@ def nearest_neighbours(
     columns aren't read.
 
     Each length has its own router, learned from `sample_rows` rows at most, into a part for every `part_rows` rows or, if that
-    gives more, half the square root of the number of rows, `most_parts` at most and no more than a 32nd of the sample; a
+    gives more, half the square root of the number of rows, and no more than a 32nd of the sample. Where that is more than
+    `most_parts`, parts have parts of their own, learned from as many rows of theirs: up to the square of `most_parts`. A
     length with fewer than 64 rows to learn from is one part, which is searched whole. A query goes to as
     many parts as `measured` other rows, kept out of what is learned from, need for the given recall against brute force. Parts
     are compared in blocks of about 4,096 rows and queries, so a part that holds many copies is spread over tasks.
@@ -220,45 +293,52 @@ def nearest_neighbours(
         same = rows.where(F.size("v") == width)
         picked = same.select("v", F.xxhash64("vec_id", "v").alias("h")).orderBy("h").limit(sample_rows + measured).collect()
         sample = _scaled(np.array([r.v for r in picked], np.float64).reshape(-1, width))
-        asked, sample = _held_out(sample, min(measured, len(sample) // 4))
-        router, parts = learn_router(sample, min(most_parts, max(total // part_rows, isqrt(total) // 2)))
+        apart = min(measured, len(sample) // 4)
+        asked, sample = _held_out(sample, apart)
+        wanted = max(total // part_rows, isqrt(total) // 2)
+        if wanted <= most_parts:
+            router, parts = learn_router(sample, wanted)
+        else:
+            router, parts = _learn_tree(same, sample, picked[apart - 1].h, min(wanted, most_parts**2), sample_rows)
         learned[width] = router, _routes(same, asked, router, parts, k, recall)
     table = rows.sparkSession.sparkContext.broadcast(learned)
 
-    def ranked(v: pa.Array) -> list[np.ndarray]:
-        """Of each vector, the parts of its length that it is looked for in, most probable first."""
+    def routed(v: pa.Array, own: bool) -> list[np.ndarray]:
+        """Of each vector, its own part, or the parts of its length that it is looked for in, most probable first."""
         out: list[np.ndarray] = [np.zeros(1, np.int32)] * len(v)
         sizes = pc.list_value_length(v).to_numpy(zero_copy_only=False)
         for width in np.unique(sizes):
             if int(width) in table.value:
                 router, routes = table.value[int(width)]
                 at = np.flatnonzero(sizes == width)
-                for i, found in zip(at, router.ranked(_unit(_matrix(v.take(pa.array(at)))))[:, :routes].astype(np.int32)):
-                    out[i] = found
+                unit = _unit(_matrix(v.take(pa.array(at))))
+                found = router.own(unit)[:, None] if own else router.ranked(unit)[:, :routes]
+                for i, parts in zip(at, found.astype(np.int32)):
+                    out[i] = parts
         return out
 
     @F.arrow_udf("int")
     def part_of(v: pa.Array) -> pa.Array:
-        return pa.array([found[0] for found in ranked(v)], pa.int32())
+        return pa.array([found[0] for found in routed(v, True)], pa.int32())
 
     @F.arrow_udf("array<int>")
     def parts_of(v: pa.Array) -> pa.Array:
-        return pa.array(ranked(v), pa.list_(pa.int32()))
+        return pa.array(routed(v, False), pa.list_(pa.int32()))
 
     width = F.size("v").alias("width")
     indexed = written(rows.select("vec_id", "v", width, part_of("v").alias("part")), "vector-parts")
     queries = indexed.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
-    routed = written(queries.select("vec_id", "v", width, F.explode(parts_of("v")).alias("part")), "routed-queries")
+    asked_in = written(queries.select("vec_id", "v", width, F.explode(parts_of("v")).alias("part")), "routed-queries")
 
     def blocks(table: DataFrame, name: str) -> DataFrame:
         return table.groupBy("width", "part").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias(name))
 
-    # at most `most_parts` rows for each length
-    grid = F.broadcast(blocks(indexed, "row_blocks").join(blocks(routed, "query_blocks"), ["width", "part"]).coalesce(1))
+    # a row for each part: small as a rule, and then broadcast, as its size is known once it is written
+    grid = written(blocks(indexed, "row_blocks").join(blocks(asked_in, "query_blocks"), ["width", "part"]).coalesce(1), "part-blocks")
     own = F.xxhash64("vec_id")
     left = indexed.join(grid, ["width", "part"]).select(
         "width", "part", F.pmod(own, "row_blocks").cast("int").alias("r"), F.explode(F.expr("sequence(0, query_blocks - 1)")).alias("q"), "vec_id", "v")
-    right = routed.join(grid, ["width", "part"]).select(
+    right = asked_in.join(grid, ["width", "part"]).select(
         "width", "part", F.explode(F.expr("sequence(0, row_blocks - 1)")).alias("r"), F.pmod(own, "query_blocks").cast("int").alias("q"), "vec_id", "v")
 
     def compare(some: pa.Table, asked: pa.Table) -> pa.Table:
@@ -285,11 +365,11 @@ def _routes(rows: DataFrame, queries: np.ndarray, router, parts: int, k: int, re
     if parts < 2 or not len(queries):
         return parts
     table = rows.sparkSession.sparkContext.broadcast((queries, router))
-    schema = pa.schema([("query_id", pa.int64()), ("score", pa.float64()), ("place", pa.int64())])
+    schema = pa.schema([("query_id", pa.int64()), ("score", pa.float64()), ("place", pa.int32())])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked, own = table.value
-        ranks = np.argsort(own.ranked(_unit(asked)), axis=1)  # place of each part in a query's ranking
+        ranks = np.argsort(own.ranked(_unit(asked)), axis=1).astype(np.int32)  # place of each part in a query's ranking
         kept: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             unit = _unit(_matrix(batch.column(0)))
@@ -298,7 +378,7 @@ def _routes(rows: DataFrame, queries: np.ndarray, router, parts: int, k: int, re
             scores = _unit(asked) @ unit.T
             scores[scores > 1 - 1e-12] = -2  # itself and copies, which share its part anyway
             at = _top(scores, k)
-            kept.append((np.take_along_axis(scores, at, 1), np.take_along_axis(ranks, own.ranked(unit)[:, 0][at], 1)))
+            kept.append((np.take_along_axis(scores, at, 1), np.take_along_axis(ranks, own.own(unit)[at], 1)))
             if len(kept) > 1:
                 scores, places = (np.concatenate(x, axis=1) for x in zip(*kept))
                 at = _top(scores, k)
@@ -307,7 +387,7 @@ def _routes(rows: DataFrame, queries: np.ndarray, router, parts: int, k: int, re
             names = np.repeat(np.arange(len(asked)), scores.shape[1])
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (names, scores.reshape(-1), places.reshape(-1))], schema=schema)
 
-    found = rows.select("v").mapInArrow(compare, "query_id long, score double, place long")
+    found = rows.select("v").mapInArrow(compare, "query_id long, score double, place int")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "place")
     best = found.withColumn("rank", F.row_number().over(order)).where((F.col("rank") <= k) & (F.col("score") > -2))
     places = sorted(r.place for r in best.select("place").collect())

@@ -55,6 +55,39 @@ def test_learned_parts_keep_the_recall_with_few_parts(spark):
     assert hits >= 0.9 * 5 * len(expected)
 
 
+def test_parts_have_parts_where_one_router_has_too_few(spark, monkeypatch):
+    """4 parts a router, 16 in all; a third of the rows are copies, some with one id."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(16, 16)) * 3
+    rows = [(n, (centres[n % 16] + rng.normal(size=16)).tolist()) for n in range(3000)]
+    rows += [(n if n < 6000 else 6000, [1] * 16) for n in range(5001, 6501)]
+    trees, asked = [], []
+    routes = neighbours._routes
+    monkeypatch.setattr(
+        neighbours, "_routes", lambda rows, some, tree, *a: trees.append(tree) or asked.append(routes(rows, some, tree, *a)) or asked[-1])
+    got = found(nearest_neighbours(table(spark, rows), part_rows=100, most_parts=4, every=40))
+    expected = brute(rows, 40, 5)
+    hits = sum(len({s for _, s in got[q]} & {s for _, s in expected[q]}) for q in expected if q < 3000)
+    assert hits >= 0.9 * sum(len({s for _, s in expected[q]}) for q in expected if q < 3000)
+    assert got.keys() == expected.keys() and all(len(v) == 5 for v in got.values())
+    (tree,) = trees
+    assert isinstance(tree, neighbours._Tree) and 8 <= tree.parts <= 16 and asked[0] < tree.parts
+
+
+def test_tree_ranks_by_both_routers():
+    rng = np.random.default_rng(8)
+    unit = rng.normal(size=(600, 8))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    top, parts = neighbours.learn_router(unit, 3)
+    below = [neighbours.learn_router(unit[top.own(unit) == n], 2) for n in range(parts)]
+    tree = neighbours._Tree(top, [*below[:-1], (neighbours._OnePart(), 1)])
+    ranked, own = tree.ranked(unit), tree.own(unit)
+    assert ranked.shape == (600, tree.parts) and (np.sort(ranked, axis=1) == np.arange(tree.parts)).all()
+    assert set(own) <= set(range(tree.parts)) and (ranked[:, 0] == own).mean() > 0.7
+    upper = np.searchsorted(tree.first, own, side="right") - 1
+    assert (upper == top.own(unit)).all()
+
+
 def test_recall_is_measured_on_rows_kept_out(spark, monkeypatch):
     rng = np.random.default_rng(5)
     seen = []
