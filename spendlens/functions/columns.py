@@ -64,16 +64,16 @@ def pct_change(current: ColumnLike, previous: ColumnLike) -> Column:
     return F.when(col(previous) != 0, (dbl(current) - dbl(previous)) / dbl(previous) * 100)
 
 
-def text_to_long(c: ColumnLike) -> Column:
-    """Number held as text -> BIGINT, NULL where it does not parse; fractions are rounded.
+def text_to_number(c: ColumnLike) -> Column:
+    """Number held as text -> DECIMAL(38,0), NULL where it does not parse or has more digits; fractions are rounded.
 
     A failed cast costs an exception per row inside the engine, so text is only cast after a look at its form; plain
-    integers avoid DECIMAL.
+    integers of up to 18 digits are read as such.
     """
     c = col(c)
     number = c.rlike(r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$")
-    return F.when(c.rlike(r"^[+-]?[0-9]{1,18}$"), c.try_cast("long")).when(
-        number, c.try_cast("decimal(38,0)").try_cast("long")
+    return F.when(c.rlike(r"^[+-]?[0-9]{1,18}$"), c.try_cast("long").cast("decimal(38,0)")).when(
+        number, c.try_cast("decimal(38,0)")
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import services as S
-from ..functions.columns import per_million0, ratio0, text_to_long
+from ..functions.columns import per_million0, ratio0, text_to_number
 from ..sources.telemetry import Telemetry
 
 
@@ -27,7 +27,7 @@ def search_detail(t: Telemetry, *, as_of: datetime, lookback_days: int = 90) ->
     return t.recent("search_daily", as_of, lookback_days).select(
         F.lit(S.SEARCH).alias("service_type"), _day("usage_date"),
         "database_name", "schema_name", "service_name", "service_id", "consumption_type", "credits", "model_name",
-        text_to_long("tokens").alias("tokens"),
+        text_to_number("tokens").alias("tokens"),
     )
 
 
@@ -43,14 +43,14 @@ def functions_detail(t: Telemetry, *, as_of: datetime, lookback_days: int = 90)
         F.lit(S.FUNCTIONS).alias("service_type"), _day("usage_time"),
         F.col("usage_time").alias("start_time"),
         (F.col("usage_time") + F.expr("INTERVAL 1 HOUR")).alias("end_time"),
-        "function_name", "model_name", text_to_long("warehouse_id").alias("warehouse_id"), "token_credits", "tokens",
+        "function_name", "model_name", text_to_number("warehouse_id").alias("warehouse_id"), "token_credits", "tokens",
     )
 
 
 def functions_query_detail(t: Telemetry, *, as_of: datetime, lookback_days: int = 90) -> DataFrame:
     return t.recent("functions", as_of, lookback_days).select(
         F.lit(S.FUNCTIONS_QUERY).alias("service_type"), "query_id",
-        text_to_long("warehouse_id").alias("warehouse_id"), "model_name", "function_name", "tokens", "token_credits",
+        text_to_number("warehouse_id").alias("warehouse_id"), "model_name", "function_name", "tokens", "token_credits",
         "tokens_granular", "token_credits_granular",
         per_million0("token_credits", "tokens").alias("cost_per_million_tokens"),
     )

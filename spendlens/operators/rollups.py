@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import services as S
 from ..functions.columns import (
-    long_lit, mean, per_million0, per_million_null, ratio0, ratio_null, round_cents, text_to_long,
+    long_lit, mean, per_million0, per_million_null, ratio0, ratio_null, round_cents, text_to_number,
 )
 from ..functions.ranking import exact_quantiles, rank_rows
 from ..sources.schemas import TOTAL
@@ -18,7 +18,7 @@ from . import details
 
 
 def _function_calls(t: Telemetry, as_of: datetime, lookback_days: int) -> DataFrame:
-    return t.recent("functions", as_of, lookback_days).withColumn("_warehouse", text_to_long("warehouse_id"))
+    return t.recent("functions", as_of, lookback_days).withColumn("_warehouse", text_to_number("warehouse_id"))
 
 
 def _serverless_calls() -> Column:
@@ -171,7 +171,7 @@ def daily_summary(t: Telemetry, *, as_of: datetime, lookback_days: int = 90) ->
     search = (
         details.search_detail(t, **scope)
         .groupBy("usage_date", "service_type")
-        .agg(F.sum(embedded).alias("total_operations"), F.sum("credits").alias("total_credits"))
+        .agg(F.sum(embedded).try_cast("long").alias("total_operations"), F.sum("credits").alias("total_credits"))
         .select("*", no_users)
     )
     directory = t.users.select("user_id", F.col("name").alias("user_name"))

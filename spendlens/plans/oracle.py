@@ -45,7 +45,7 @@ def cents(x: str, digits: int = 2) -> str:
 
 
 def number(x: str) -> str:
-    return f"CAST(TRY_CAST({x} AS DECIMAL(38,0)) AS BIGINT)"
+    return f"TRY_CAST({x} AS DECIMAL(38,0))"
 
 
 EVENT_K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
@@ -756,12 +756,14 @@ def _q(key: str, deps: str, sql: str, doubles: str = "") -> None:
 
 _DETAIL = {
     "analyst_detail": ("fx_analyst", f"SELECT 'Analyst' AS service_type, CAST(start_time AS DATE) AS usage_date, * FROM fx_analyst WHERE start_time >= {START}", "credits"),
-    "search_detail": ("fx_search", f"SELECT 'Search' AS service_type, * REPLACE ({number('tokens')} AS tokens) FROM fx_search WHERE usage_date >= {START}", "credits"),
+    "search_detail": ("fx_search", f"SELECT 'Search' AS service_type, * REPLACE (CAST({number('tokens')} AS DOUBLE) AS tokens) FROM fx_search WHERE usage_date >= {START}", "credits"),
     "search_serving_detail": ("fx_serving", f"SELECT 'Search Serving' AS service_type, CAST(start_time AS DATE) AS usage_date, * FROM fx_serving WHERE start_time >= {START}", "credits"),
+    "search_long_tokens": ("fx_search", f"""SELECT service_name, consumption_type, CAST(SUM({number("concat(tokens, '7777777777777777')")}) AS VARCHAR) AS tokens,
+        COUNT({number("concat(tokens, '7777777777777777')")}) AS numbers FROM fx_search WHERE usage_date >= {START} GROUP BY ALL""", ""),
     "functions_detail": ("fx_functions", f"""SELECT 'Functions' AS service_type, CAST(usage_time AS DATE) AS usage_date, usage_time AS start_time,
-        usage_time + INTERVAL 1 HOUR AS end_time, function_name, model_name, {number('warehouse_id')} AS warehouse_id, token_credits, tokens
+        usage_time + INTERVAL 1 HOUR AS end_time, function_name, model_name, CAST({number('warehouse_id')} AS DOUBLE) AS warehouse_id, token_credits, tokens
         FROM fx_functions WHERE usage_time >= {START}""", "token_credits"),
-    "functions_query_detail": ("fx_functions", f"""SELECT 'Functions Query' AS service_type, query_id, {number('warehouse_id')} AS warehouse_id,
+    "functions_query_detail": ("fx_functions", f"""SELECT 'Functions Query' AS service_type, query_id, CAST({number('warehouse_id')} AS DOUBLE) AS warehouse_id,
         model_name, function_name, tokens, token_credits, tokens_granular, token_credits_granular,
         {per_million('token_credits', 'tokens')} AS cost_per_million_tokens FROM fx_functions WHERE usage_time >= {START}""",
         "token_credits cost_per_million_tokens"),

@@ -226,6 +226,14 @@ def _snapshot_published(b: Bed) -> DataFrame:
     return versions.read_published(b.spark, root, struct(SNAPSHOT_SCHEMA), [str(AS_OF.date())])
 
 
+def _search_long_tokens(b: Bed) -> DataFrame:
+    """Search usage whose token texts have more digits than a BIGINT holds."""
+    long = b.telemetry.search_daily.withColumn("tokens", F.concat("tokens", F.lit("7" * 16)))
+    detail = details.search_detail(b.telemetry.replace(search_daily=long), **SCOPE)
+    return detail.groupBy("service_name", "consumption_type").agg(
+        F.sum("tokens").cast("string").alias("tokens"), F.count("tokens").alias("numbers"))
+
+
 def _checks_of_views(b: Bed, faulty: bool) -> DataFrame:
     """All checks over the views; the faulty variant has a view that is missing and one that fails when it is read."""
     prefix = "faulty_" if faulty else "checked_"
@@ -362,6 +370,7 @@ QUERIES: dict[str, Query] = {
     "analyst_detail": lambda b: details.analyst_detail(b.telemetry, **SCOPE),
     "search_detail": lambda b: details.search_detail(b.telemetry, **SCOPE),
     "search_serving_detail": lambda b: details.search_serving_detail(b.telemetry, **SCOPE),
+    "search_long_tokens": _search_long_tokens,
     "functions_detail": lambda b: details.functions_detail(b.telemetry, **SCOPE),
     "functions_query_detail": lambda b: details.functions_query_detail(b.telemetry, **SCOPE),
     "document_legacy_detail": lambda b: details.document_legacy_detail(b.telemetry, **SCOPE),

@@ -78,6 +78,20 @@ def test_search_counts_only_embedding_tokens(empty, table):
     assert (got["total_operations"], float(got["total_credits"]), got["daily_unique_users"]) == (100, 3.0, 0)
 
 
+def test_numbers_in_text_keep_38_digits(empty, table):
+    """A warehouse beyond BIGINT is a warehouse; a day whose tokens BIGINT can't hold has no number of operations, not 0."""
+    many = "98765432109876543210"
+    search = {"usage_date": DAY.date(), "service_name": "s", "credits": 1.0, "consumption_type": "EMBED_TEXT_TOKENS"}
+    t = empty.replace(search_daily=table("search_daily", {**search, "tokens": many}),
+                      functions=table("functions", function_call(warehouse_id=many), function_call(warehouse_id="-" + many)))
+    assert int(one(details.search_detail(t, as_of=AS_OF))["tokens"]) == int(many)
+    assert {int(r["warehouse_id"]) for r in rows(details.functions_detail(t, as_of=AS_OF))} == {int(many), -int(many)}
+    got = one(rollups.function_summary(t, as_of=AS_OF))
+    assert (got["serverless_calls"], got["compute_calls"]) == (0, 1)
+    daily = {r["service_type"]: r for r in rows(rollups.daily_summary(t, as_of=AS_OF))}
+    assert daily["Search"]["total_operations"] is None and float(daily["Search"]["total_credits"]) == 1.0
+
+
 def test_lookback_is_inclusive(empty, table):
     t = empty.replace(functions=table("functions", function_call(usage_time=datetime(2024, 11, 2)), function_call(usage_time=datetime(2024, 11, 1, 23, 59))))
     assert details.functions_detail(t, as_of=AS_OF).count() == 1
