@@ -49,6 +49,18 @@ class Telemetry:
     def replace(self, **tables: DataFrame | Callable[[], DataFrame]) -> Telemetry:
         return Telemetry(**{**self._tables, **tables})
 
+    def stored(self, root: str, *names: str) -> Telemetry:
+        """The same tables, the named ones written below ``root``, once and now, and read from there: for tables that are made by
+        joins and read by several jobs, each of which would make them anew."""
+        for name in names:
+            getattr(self, name).write.parquet(f"{root}/{name}")
+
+        def read(name: str) -> DataFrame:
+            made = getattr(self, name)
+            return made.sparkSession.read.schema(made.schema).parquet(f"{root}/{name}")
+
+        return self.replace(**{name: read(name) for name in names})
+
     def __getattr__(self, name: str) -> DataFrame:
         tables = self.__dict__.get("_tables", {})
         if name not in tables:

@@ -50,6 +50,33 @@ def test_views_follow_the_newest_registration(spark):
         assert spark.sql("SELECT MIN(date) FROM n_cost_export").first()[0] == date(2024, 1, day) - timedelta(days=5)
 
 
+def test_checks_of_views_make_joined_usage_once(spark):
+    for name, prefix in (("check_results_views", "checked_"), ("check_results_views_faulty", "faulty_")):
+        assert len(rows(queries.QUERIES[name](queries.Bed(spark, SF)))) == 11
+        for view in ("user_spend_attribution", "usage_forecast", "cost_export" if prefix == "checked_" else "function_summary"):
+            text = plan(spark.table(prefix + view))
+            assert "FileScan" in text and "l_orderkey" not in text and "p_partkey" not in text, view
+
+
+def test_checks_go_on_where_joined_usage_fails(spark):
+    bed = queries.Bed(spark, SF)
+    broken = bed.telemetry.functions.withColumn("token_credits", F.raise_error(F.lit("broken")).cast("decimal(18,6)"))
+    bed.telemetry = bed.telemetry.replace(functions=broken)
+    got = {r["test_number"]: r["test_status"] for r in rows(queries.QUERIES["check_results_views"](bed))}
+    assert got == {1: "PASS", 2: "PASS", 3: "PASS", 4: "PASS", 5: "PASS", 6: "PASS", 7: "FAIL"}
+
+
+def test_stored_telemetry_has_the_same_rows_and_types(spark):
+    calls = spark.sql("""
+        SELECT * FROM VALUES (TIMESTAMP_NTZ'2025-01-01 01:00:00', 'q', 1L, 1.5BD), (NULL, NULL, NULL, NULL), (TIMESTAMP_NTZ'2025-01-01 01:00:00', 'q', 1L, 1.5BD)
+        AS t(usage_time, query_id, tokens, token_credits)""")
+    t = Telemetry(functions=lambda: calls, users=spark.createDataFrame([], struct(SCHEMAS["users"])), metering=calls)
+    stored = t.stored(scratch_path(spark, "stored"), "functions", "users")
+    assert stored.functions.dtypes == calls.dtypes and stored.functions.exceptAll(calls).count() == calls.exceptAll(stored.functions).count() == 0
+    assert stored.users.dtypes == t.users.dtypes and stored.users.count() == 0
+    assert "FileScan" in plan(stored.functions) and stored.metering is calls and t.functions is calls
+
+
 def test_settings_function_prefers_what_is_stored(spark):
     stored = spark.createDataFrame(
         [("a", "CREDIT_COST_USD", "2.5"), ("a", "TEAM", "it's \\ours"), ("b", "ANOMALY_THRESHOLD_HIGH", "much")],
