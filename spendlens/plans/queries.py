@@ -237,14 +237,15 @@ def _search_long_tokens(b: Bed) -> DataFrame:
 def _checks_of_views(b: Bed, faulty: bool) -> DataFrame:
     """All checks over the views; the faulty variant has a view that is missing and one that fails when it is read.
 
-    Each check is a job of its own, and most read the usage of functions and documents. These are joins here, whose tables would
-    be shuffled for every check, so they are made once.
+    Each check is a job of its own, and five read the usage of functions and documents. These are joins here, whose tables would
+    be shuffled for every check, so they are made once. In the faulty variant only two read them: storing would cost more.
     """
-    prefix = "faulty_" if faulty else "checked_"
-    try:
-        telemetry = b.telemetry.stored(scratch_path(b.spark, "checked-telemetry"), "functions", "documents")
-    except Exception:  # a table that can't be made is reported by the checks that need it
-        telemetry = b.telemetry
+    prefix, telemetry = "faulty_" if faulty else "checked_", b.telemetry
+    if not faulty:
+        try:
+            telemetry = telemetry.stored(scratch_path(b.spark, "checked-telemetry"), "functions", "documents")
+        except Exception:  # a table that can't be made is reported by the checks that need it
+            telemetry = b.telemetry
     views.register_views(b.spark, telemetry, **SCOPE, prefix=prefix)
     if faulty:
         b.spark.catalog.dropTempView(f"{prefix}search_detail")
